@@ -1,11 +1,12 @@
 """The corpus queries: each operator over its whole table, and SQL where SQL can say it."""
 
-from . import mixing, packing, pii, quality
+from . import minhash, mixing, packing, pii, quality
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_minhash": minhash.op8_minhash,
     "op10_pii": pii.op10_pii,
 }
 
