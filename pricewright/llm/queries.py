@@ -1,8 +1,9 @@
 """The corpus queries: each operator over its whole table, and SQL where SQL can say it."""
 
-from . import licenses, minhash, mixing, packing, pii, quality
+from . import licenses, minhash, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_quality_rules": quality.op5_quality_rules,
