@@ -1,6 +1,6 @@
 """The corpus queries: each operator over its whole table, and SQL where SQL can say it."""
 
-from . import licenses, minhash, mixing, packing, pii, quality, toxicity
+from . import chat, licenses, minhash, mixing, neighbours, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,8 +8,12 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_chat_format": chat.op7_chat_format,
     "op8_minhash": minhash.op8_minhash,
+    "op9_embedding_neighbours": neighbours.op9_embedding_neighbours,
     "op10_pii": pii.op10_pii,
 }
 
-ORACLES: dict = {}
+ORACLES = {
+    "op7_chat_format": chat.OP7_SQL,
+}
