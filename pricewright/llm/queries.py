@@ -1,9 +1,10 @@
 """The corpus queries: each operator over its whole table, and SQL where SQL can say it."""
 
-from . import chat, licenses, minhash, mixing, neighbours, packing, pii, quality, toxicity
+from . import chat, licenses, minhash, mixing, neighbours, packing, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_substring_dedup": repeats.op2_substring_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_quality_rules": quality.op5_quality_rules,
