@@ -1,4 +1,401 @@
 """Every query that the engine registers, and its SQL for an independent check."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import prices as P
+from .functions import text as T
+from .operators import rows as R
+from .plans import baskets, marts, matching
+from .sources import bindings as B
+from .sources.bindings import CHECKS_SQL, OBSERVATIONS_SQL, RUNS_SQL
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None, bind: str = ""):
+    """Register a query; bind names the inputs that its SQL needs (o, r, c)."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            parts = [{"o": OBSERVATIONS_SQL, "r": RUNS_SQL, "c": CHECKS_SQL}[b] for b in bind]
+            text = sql.strip()
+            if parts:
+                text = "WITH " + ", ".join(parts) + (", " + text[5:] if text.startswith("WITH ") else " " + text)
+            ORACLES[name] = text
+        return fn
+
+    return add
+
+
+def daily(spark, d, by_source=False):
+    return marts.daily_prices(B.observations(spark, d), by_source)
+
+
+def doubles(df, *columns):
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+AVG = "CAST(sum(price_per_unit) AS DOUBLE) / count(price_per_unit)"
+DAILY = f"""daily AS (SELECT CAST(observed_at AS DATE) AS date, standardized_product_name, category_name, normalized_unit,
+  {AVG} AS avg_price, CAST(min(price_per_unit) AS DOUBLE) AS min_price, CAST(max(price_per_unit) AS DOUBLE) AS max_price, count(*) AS observations
+  FROM obs GROUP BY ALL)"""
+DAILY_AVG = f"""dailyavg AS (SELECT CAST(observed_at AS DATE) AS date, standardized_product_name, category_name, {AVG} AS avg_price
+  FROM obs WHERE price_per_unit IS NOT NULL GROUP BY ALL)"""
+MOVERS = (
+    DAILY_AVG
+    + """, moved AS (SELECT *, CASE WHEN previous_price <> 0 THEN (latest_price - previous_price) / previous_price * 100 END AS pct_change,
+  latest_price - previous_price AS abs_change FROM (SELECT standardized_product_name, category_name, date, avg_price AS latest_price,
+  lag(avg_price) OVER (PARTITION BY standardized_product_name ORDER BY date, category_name) AS previous_price FROM dailyavg) WHERE previous_price IS NOT NULL)"""
+)
+HEALTH = """health AS (SELECT r.*, epoch_us(finished_at) / 1e6 - epoch_us(started_at) / 1e6 AS dur, coalesce(t, 0) AS total_checks, coalesce(p, 0) AS passed_checks, coalesce(f, 0) AS failed_checks, check_name, details,
+  CASE WHEN status IN ('failed', 'running') THEN status WHEN coalesce(f, 0) > 0 THEN 'warning' WHEN status = 'success' THEN 'healthy' ELSE 'unknown' END AS pipeline_health_status
+  FROM runs r LEFT JOIN (SELECT run_id, count(quality_id) AS t, count(*) FILTER (WHERE check_status = 'pass') AS p, count(*) FILTER (WHERE check_status = 'fail') AS f FROM checks GROUP BY 1) q USING (run_id)
+  LEFT JOIN (SELECT run_id, check_name, details FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, quality_id DESC) AS rn FROM checks WHERE check_status = 'fail') WHERE rn = 1) l USING (run_id))"""
+TIE_DESC = "observed_at DESC, run_id DESC, line_number DESC, source_product_id DESC, supplier_id DESC, price DESC"
+
+
+def latest_sql(keys: str) -> str:
+    return f"latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {TIE_DESC}) AS rn FROM obs) WHERE rn = 1)"
+
+
+def pivot_sql(key: str, of: str = "latest", having: str = "") -> str:
+    cols = ", ".join(f"max(CASE WHEN source_name = '{s}' THEN {c} END) AS {s}_{c}" for s in B.SOURCES for c in matching.COLUMNS if c != key)
+    flags = "coalesce(src_a_normalized_unit = src_b_normalized_unit, false)", "coalesce(src_a_normalized_quantity = src_b_normalized_quantity, false)"
+    return f"""pivoted AS (SELECT {key}, {cols}, count(DISTINCT source_name) AS n_sources, string_agg(DISTINCT source_name, ', ' ORDER BY source_name) AS available_sources FROM {of} GROUP BY {key} {having}),
+  compared AS (SELECT *, CAST(src_a_price AS DOUBLE) AS pa, CAST(src_b_price AS DOUBLE) AS pb, {flags[0]} AS same_unit_flag, {flags[1]} AS same_quantity_flag,
+    round(CAST(src_b_price AS DOUBLE) - CAST(src_a_price AS DOUBLE), 2) AS price_diff,
+    round(CASE WHEN src_a_price <> 0 THEN (CAST(src_b_price AS DOUBLE) - CAST(src_a_price AS DOUBLE)) / CAST(src_a_price AS DOUBLE) * 100 END, 2) AS price_diff_pct,
+    CASE WHEN src_a_price IS NULL AND src_b_price IS NULL THEN NULL WHEN src_b_price IS NULL OR src_a_price < src_b_price THEN 'src_a' WHEN src_a_price IS NULL OR src_b_price < src_a_price THEN 'src_b' ELSE 'same' END AS cheaper_source,
+    CASE WHEN {flags[0]} AND {flags[1]} THEN 'high' WHEN {flags[0]} THEN 'medium' ELSE 'low' END AS comparison_confidence FROM pivoted)"""
+
+
+COMPARED = ["n_sources", "same_unit_flag", "same_quantity_flag", "price_diff", "price_diff_pct", "cheaper_source", "comparison_confidence"]
+
+
+def shown(df, key, *more):
+    return doubles(df.select(key, "src_a_price", "src_b_price", *COMPARED, *more), "src_a_price", "src_b_price")
+
+
+def shown_sql(key, *more):
+    return f"SELECT {key}, pa AS src_a_price, pb AS src_b_price, {', '.join([*COMPARED, *more])} FROM compared"
+
+
+BOTH = "HAVING count(DISTINCT source_name) = 2"
+PRODUCT = "source_product_name"
+
+
+@query("cross_compare_latest", f"WITH {latest_sql('source_product_name, source_name')}, {pivot_sql(PRODUCT, having=BOTH)} {shown_sql(PRODUCT)}", "o")
+def _(spark, d):
+    return shown(matching.cross_compare_latest(B.observations(spark, d)), PRODUCT)
+
+
+@query("coverage_catalog", f"""WITH {latest_sql('source_product_name, source_name')}, {pivot_sql(PRODUCT)}
+{shown_sql(PRODUCT, 'available_sources', "CASE WHEN n_sources < 2 THEN 'only_' || available_sources WHEN comparison_confidence = 'high' THEN 'comparable' ELSE 'comparison_review_required' END AS coverage_status")}""", "o")
+def _(spark, d):
+    return shown(matching.coverage_catalog(B.observations(spark, d)), PRODUCT, "available_sources", "coverage_status")
+
+
+VARIANTS = ["cold", "old", "small"]
+_SPLIT = "string_split(lower(source_product_name), ' ')"
+REPRESENTATIVES = f"""{latest_sql('source_name, source_product_name')}, chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY standardized_product_name, source_name ORDER BY
+  CASE WHEN array_to_string(list_sort({_SPLIT}), ' ') = standardized_product_name THEN 0 ELSE 1 END,
+  len(list_filter(list_distinct({_SPLIT}), lambda x: x IN ('cold', 'old', 'small') AND NOT list_contains(string_split(lower(canonical_name), ' '), x))),
+  len(list_filter(list_distinct({_SPLIT}), lambda x: NOT list_contains(string_split(standardized_product_name, ' '), x))), len({_SPLIT}), {TIE_DESC}) AS k FROM latest) WHERE k = 1)"""
+
+
+@query("cross_compare", f"WITH {REPRESENTATIVES}, {pivot_sql('standardized_product_name', 'chosen', BOTH)} {shown_sql('standardized_product_name', 'src_a_source_product_name', 'src_b_source_product_name')}", "o")
+def _(spark, d):
+    return shown(matching.cross_compare(B.observations(spark, d), VARIANTS), "standardized_product_name", "src_a_source_product_name", "src_b_source_product_name")
+
+
+@query("cheapest_source", f"WITH {REPRESENTATIVES}, {pivot_sql('standardized_product_name', 'chosen', BOTH)} SELECT standardized_product_name, cheaper_source, least(pa, pb) AS price FROM compared WHERE same_unit_flag AND same_quantity_flag", "o")
+def _(spark, d):
+    rows = matching.cross_compare(B.observations(spark, d), VARIANTS).where("same_unit_flag and same_quantity_flag")
+    return rows.select("standardized_product_name", "cheaper_source", F.least("src_a_price", "src_b_price").cast("double").alias("price"))
+
+
+@query("latest_price_per_key", f"WITH {latest_sql('source_product_name, source_name')} SELECT source_product_name, source_name, CAST(price AS DOUBLE) AS price, observed_at, run_id FROM latest", "o")
+def _(spark, d):
+    rows = R.latest_per_key(B.observations(spark, d), ["source_product_name", "source_name"], "observed_at", B.TIE)
+    return doubles(rows.select("source_product_name", "source_name", "price", "observed_at", "run_id"), "price")
+
+
+@query("price_history", """WITH h AS (SELECT o.*, r.status AS run_status FROM obs o LEFT JOIN runs r USING (run_id))
+SELECT run_id, line_number, source_name, source_product_name, CAST(price AS DOUBLE) AS price, observed_at, run_status, coalesce(discount_rate, 0) > 0 OR coalesce(regular_price > price, false) AS is_promotion FROM h""", "or")
+def _(spark, d):
+    rows = marts.price_history(B.observations(spark, d), B.runs(spark, d))
+    return doubles(rows.select("run_id", "line_number", "source_name", "source_product_name", "price", "observed_at", "run_status", "is_promotion"), "price")
+
+
+@query("daily_prices", f"WITH {DAILY} SELECT * FROM daily", "o")
+def _(spark, d):
+    return daily(spark, d)
+
+
+@query("daily_prices_by_source", f"""SELECT CAST(observed_at AS DATE) AS date, source_name, standardized_product_name, category_name, normalized_unit, {AVG} AS avg_price,
+  CAST(min(price_per_unit) AS DOUBLE) AS min_price, CAST(max(price_per_unit) AS DOUBLE) AS max_price, count(*) AS observations FROM obs WHERE price_per_unit IS NOT NULL GROUP BY ALL""", "o")
+def _(spark, d):
+    return daily(spark, d, by_source=True)
+
+
+@query("source_series", f"""SELECT CAST(observed_at AS DATE) AS date, source_name, category_name, normalized_unit, {AVG} AS avg_price, count(*) AS observations
+  FROM obs WHERE standardized_product_name = 'cold widget' AND price_per_unit IS NOT NULL GROUP BY ALL""", "o")
+def _(spark, d):
+    rows = marts.daily_prices(B.observations(spark, d).where("standardized_product_name = 'cold widget'"), True)
+    return rows.select("date", "source_name", "category_name", "normalized_unit", "avg_price", "observations")
+
+
+@query("daily_product_avg", f"WITH {DAILY_AVG} SELECT * FROM dailyavg", "o")
+def _(spark, d):
+    return marts.daily_product_avg(B.observations(spark, d))
+
+
+def changes(spark, d):
+    return marts.top_movers(marts.daily_product_avg(B.observations(spark, d)))
+
+
+@query("top_movers", f"WITH {MOVERS} SELECT * FROM moved", "o")
+def _(spark, d):
+    return changes(spark, d)
+
+
+_BY = "standardized_product_name, category_name, date"
+
+
+@query("biggest_movers", f"WITH {MOVERS} SELECT * FROM moved ORDER BY pct_change DESC NULLS FIRST, {_BY} LIMIT 10", "o")
+def _(spark, d):
+    return marts.movers(changes(spark, d))
+
+
+@query("biggest_decliners", f"WITH {MOVERS} SELECT * FROM moved ORDER BY pct_change ASC NULLS LAST, {_BY} LIMIT 10", "o")
+def _(spark, d):
+    return marts.movers(changes(spark, d), ascending=True)
+
+
+@query("mover_cards", f"WITH {MOVERS} SELECT * FROM moved WHERE pct_change IS NOT NULL ORDER BY pct_change DESC, {_BY} LIMIT 3", "o")
+def _(spark, d):
+    return marts.movers(changes(spark, d), 3, known_only=True)
+
+
+@query("recent_trends", f"""WITH {MOVERS} SELECT * FROM dailyavg WHERE standardized_product_name IN
+  (SELECT standardized_product_name FROM (SELECT * FROM moved WHERE pct_change IS NOT NULL ORDER BY abs(pct_change) DESC, {_BY} LIMIT 5))""", "o")
+def _(spark, d):
+    days = marts.daily_product_avg(B.observations(spark, d))
+    return marts.recent_trends(days, marts.top_movers(days)).select("date", "standardized_product_name", "category_name", "avg_price")
+
+
+@query("price_volatility", """WITH s AS (SELECT standardized_product_name, category_name, CAST(sum(price_per_unit) AS DOUBLE) AS s, CAST(sum(CAST(price_per_unit AS DECIMAL(19,4)) * CAST(price_per_unit AS DECIMAL(19,4))) AS DOUBLE) AS q, count(*) AS n
+  FROM obs WHERE price_per_unit IS NOT NULL GROUP BY ALL), v AS (SELECT *, s / n AS avg_price_per_unit, sqrt(greatest(q / n - (s / n) * (s / n), 0.0)) AS volatility FROM s WHERE n >= 2)
+SELECT standardized_product_name, category_name, avg_price_per_unit, volatility, n AS observation_count, CASE WHEN volatility >= 50 THEN 'high' WHEN volatility >= 20 THEN 'medium' ELSE 'low' END AS volatility_level FROM v""", "o")
+def _(spark, d):
+    return marts.price_volatility(B.observations(spark, d))
+
+
+@query("top_volatile", f"""WITH {DAILY_AVG}, s AS (SELECT standardized_product_name, category_name, CAST(sum(price_per_unit) AS DOUBLE) AS s, CAST(sum(CAST(price_per_unit AS DECIMAL(19,4)) * CAST(price_per_unit AS DECIMAL(19,4))) AS DOUBLE) AS q, count(*) AS n FROM obs GROUP BY ALL)
+SELECT standardized_product_name, category_name, n AS observation_count FROM s WHERE n >= 2 ORDER BY sqrt(greatest(q / n - (s / n) * (s / n), 0.0)) DESC, 1, 2 LIMIT 10""", "o")
+def _(spark, d):
+    rows = marts.price_volatility(B.observations(spark, d))
+    return rows.orderBy(F.desc("volatility"), "standardized_product_name", "category_name").limit(10).select("standardized_product_name", "category_name", "observation_count")
+
+
+for _name, _asc in (("top_expensive", False), ("top_cheapest", True)):
+
+    @query(_name, f"WITH {DAILY} SELECT * FROM daily WHERE date = (SELECT max(date) FROM daily) AND avg_price IS NOT NULL ORDER BY avg_price {'ASC' if _asc else 'DESC'}, standardized_product_name, category_name, normalized_unit LIMIT 10", "o")
+    def _(spark, d, asc=_asc):
+        rows = marts.last_day(daily(spark, d))
+        return marts.top_by_price(rows, F.col("date"), 10, asc)
+
+
+@query("pipeline_health", f"WITH {HEALTH} SELECT run_id, source_name, started_at, finished_at, status, records_raw, dur AS run_duration_seconds, total_checks, passed_checks, failed_checks, check_name AS last_failed_check_name, details AS last_failed_check_details, pipeline_health_status FROM health", "rc")
+def _(spark, d):
+    return marts.pipeline_health(B.runs(spark, d), B.checks(spark, d))
+
+
+@query("mart_latest_prices", f"""WITH {HEALTH}, u AS (SELECT o.*, row_number() OVER (PARTITION BY source_name, source_product_id ORDER BY {TIE_DESC}) AS rn FROM obs o WHERE run_id IN (SELECT run_id FROM health WHERE pipeline_health_status IN ('healthy', 'warning')))
+SELECT source_name, source_product_id, standardized_product_name, CAST(price AS DOUBLE) AS price, CAST(price_per_unit AS DOUBLE) AS price_per_unit, normalized_unit, observed_at FROM u WHERE rn = 1""", "orc")
+def _(spark, d):
+    health = marts.pipeline_health(B.runs(spark, d), B.checks(spark, d))
+    return doubles(marts.latest_prices(B.observations(spark, d), health), "price", "price_per_unit")
+
+
+@query("last_failed_checks", "SELECT run_id, quality_id, check_name, created_at FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC, quality_id DESC) AS rn FROM checks WHERE check_status = 'fail') WHERE rn = 1", "c")
+def _(spark, d):
+    return marts.last_failed_checks(B.checks(spark, d)).select("run_id", "quality_id", "check_name", "created_at")
+
+
+@query("freshness", f"""WITH {DAILY} SELECT (SELECT max(date) FROM daily) AS last_date, (SELECT max(observed_at) FROM obs) AS last_observed_at,
+  (SELECT max(started_at) FROM runs WHERE status = 'success') AS last_success_at, max(run_id) AS last_run_id, max_by(status, run_id) AS last_run_status FROM runs""", "or")
+def _(spark, d):
+    return marts.freshness(daily(spark, d), B.observations(spark, d), B.runs(spark, d))
+
+
+@query("latest_success", "SELECT source_name, max(started_at) AS latest_success_at FROM runs WHERE status = 'success' GROUP BY 1", "r")
+def _(spark, d):
+    return B.runs(spark, d).where("status = 'success'").groupBy("source_name").agg(F.max("started_at").alias("latest_success_at"))
+
+
+@query("last_runs", "SELECT run_id, source_name, status, records_raw FROM runs ORDER BY run_id DESC LIMIT 20", "r")
+def _(spark, d):
+    return B.runs(spark, d).orderBy(F.desc("run_id")).limit(20).select("run_id", "source_name", "status", "records_raw")
+
+
+@query("distinct_dates", "SELECT DISTINCT CAST(observed_at AS DATE) AS date FROM obs", "o")
+def _(spark, d):
+    return B.observations(spark, d).select(F.to_date("observed_at").alias("date")).distinct()
+
+
+@query("category_counts", "SELECT coalesce(category_name, 'unknown') AS category_name, count(*) AS n FROM obs GROUP BY 1", "o")
+def _(spark, d):
+    return marts.counts(B.observations(spark, d), "category_name")
+
+
+@query("price_span", f"""WITH {DAILY_AVG}, e AS (SELECT standardized_product_name, category_name, min_by(avg_price, date) AS first_price, max_by(avg_price, date) AS last_price FROM dailyavg GROUP BY ALL)
+SELECT *, CASE WHEN first_price <> 0 THEN (last_price - first_price) / first_price * 100 END AS total_pct_change FROM e""", "o")
+def _(spark, d):
+    return marts.price_span(marts.daily_product_avg(B.observations(spark, d)))
+
+
+@query("quality_checks", f"""WITH {DAILY}, c AS (SELECT 'facts_not_empty' AS check_name, CAST(count(*) AS DOUBLE) AS observed_value FROM obs
+  UNION ALL SELECT 'unit_price_complete', count(price_per_unit) / greatest(count(*), 1) FROM obs UNION ALL SELECT 'category_complete', count(category_name) / greatest(count(*), 1) FROM obs
+  UNION ALL SELECT 'mart_grain_unique', CASE WHEN max(n) <= 1 THEN 1 ELSE 0 END FROM (SELECT count(*) AS n FROM daily GROUP BY date, standardized_product_name, category_name, normalized_unit)
+  UNION ALL SELECT 'latest_average_present', CASE WHEN count(avg_price) = count(*) THEN 1 ELSE 0 END FROM daily WHERE date = (SELECT max(date) FROM daily))
+SELECT check_name, observed_value, CAST(1 AS DOUBLE) AS threshold_value, CASE WHEN observed_value >= 1 THEN 'pass' ELSE 'fail' END AS check_status FROM c""", "o")
+def _(spark, d):
+    return marts.quality_checks(B.observations(spark, d), daily(spark, d))
+
+
+@query("admission_reasons", """WITH s AS (SELECT *, CASE WHEN price > 90000 THEN 'price_too_high' END AS why, CASE WHEN source_product_id % 7 = 0 THEN NULL ELSE category_name END AS cat FROM obs)
+SELECT coalesce(CASE WHEN why IS NOT NULL THEN 'suspicious_record' WHEN cat IS NULL THEN 'missing_category_name' END, 'admitted') AS reason, count(*) AS n FROM s GROUP BY 1""", "o")
+def _(spark, d):
+    rows = B.observations(spark, d).withColumn("category_name", F.when(F.col("source_product_id") % 7 != 0, F.col("category_name")))
+    why = P.reject_reason(P.suspicion(F.col("price"), F.col("source_product_name"), max_price=90000).isNotNull())
+    return rows.groupBy(F.coalesce(why, F.lit("admitted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("standardize_names", """SELECT DISTINCT p_name, p_brand, array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS standardized_product_name,
+  array_to_string(list_sort(string_split(lower(p_name || ' ' || p_brand), ' ')), ' ') AS base_name, 1 AS extra_words FROM part""")
+def _(spark, d):
+    raw = F.concat_ws(" ", "p_name", "p_brand")
+    return B.table(spark, d, "part").select("p_name", "p_brand", T.standardize_name(F.col("p_name")).alias("standardized_product_name"), T.base_name(raw).alias("base_name"), T.extra_words(raw, F.col("p_name")).alias("extra_words")).distinct()
+
+
+@query("normalize_units", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'piece' WHEN 2 THEN 'roll' ELSE 'ml' END AS unit,
+  CASE p_size % 4 WHEN 0 THEN round(p_size / 1000, 4) WHEN 3 THEN CAST(p_size AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS quantity FROM part""")
+def _(spark, d):
+    unit = F.element_at(F.array(*map(F.lit, ["GRAM", "PIECE", "ROLL", "ML"])), F.col("p_size") % 4 + 1)
+    return B.table(spark, d, "part").select("p_partkey", P.normalize_unit(unit, F.col("p_size").cast("double")).alias("n")).select("p_partkey", "n.unit", "n.quantity")
+
+
+@query("row_hashes", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, md5(coalesce(CAST(l_orderkey AS VARCHAR), '') || '|' || coalesce(CAST(l_partkey AS VARCHAR), '') || '|' || coalesce(l_returnflag, '')) AS raw_hash FROM lineitem")
+def _(spark, d):
+    return B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", P.row_hash(F.col("l_orderkey"), F.col("l_partkey"), F.col("l_returnflag")).alias("raw_hash"))
+
+
+@query("product_keys", """WITH n AS (SELECT standardized_product_name AS name, arg_min(category_name, (observed_at, category_name)) AS category FROM obs GROUP BY 1),
+  old AS (SELECT 1000 + row_number() OVER (ORDER BY name) AS product_id, name, category FROM n WHERE name < 'd')
+SELECT * FROM old UNION ALL SELECT (SELECT coalesce(max(product_id), 0) FROM old) + row_number() OVER (ORDER BY name), name, category FROM n WHERE name >= 'd'""", "o")
+def _(spark, d):
+    names = B.observations(spark, d).select(F.col("standardized_product_name").alias("name"), F.col("category_name").alias("category"), F.col("observed_at").alias("seen"))
+    old = R.product_keys(names.where("name < 'd'"), spark.createDataFrame([], "product_id long, name string, category string"))
+    return R.product_keys(names, old.withColumn("product_id", F.col("product_id") + 1000))
+
+
+@query("canonical_events", """WITH e AS (SELECT l_orderkey * 100000 + l_partkey AS event_id, l_orderkey AS run_id, l_suppkey % 5 AS part_of FROM lineitem)
+SELECT event_id, run_id, min(event_id) OVER (PARTITION BY run_id, part_of) AS canonical FROM e""")
+def _(spark, d):
+    events = B.table(spark, d, "lineitem").select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("event_id"), F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 5).alias("part_of"))
+    return events.join(R.canonical_of(events, ["run_id", "part_of"], "event_id"), ["run_id", "part_of"]).select("event_id", "run_id", "canonical")
+
+
+@query("idempotent_load", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY source_name, source_product_id, run_id ORDER BY line_number, supplier_id, price) AS rn FROM obs)
+SELECT source_name, source_product_id, run_id, line_number, supplier_id, CAST(price AS DOUBLE) AS price FROM l WHERE rn = 1""", "o")
+def _(spark, d):
+    columns, keys = ["source_name", "source_product_id", "run_id", "line_number", "supplier_id", "price"], ["source_name", "source_product_id", "run_id"]
+    rows = B.observations(spark, d).select(*columns)
+    order = [F.col(c) for c in ("line_number", "supplier_id", "price")]
+    first = R.insert_absent(rows.limit(0), rows, keys, order)
+    # loading the same rows again adds nothing
+    return doubles(R.insert_absent(first, rows, keys, order), "price")
+
+
+RULES = [(1, "widget", "%widget%"), (2, "cold", "cold%"), (3, "widget", "cold%"), (4, "ring", "%ring%"), (5, "nothing", "zzz%")]
+ALIASES = f"""products AS (SELECT row_number() OVER (ORDER BY name) AS product_id, name FROM (SELECT DISTINCT standardized_product_name AS name FROM obs)),
+  rules(rule_id, alias, pattern) AS (VALUES {', '.join(map(str, RULES))}),
+  best AS (SELECT * FROM (SELECT rule_id, alias, product_id, row_number() OVER (PARTITION BY rule_id ORDER BY CASE WHEN name = alias THEN 0 WHEN starts_with(name, alias) THEN 1 ELSE 2 END, product_id) AS rn FROM rules JOIN products ON name LIKE pattern) WHERE rn = 1),
+  aliases AS (SELECT name AS alias, product_id FROM products UNION ALL SELECT alias, product_id FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY rule_id) AS k FROM best) WHERE k = 1 AND alias NOT IN (SELECT name FROM products))"""
+
+
+def products_and_aliases(spark, d):
+    names = B.observations(spark, d).select(F.col("standardized_product_name").alias("name"), F.col("category_name").alias("category"), F.col("observed_at").alias("seen"))
+    products = R.product_keys(names, spark.createDataFrame([], "product_id long, name string, category string")).select("product_id", "name")
+    return products, matching.derive_aliases(products, spark.createDataFrame(RULES, "rule_id int, alias string, pattern string"))
+
+
+@query("derive_aliases", f"WITH {ALIASES} SELECT * FROM aliases", "o")
+def _(spark, d):
+    return products_and_aliases(spark, d)[1]
+
+
+@query("match_products", f"""WITH {ALIASES}, i AS (SELECT DISTINCT p_name AS input FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[2] FROM part)
+SELECT input, coalesce(p.product_id, a.product_id) AS product_id, CASE WHEN p.product_id IS NOT NULL THEN 'product_exact' WHEN a.product_id IS NOT NULL THEN 'alias_exact' ELSE 'no_match' END AS match_type
+FROM i LEFT JOIN products p ON p.name = array_to_string(list_sort(string_split(lower(input), ' ')), ' ') LEFT JOIN aliases a ON a.alias = lower(trim(input))""", "o")
+def _(spark, d):
+    products, aliases = products_and_aliases(spark, d)
+    part = B.table(spark, d, "part")
+    inputs = part.select(F.col("p_name").alias("input")).union(part.select(F.element_at(F.split("p_name", " "), 2))).distinct()
+    return matching.match_products(inputs, products, aliases)
+
+
+@query("merge_coverage", f"""WITH {latest_sql('source_product_name, source_name')}, {pivot_sql(PRODUCT)},
+  f AS (SELECT *, 0 AS frame FROM compared WHERE pa < 50000 UNION ALL SELECT *, 1 FROM compared), r AS (SELECT *, row_number() OVER (PARTITION BY source_product_name ORDER BY CASE comparison_confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, CASE WHEN pa IS NOT NULL AND pb IS NOT NULL THEN 1 ELSE 0 END DESC, frame) AS k FROM f)
+{shown_sql(PRODUCT, "CASE WHEN pa IS NULL OR pb IS NULL THEN NULL WHEN NOT same_unit_flag THEN 'unit_mismatch' WHEN NOT same_quantity_flag THEN 'quantity_mismatch' WHEN comparison_confidence <> 'high' THEN 'comparison_confidence_not_high' END AS review_reason").replace('FROM compared', 'FROM r WHERE k = 1')}""", "o")
+def _(spark, d):
+    rows = matching.cross_compare_latest(B.observations(spark, d), both=False)
+    return shown(matching.merge_coverage([rows.where("src_a_price < 50000"), rows], PRODUCT), PRODUCT, "review_reason")
+
+
+@query("source_mode", "WITH c AS (SELECT source_name, normalized_unit, count(*) AS n FROM obs GROUP BY ALL) SELECT source_name, max_by(normalized_unit, (n, normalized_unit)) AS normalized_unit, max(n) AS n FROM c GROUP BY 1", "o")
+def _(spark, d):
+    return R.mode(B.observations(spark, d), ["source_name"], "normalized_unit")
+
+
+BASKETS = f"""{latest_sql('source_product_name, source_name')}, {pivot_sql(PRODUCT)},
+  items AS (SELECT run_id AS basket_id, min(line_number) AS item_no, source_product_name AS product FROM obs GROUP BY 1, 3),
+  offers AS (SELECT source_product_name AS product, s AS source_name, p AS price, same_unit_flag AND same_quantity_flag AS safe FROM (SELECT *, 'src_a' AS s, src_a_price AS p FROM compared UNION ALL SELECT *, 'src_b', src_b_price FROM compared) WHERE p IS NOT NULL),
+  best AS (SELECT product, arg_min(source_name, (price, source_name)) AS source_name, min(price) AS price, bool_and(safe) AS safe, count(*) AS n FROM offers GROUP BY 1),
+  rec AS (SELECT basket_id, item_no, product, status, CASE WHEN status = 'ok' THEN source_name END AS source_name, CASE WHEN status = 'ok' THEN price END AS price
+    FROM (SELECT *, CASE WHEN n IS NULL THEN 'no_valid_price' WHEN n > 1 AND NOT safe THEN 'comparison_review_required' ELSE 'ok' END AS status FROM items LEFT JOIN best USING (product))),
+  mixed AS (SELECT basket_id, count(*) AS n_items, count(*) FILTER (WHERE status = 'ok') AS n_priced, CAST(sum(price) AS DOUBLE) AS mixed_total, bool_and(status = 'ok') AS complete FROM rec GROUP BY 1),
+  single AS (SELECT basket_id, source_name, total, n_items FROM (SELECT basket_id, source_name, count(*) AS n, CAST(sum(price) AS DOUBLE) AS total FROM items JOIN offers USING (product) GROUP BY 1, 2) JOIN (SELECT basket_id, count(*) AS n_items FROM items GROUP BY 1) USING (basket_id) WHERE n = n_items)"""
+
+
+def basket_inputs(spark, d):
+    history = B.observations(spark, d)
+    items = baskets.normalize_requests(history.select(F.col("run_id").alias("basket_id"), F.col("line_number").alias("item_no"), F.col(PRODUCT).alias("product")))
+    return items, baskets.offers_of(matching.cross_compare_latest(history, both=False), PRODUCT, B.SOURCES)
+
+
+@query("recommendations", f"WITH {BASKETS} SELECT basket_id, item_no, product, status, source_name, CAST(price AS DOUBLE) AS price FROM rec", "o")
+def _(spark, d):
+    return doubles(baskets.recommendations(*basket_inputs(spark, d)), "price")
+
+
+@query("mixed_basket", f"WITH {BASKETS} SELECT * FROM mixed", "o")
+def _(spark, d):
+    return baskets.mixed_baskets(baskets.recommendations(*basket_inputs(spark, d)))
+
+
+@query("single_source_baskets", f"WITH {BASKETS} SELECT * FROM single", "o")
+def _(spark, d):
+    return baskets.single_source_baskets(*basket_inputs(spark, d))
+
+
+@query("savings", f"""WITH {BASKETS}, b AS (SELECT basket_id, arg_min(source_name, (total, source_name)) AS single_source, min(total) AS single_total, max(total) AS dearest FROM single GROUP BY 1)
+SELECT basket_id, mixed_total, complete, single_source, single_total, CASE WHEN complete THEN round(single_total - mixed_total, 2) END AS savings, round(dearest - single_total, 2) AS advantage FROM mixed LEFT JOIN b USING (basket_id)""", "o")
+def _(spark, d):
+    items, offers = basket_inputs(spark, d)
+    return baskets.savings(baskets.mixed_baskets(baskets.recommendations(items, offers)), baskets.single_source_baskets(items, offers))
