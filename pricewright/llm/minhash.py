@@ -9,10 +9,11 @@ have lists; common word pairs have none. Inside the lists, the bits estimate how
 union two sketches share, and only pairs that may reach the similarity go on to be compared
 on their whole texts.
 
-Large groups are never expanded into pairs: first every member of a list is compared with
-one member of it, twice with other choices, and the components so far are found; after that
-only pairs of different components are compared. No list is cut: one that is very long is
-dealt to many tasks in blocks.
+Large groups are never expanded into pairs: every member of a list meets one member of it,
+in turn with other choices. Pairs that may link form clusters, those of them that do link
+form components, and within a cluster only documents outside its largest component are
+compared with the others, block by block in memory. No list is cut: one that is very long
+is dealt to many tasks in blocks.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from .graph import components
+from .grouped import by_group
 from .scratch import Scratch
 
-SIMILARITY, SHINGLE, SKETCH = 0.8, 5, 128
+SIMILARITY, SHINGLE, SKETCH = 0.8, 5, 64
 #: Deviations below the mean that a sketch's overlap may lie: a link is missed about once in 10**7.
 SAFE = 5.3
 #: Members of a list that one block holds, and text handled at a time in a worker.
 BLOCK, CHUNK_BYTES = 2000, 1 << 20
 STAR_ROUNDS = 2
+#: Members of a cluster that meet at a time.
+MEMBERS = 256
 
 _U = np.uint64
 _POWER = _U(0x9E3779B97F4A7C15)
@@ -170,8 +174,8 @@ def most_differing(n: Column, similarity: float = SIMILARITY) -> Column:
 
 
 def lists(classes: DataFrame, scratch: Scratch, k: int = SKETCH, similarity: float = SIMILARITY) -> DataFrame:
-    """(value, cid, n, bits1, bits2, most, block, blocks): the inverted lists of the rarest
-    kept values. A value that only one class keeps takes its place but needs no list."""
+    """(value, cid, n, bits1, bits2, most, blocks): the inverted lists of the rarest kept
+    values. A value that only one class keeps takes its place but needs no list."""
     kept = classes.where("n > 0").select("cid", F.explode("sketch").alias("value"))
     shared = kept.groupBy("value").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     common = kept.join(shared, "value").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("many", "value"))).alias("by_rarity"))
@@ -179,11 +183,7 @@ def lists(classes: DataFrame, scratch: Scratch, k: int = SKETCH, similarity: flo
     held = F.least(n, F.lit(k))
     room = held - least_shared(n, k, similarity) + 1 - (held - F.size("by_rarity"))
     chosen = classes.drop("sketch").join(common, "cid").where(room > 0).select("cid", "n", "bits1", "bits2", most_differing(n, similarity).alias("most"), F.explode(F.slice("by_rarity", F.lit(1), room)).alias("v"))
-    postings = scratch.save(chosen.select(F.col("v.value").alias("value"), "cid", "n", "bits1", "bits2", "most"), "postings")
-    length = postings.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    placed = postings.join(length, "value").select("value", "cid", "n", "bits1", "bits2", "most", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
-    return scratch.save(placed, "lists")
+    return scratch.save(chosen.select(F.col("v.value").alias("value"), "cid", "n", "bits1", "bits2", "most", F.ceil(F.col("v.many") / BLOCK).cast("int").alias("blocks")), "lists")
 
 
 def _may_link(similarity: float) -> Column:
@@ -203,19 +203,82 @@ def star_pairs(labelled: DataFrame, turn: int, similarity: float = SIMILARITY) -
     return best.select("a", F.col("m.b").alias("b"))
 
 
-def block_pairs(labelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: all pairs of a list that lie in different components and may link.
-    Rows of a long list meet block by block: each stands in its own block and is sent to
-    the others once."""
-    # lists that lie in one component hold nothing new
+def matched(posted: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of posted with another row in their list that they may link with. Rows of
+    a very long list meet block by block: each stands in its own and is sent to all."""
+    open_ = (F.col("x.cid") != F.col("y.cid")) & _may_link(similarity)
+    short = posted.where("blocks = 1")
+    found = short.alias("x").join(short.alias("y"), (F.col("x.value") == F.col("y.value")) & open_, "left_semi")
+    long_ = posted.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sent = long_.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    far = long_.alias("x").join(sent.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.block") == F.col("y.to")) & open_, "left_semi")
+    return found.union(far.drop("block"))
+
+
+def mixed_lists(labelled: DataFrame) -> DataFrame:
+    """Rows of lists that hold more than one cluster: the others hold nothing new."""
     mixed = labelled.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
-    open_ = labelled.join(mixed, "value", "left_semi")
-    sent = open_.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x, y = open_.alias("x"), sent.alias("y")
-    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.block") == F.col("y.to")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & _may_link(similarity))
+    return labelled.join(mixed, "value", "left_semi")
+
+
+def crossing_pairs(labelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b: pairs of one list that may link although their clusters differ."""
+    met = labelled.alias("x").join(labelled.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & _may_link(similarity))
     return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
+def clusters(posted: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(cid, cluster) such that no two documents of different clusters may link, as far as
+    sizes and bits tell, and the pairs (a, b) with list centres that were met on the way."""
+    labelled, edges, stars = posted.withColumn("root", F.col("cid")), None, None
+    for turn in range(STAR_ROUNDS):
+        stars = scratch.save(star_pairs(labelled, turn, similarity), f"star{turn}")
+        edges = stars if edges is None else edges.union(stars)
+        roots = components(edges, scratch, f"cluster{turn}").withColumnRenamed("node", "cid")
+        labelled = posted.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        labelled = scratch.save(mixed_lists(labelled), f"mixed{turn}")
+    crossing = scratch.save(crossing_pairs(labelled, similarity), "crossing")
+    roots = components(edges.union(crossing), scratch, "clusters")
+    return roots.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), edges.distinct()
+
+
+def linked_within(members: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """From members (cid, cluster, root): links (a, b) between different components of a
+    cluster. All but the members of a cluster's largest component are its guests; a guest is
+    compared on whole sets with every member, a block of MEMBERS at a time, and keeps one
+    link to each component that it meets. Clusters of one component have no guests."""
+    percent = round(similarity * 100)
+    by_root = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = by_root.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    largest = largest.select("cluster", F.col("m.root").alias("main"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("m.n")) / MEMBERS).cast("int").alias("parts"))
+    here = members.join(largest, "cluster")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hosts = here.select("cluster", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), every("parts").alias("part"), F.lit(True).alias("host"), "cid", "root")
+    guests = here.where("root != main").select("cluster", every("blocks").alias("block"), F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("host"), "cid", "root")
+
+    def meet(t: pa.Table) -> pa.Table | None:
+        host = np.array(t.column("host").to_pylist(), bool)
+        ids, roots = np.asarray(t.column("cid")), np.asarray(t.column("root"))
+        if host.all() or not host.any():
+            return None
+        sets = list(text_sets(t.column("text").combine_chunks(), shingle))
+        held = np.flatnonzero(host)
+        flat, sizes = np.concatenate([sets[i] for i in held]), np.array([len(sets[i]) for i in held])
+        at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        a, b = [], []
+        for i in np.flatnonzero(~host):
+            own = sets[i]
+            both = np.add.reduceat((own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat).astype(np.int64), at)
+            near = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (roots[held] != roots[i]))
+            for j in np.unique(roots[held[near]], return_index=True)[1]:
+                a.append(int(ids[i]))
+                b.append(int(ids[held[near[j]]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = hosts.union(guests).join(texts, "cid").select("cluster", "block", "part", "host", "cid", "root", "text")
+    return by_group(rows, ["cluster", "block", "part"], meet, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, k: int = SKETCH) -> DataFrame:
     """Of pairs (a, b): those whose whole sets have the similarity. The sketches' union is
     estimated first; only pairs that it leaves open are compared in full."""
@@ -254,24 +317,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = scratch.save(sketched(docs, doc_id, text, shingle, k), "rows")
     same = rows.where("n > 0").groupBy("digest", "n", "sketch", "bits1", "bits2").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"))
     classes = scratch.save(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    posted = lists(classes, scratch, k, similarity)
-    members = posted.select("cid").distinct()
-    wanted = scratch.save(classes.join(members, "cid", "left_semi").select("cid", "text_hash"), "wanted")
+    posted = scratch.save(matched(lists(classes, scratch, k, similarity), similarity), "matched")
+    scratch.drop("lists")
+    wanted = scratch.save(classes.join(posted.select("cid").distinct(), "cid", "left_semi").select("cid", "text_hash"), "wanted")
     source = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        hashes = wanted.join(ids, "cid", "left_semi")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        hashes = wanted.join(ids.distinct(), "cid", "left_semi")
         return source.join(hashes.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")).join(hashes, "text_hash").select("cid", "text")
 
-    links, roots = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        labelled = posted.withColumn("root", F.col("cid")) if roots is None else posted.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        pairs = star_pairs(labelled, turn, similarity) if turn < STAR_ROUNDS else block_pairs(labelled, similarity)
-        pairs = scratch.save(pairs, f"pairs{turn}")
-        found = scratch.save(verified(pairs, texts_of(pairs), shingle, similarity, k), f"links{turn}")
-        links = found if links is None else links.union(found)
-        roots = components(links, scratch, f"roots{turn}")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
+
+    grouped, stars = clusters(posted, scratch, similarity)
+    grouped = scratch.save(grouped, "grouped")
+    links = scratch.save(verified(stars, texts_of(ends(stars)), shingle, similarity, k), "links")
+    roots = components(links, scratch, "linked").withColumnRenamed("node", "cid")
+    members = scratch.save(grouped.join(roots, "cid", "left").select("cid", "cluster", F.coalesce("root", "cid").alias("root")), "members")
+    open_ = members.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("cluster")
+    asked = members.join(open_, "cluster", "left_semi").select("cid")
+    more = scratch.save(linked_within(members, texts_of(asked), shingle, similarity), "more")
+    roots = components(links.union(more), scratch, "roots")
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("root", "cid").alias("root"), "first_id")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_digest = scratch.save(named.join(smallest, "root").select("digest", "root", "component_id"), "named")
