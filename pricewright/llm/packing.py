@@ -22,7 +22,7 @@ from .scratch import Scratch
 
 LENGTH, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Pieces that are packed together in one task, and token sequences that a worker remembers.
-PACK_ROWS, REMEMBERED = 100_000, 400_000
+PACK_ROWS, REMEMBERED = 100_000, 1_200_000
 
 #: A text made of these characters only is split at white space first and its
 #: parts are encoded once each; its tokens are the same as the tokenizer's for the whole text.
@@ -48,10 +48,11 @@ class Encoder:
         for k, text in enumerate(texts):
             if PLAIN.fullmatch(text) and "<|" not in text:
                 parts[k] = text.lower().split()
-        fresh = list({x for words in parts.values() for x in words if x not in seen})
+        words = set().union(*parts.values())
+        fresh = list(words.difference(seen))
         if len(seen) + len(fresh) > REMEMBERED:
             seen.clear()
-            fresh = list({x for words in parts.values() for x in words})
+            fresh = list(words)
         for i in range(0, len(fresh), 4096):
             seen.update(zip(fresh[i : i + 4096], self._exact(fresh[i : i + 4096]), strict=True))
         rest = [k for k in range(len(texts)) if k not in parts]
