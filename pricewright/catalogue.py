@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from .functions import prices as P
 from .functions import text as T
 from .operators import rows as R
-from .plans import baskets, marts, matching
+from .plans import baskets, marts, matching, search
+from .shared import shared_folder
 from .sources import bindings as B
+from .sources import listings
 from .sources.bindings import CHECKS_SQL, OBSERVATIONS_SQL, RUNS_SQL
+from .streaming.ingest import ingest_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -399,3 +402,81 @@ SELECT basket_id, mixed_total, complete, single_source, single_total, CASE WHEN
 def _(spark, d):
     items, offers = basket_inputs(spark, d)
     return baskets.savings(baskets.mixed_baskets(baskets.recommendations(items, offers)), baskets.single_source_baskets(items, offers))
+
+
+SEARCH = """p AS (SELECT DISTINCT p_name || ' ' || p_brand AS product, lower(p_name || ' ' || p_brand) AS name FROM part),
+  q AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS text FROM part UNION SELECT DISTINCT p_name FROM part),
+  v AS (SELECT text AS query_id, lower(text) AS variant FROM q UNION SELECT text, array_to_string(list_sort(string_split(lower(text), ' ')), ' ') FROM q),
+  m AS (SELECT query_id, product, name, CASE WHEN name = variant THEN 0 WHEN len(list_intersect(list_distinct(string_split(variant, ' ')), string_split(name, ' '))) = len(list_distinct(string_split(variant, ' '))) THEN 1 WHEN contains(name, variant) THEN 2 END AS match_rank,
+    CASE WHEN name = variant THEN 1.0::DOUBLE WHEN len(list_intersect(list_distinct(string_split(variant, ' ')), string_split(name, ' '))) = len(list_distinct(string_split(variant, ' '))) THEN 0.99::DOUBLE ELSE CAST(length(variant) AS DOUBLE) / length(name) END AS score FROM v CROSS JOIN p),
+  b AS (SELECT query_id, product, min(match_rank) AS match_rank, arg_max(score, (-match_rank, score)) AS score FROM m WHERE match_rank IS NOT NULL GROUP BY 1, 2),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_rank, score DESC, len(string_split(product, ' ')), product) AS place FROM b)"""
+
+
+def search_inputs(spark, d):
+    part = B.table(spark, d, "part")
+    texts = part.select(F.element_at(F.split("p_name", " "), 2).alias("text")).union(part.select("p_name")).distinct()
+    return texts.select(F.col("text").alias("query_id"), "text"), part.select(F.concat_ws(" ", "p_name", "p_brand").alias("product")).distinct()
+
+
+@query("search_rank", f"WITH {SEARCH} SELECT * FROM ranked")
+def _(spark, d):
+    return search.search_rank(*search_inputs(spark, d))
+
+
+@query("search_top", f"WITH {SEARCH} SELECT * FROM ranked WHERE place <= 12")
+def _(spark, d):
+    return search.search_rank(*search_inputs(spark, d), limit=12)
+
+
+@query("search_groups", f"WITH {SEARCH} SELECT query_id, count(*) FILTER (WHERE match_rank <= 1) AS n_safe, string_agg(product, '; ' ORDER BY place) AS products FROM ranked GROUP BY 1")
+def _(spark, d):
+    rows = search.search_groups(search.search_rank(*search_inputs(spark, d)))
+    return rows.withColumn("products", F.array_join("products", "; "))
+
+
+@query("search_misspelled")
+def _(spark, d):
+    """Names without their third letter: no tier but the fuzzy one can find them."""
+    part = B.table(spark, d, "part")
+    wrong = F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)"))
+    asked = part.select(wrong.alias("query_id"), wrong.alias("text")).distinct()
+    return search.search_rank(asked, part.select(F.col("p_name").alias("product")).distinct())
+
+
+@query("normalize_documents", """SELECT doc_id, length(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'äöüéèêàâîïôûùçñóíáúß', 'aoueeeaaiiouucnoiau'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')), '^ $', '')) AS plain_chars FROM documents""")
+def _(spark, d):
+    plain = F.regexp_replace(T.normalize_text(F.regexp_replace("text", "ß", "")), "[^a-z0-9]+", " ")
+    return B.table(spark, d, "documents").select("doc_id", F.length(F.trim(F.regexp_replace(plain, r"\s+", " "))).alias("plain_chars"))
+
+
+@query("event_payloads", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    return B.table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").try_cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("listing_rows", """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name, round(CAST(round(p_retailprice * 100) AS DOUBLE) / 100, 2) AS shown_price, p_brand AS brand_name, p_type AS last_category FROM part""")
+def _(spark, d):
+    """Parts as captured listings, read back as product rows."""
+    cents = F.round(F.col("p_retailprice") * 100).cast("long").cast("string")
+    item = F.struct(
+        F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), cents.alias("shownPrice"), F.struct(F.col("p_brand").alias("name")).alias("brand"),
+        F.array(F.struct(F.lit("all").alias("name")), F.struct(F.col("p_type").alias("name"))).alias("categoryAscendants"),
+    )
+    layouts = [F.struct(F.array(item).alias("data")), F.struct(F.struct(F.array(item).alias("items")).alias("data"))]
+    payload = F.when(F.col("p_partkey") % 2 == 0, F.to_json(layouts[0])).otherwise(F.to_json(layouts[1]))
+    rows = listings.flatten_listing(B.table(spark, d, "part").select(payload.alias("payload")))
+    return rows.select("product_id", "product_name", "shown_price", "brand_name", "last_category")
+
+
+_LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+
+
+@query("ingest_stream", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_extendedprice, l_quantity) AS rn FROM lineitem WHERE NOT (l_quantity <= 1))
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity FROM l WHERE rn = 1""")
+def _(spark, d):
+    """The incremental ingest of the order lines: equal to loading them at once."""
+    schema = B.table(spark, d, "lineitem").select(*_LINES).schema
+    folder = shared_folder(spark, "ingest")
+    ingest_stream(spark, d, "lineitem.parquet", schema, f"{folder}/facts", f"{folder}/checkpoint", ["l_orderkey", "l_partkey"], ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity"], reject="l_quantity <= 1")
+    return spark.read.parquet(f"{folder}/facts").select(*_LINES)
