@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship_package
 from .graph import components
 from .grouped import by_group
-from .scratch import Scratch
+from .scratch import Scratch, bounded_broadcast
 
 SIMILARITY, SHINGLE, SKETCH = 0.8, 5, 64
 #: Deviations below the mean that a sketch's overlap may lie: a link is missed about once in 10**7.
@@ -41,6 +41,8 @@ BLOCK, CHUNK_BYTES = 2000, 1 << 20
 STAR_ROUNDS = 2
 #: Members of a cluster that meet at a time.
 MEMBERS = 256
+#: Hashes of wanted texts that are broadcast at most; beyond them the texts are shuffled.
+HASHES = 1_000_000
 
 _U = np.uint64
 _POWER = _U(0x9E3779B97F4A7C15)
@@ -324,7 +326,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def texts_of(ids: DataFrame) -> DataFrame:
         hashes = wanted.join(ids.distinct(), "cid", "left_semi")
-        return source.join(hashes.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")).join(hashes, "text_hash").select("cid", "text")
+        return source.join(bounded_broadcast(hashes.select("text_hash"), HASHES), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")).join(hashes, "text_hash").select("cid", "text")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
@@ -359,7 +361,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     hashed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
 
     def having(which: DataFrame) -> DataFrame:
-        return hashed.join(which, F.col(doc_id).eqNullSafe(F.col("_key_id")) & (F.col("_hash") == F.col("_key_hash")), "left_semi")
+        return hashed.join(bounded_broadcast(which, HASHES), F.col(doc_id).eqNullSafe(F.col("_key_id")) & (F.col("_hash") == F.col("_key_hash")), "left_semi")
 
     rows = having(keys.where("_rows = 1"))
     repeated = keys.where("_rows > 1")
