@@ -28,7 +28,7 @@ from ..shipping import ship_package
 
 #: Labelled documents that the fit sees at most (those with the smallest hashes of their ids),
 #: telling strings kept at most, and how telling (standard deviations) one must be.
-MAX_TRAIN, MAX_STRINGS, LEAST_TELLING, LEAST_DOCS = 20_000, 3000, 4.0, 4
+MAX_TRAIN, MAX_STRINGS, LEAST_TELLING, LEAST_DOCS = 10_000, 3000, 4.0, 4
 PART_LENGTHS = (4, 5, 6, 7, 8, 9, 10)
 HELD_OUT_FOLDS, SEED = 5, 11
 STEPS, RATE, RIDGE = 400, 0.1, 2e-3
@@ -52,7 +52,7 @@ def fold(doc_id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, most: int = MAX_TRAIN) -> DataFrame:
-    """(text, y) of at most most labelled documents outside fold 0. An id with several
+    """(text, y, id) of at most most labelled documents outside fold 0. An id with several
     labels is toxic if one of them says so."""
     chosen = (
         labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != 0))
@@ -62,7 +62,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, to
         .limit(most)
     )
     # at most `most` rows, by the limit
-    return docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "y")
+    return docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "y", F.col("_id").alias("id"))
 
 
 def telling_strings(train: DataFrame, most: int = MAX_STRINGS) -> DataFrame:
@@ -112,25 +112,18 @@ class Finder:
         return found, begins
 
 
-def fit(documents: list[tuple[int, list[list[int]]]], n_strings: int) -> tuple[np.ndarray, float, float]:
-    """From (label, strings of each sentence that has any): weights, bias, leak. Gradient
-    ascent (Adam) on the likelihood of the labels under the noisy-or."""
-    y = np.array([label for label, _ in documents], float)
-    sentence_doc, item_sentence, item_string = [], [], []
-    for d, (_, sentences) in enumerate(documents):
-        for strings in sentences:
-            item_sentence += [len(sentence_doc)] * len(strings)
-            item_string += strings
-            sentence_doc.append(d)
-    s_doc, i_sent, i_str = (np.array(x, np.int64) for x in (sentence_doc, item_sentence, item_string))
+def fit(y: np.ndarray, sentence_doc: np.ndarray, item_sentence: np.ndarray, item_string: np.ndarray, n_strings: int) -> tuple[np.ndarray, float, float]:
+    """From labels, the document of each sentence that holds any string, and the sentence of
+    each string held: weights, bias, leak. Gradient ascent (Adam) on the likelihood of the
+    labels under the noisy-or."""
     theta = np.concatenate([np.zeros(n_strings), [-1.0, math.log(max(y.mean(), 1e-3) / 10)]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        z = np.bincount(i_sent, theta[i_str], len(s_doc)) + theta[-2]
-        total = np.bincount(s_doc, np.logaddexp(0, z), len(y)) + np.exp(theta[-1])
+        z = np.bincount(item_sentence, theta[item_string], len(sentence_doc)) + theta[-2]
+        total = np.bincount(sentence_doc, np.logaddexp(0, z), len(y)) + np.exp(theta[-1])
         outer = y / np.expm1(np.clip(total, 1e-6, 50)) - (1 - y)
-        inner = outer[s_doc] / (1 + np.exp(-z)) if len(s_doc) else np.zeros(0)
-        grad = np.concatenate([np.bincount(i_str, inner[i_sent], n_strings), [inner.sum(), (outer * np.exp(theta[-1])).sum()]]) / len(y)
+        inner = outer[sentence_doc] / (1 + np.exp(-z))
+        grad = np.concatenate([np.bincount(item_string, inner[item_sentence], n_strings), [inner.sum(), (outer * np.exp(theta[-1])).sum()]]) / len(y)
         grad[:n_strings] -= RIDGE * theta[:n_strings] / max(1, n_strings) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -148,15 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         finder = Finder(strings)
         for batch in batches:
             out = [[sorted(x) for x in finder.find(t)[0].values()] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["y", "sentences"])
-
-    # MAX_TRAIN documents at most, each a few numbers
-    held = [(r.y, r.sentences) for r in rows.mapInArrow(reduce, "y int, sentences array<array<int>>").collect()]
-    if not held or not strings:
-        rate = float(np.mean([y for y, _ in held])) if held else 0.0
-        return Model([], [], 0.0, min(rate, 0.49))
-    held.sort(key=lambda x: (x[0], x[1]))  # rows arrive in any order
-    weights, bias, leak = fit(held, len(strings))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["y", "id", "sentences"])
+
+    # MAX_TRAIN documents at most, each a few numbers, as Arrow columns; in the order of their ids
+    held = rows.mapInArrow(reduce, "y int, id long, sentences array<array<int>>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    y = held.column("y").to_numpy().astype(float)
+    if not len(y) or not strings:
+        return Model([], [], 0.0, min(float(y.mean()) if len(y) else 0.0, 0.49))
+    sentences = held.column("sentences").combine_chunks()
+    of_doc, of_sentence = sentences.value_lengths().to_numpy(), sentences.flatten().value_lengths().to_numpy()
+    parts = (np.repeat(np.arange(len(of_doc)), of_doc), np.repeat(np.arange(len(of_sentence)), of_sentence), sentences.flatten().flatten().to_numpy())
+    weights, bias, leak = fit(y, *parts, len(strings))
     return Model(strings, [round(float(w), 6) for w in weights], bias, leak)
 
 
