@@ -5,7 +5,8 @@ share a random projection's signs, and is refined by joining neighbours of neigh
 vector brings its neighbours together, they are compared with each other and keep the best.
 Lists that are full of links are enlarged: all members of a component found so far meet in
 blocks, which counts every link inside it. A random set of vectors, compared with all, audits
-the share of links found; below AUDIT the graph is refined again with longer lists.
+the share of links found in the very result that is returned; below AUDIT new projections are
+drawn and the graph is refined again with longer lists, and when that does not help, it fails.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from .scratch import Scratch
 
 SIMILARITY = 0.93
 #: First length of the neighbour lists, rounds of joins before an audit, audits at most.
-NEIGHBOURS, ROUNDS, AUDITS = 8, 2, 3
-#: Projections for the first graph, their signs, and members of a group of it on average.
+NEIGHBOURS, ROUNDS, AUDITS = 8, 2, 6
+#: Projections for the first graph and for each audit that fails, their least signs, and members
+#: of a group of it on average.
 TABLES, SIGNS, GROUP = 6, 10, 48
-#: Vectors that the audit compares with all, and the share of their links to be found.
-AUDIT_ROWS, AUDIT = 512, 0.98
+#: Vectors that the audit compares with all, four times as many while they have fewer than
+#: AUDIT_LINKS links, AUDIT_MOST at most; and the share of their links to be found.
+AUDIT_ROWS, AUDIT_LINKS, AUDIT_MOST, AUDIT = 512, 1000, 8192, 0.98
 BLOCK, SEED = 512, 7
 
 
@@ -68,9 +71,18 @@ def _best(node: np.ndarray, sims: np.ndarray, k: int, least: np.ndarray | None =
 EDGES = "node long, other long, sim double"
 
 
-def first_graph(nodes: DataFrame, scratch: Scratch, k: int) -> DataFrame:
-    """Groups of vectors that share SIGNS signs of a projection, TABLES times; a group that
-    would be large is dealt by chance, so none grows with the data."""
+def signs_of(nodes: DataFrame) -> DataFrame:
+    """(space, parts, n_signs): signs grow with the logarithm of the vectors of a space, so that
+    its spread vectors make groups of GROUP or fewer at any size."""
+    sizes = nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("space", F.ceil(F.col("n") / GROUP).alias("parts"), F.greatest(F.lit(SIGNS), F.ceil(F.log2(F.col("n") / GROUP)).cast("int")).alias("n_signs"))
+
+
+def first_graph(nodes: DataFrame, scratch: Scratch, k: int, audit: int = 0) -> DataFrame:
+    """Groups of vectors that share signs of a projection, TABLES times; a group that would be
+    large is dealt by chance, so none grows with the data. Each audit has its own projections."""
+    spaces = scratch.save(signs_of(nodes), f"spaces{audit}")
+    most = spaces.agg(F.max("n_signs")).first()[0] or SIGNS
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,18 +92,20 @@ def first_graph(nodes: DataFrame, scratch: Scratch, k: int) -> DataFrame:
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
                 x = _unit(lists.take(pa.array(at)))
-                planes = np.random.default_rng([SEED, int(n)]).standard_normal((int(n), TABLES * SIGNS))
-                bits = (x @ planes > 0).reshape(len(at), TABLES, SIGNS) @ (1 << np.arange(SIGNS))
+                planes = np.random.default_rng([SEED, audit, int(n)]).standard_normal((int(n), TABLES * most))
+                bits = (x @ planes > 0).reshape(len(at), TABLES, most) @ (1 << np.arange(most))
                 out["node"].append(np.repeat(np.asarray(batch.column(0))[at], TABLES))
                 out["table"].append(np.tile(np.arange(TABLES), len(at)))
                 out["signs"].append(bits.ravel())
             yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v).astype(np.int64)) for c, v in out.items()})
 
     marks = nodes.select("node", "vec").mapInArrow(signed, "node long, table long, signs long")
-    marks = scratch.save(marks.join(nodes.select("node", "space"), "node"), "marks")
+    placed = nodes.select("node", "space").join(spaces, "space")
+    short = F.expr("signs & (shiftleft(1L, n_signs) - 1)").alias("signs")
+    marks = scratch.save(marks.join(placed, "node").select("node", "space", "table", short), f"marks{audit}")
     sizes = marks.groupBy("space", "table", "signs").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    dealt = marks.join(sizes, ["space", "table", "signs"]).select("node", F.xxhash64("space", "table", "signs").alias("g"), F.pmod(F.xxhash64("node", "table"), F.col("parts")).alias("part"))
-    chance = nodes.join(nodes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")), "space").select("node", F.xxhash64("space").alias("g"), F.pmod(F.xxhash64(F.lit(SEED), "node"), F.col("parts")).alias("part"))
+    dealt = marks.join(sizes, ["space", "table", "signs"]).select("node", F.xxhash64("space", "table", "signs").alias("g"), F.pmod(F.xxhash64(F.lit(audit), "node", "table"), F.col("parts")).alias("part"))
+    chance = placed.select("node", F.xxhash64("space").alias("g"), F.pmod(F.xxhash64(F.lit(SEED + audit), "node"), F.col("parts")).alias("part"))
     grouped = dealt.union(chance).join(nodes.select("node", "vec"), "node")
 
     def meet(t: pa.Table) -> pa.Table | None:
@@ -148,35 +162,42 @@ def counted(roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def audited(nodes: DataFrame, found: DataFrame, similarity: float) -> float:
-    """The share of the links of AUDIT_ROWS vectors, compared with all, that were found."""
-    queries = nodes.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(AUDIT_ROWS).collect()
-    if not queries:
-        return 1.0
+    """The share of the links of some vectors, compared with all, that were found; so many
+    vectors that their links are AUDIT_LINKS, or all, or AUDIT_MOST."""
+    rows, every = AUDIT_ROWS, nodes.count()
+    while True:
+        share, seen = audited_rows(nodes, found, similarity, rows)
+        if seen >= AUDIT_LINKS or rows >= min(every, AUDIT_MOST):
+            return share
+        rows *= 4
+
+
+def audited_rows(nodes: DataFrame, found: DataFrame, similarity: float, rows: int) -> tuple[float, int]:
+    """The share of the links of so many vectors that were found, and their links."""
+    drawn = nodes.orderBy(F.xxhash64(F.lit(SEED), "node"), "node").limit(rows).select("node", "space", "vec").toArrow()
     spaces: dict = {}
-    for q in queries:
-        spaces.setdefault((q["space"]["label"], q["space"]["length"]), []).append(q)
-    held = {s: ([q["node"] for q in qs], np.array([q["vec"] for q in qs], float)) for s, qs in spaces.items()}
+    for i, x in enumerate(drawn.column("space").to_pylist()):
+        spaces.setdefault((x["label"], x["length"]), []).append(i)
+    held = {s: (drawn.column("node").to_numpy()[at], _unit(drawn.column("vec").take(pa.array(at)))) for s, at in spaces.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
-        for batch in batches:
-            space = [(s["label"], s["length"]) for s in batch.column(1).to_pylist()]
-            for s in set(space):
-                if s not in held:
-                    continue
-                at = pa.array([i for i, x in enumerate(space) if x == s])
-                part = batch.take(at)
-                ids, q = held[s]
-                near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ _unit(part.column(2)).T >= similarity
-                near &= np.array(ids)[:, None] != np.asarray(part.column(0))[None, :]
-                for k, n in zip(ids, near @ np.asarray(part.column(3)), strict=True):
-                    totals[k] = totals.get(k, 0) + int(n)
+        for whole in batches:
+            for batch in (whole.slice(lo, BLOCK) for lo in range(0, whole.num_rows, BLOCK)):
+                space = [(s["label"], s["length"]) for s in batch.column(1).to_pylist()]
+                for s in set(space) & set(held):
+                    part = batch.take(pa.array([i for i, x in enumerate(space) if x == s]))
+                    ids, q = held[s]
+                    near = q @ _unit(part.column(2)).T >= similarity
+                    near &= ids[:, None] != np.asarray(part.column(0))[None, :]
+                    for k, n in zip(ids.tolist(), (near @ np.asarray(part.column(3))).tolist(), strict=True):
+                        totals[k] = totals.get(k, 0) + n
         if totals:
             yield pa.RecordBatch.from_pydict({"node": pa.array(list(totals), pa.int64()), "n": pa.array(list(totals.values()), pa.int64())})
 
     true = nodes.select("node", "space", "vec", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     row = true.join(found, "node", "left").agg(F.sum("n").alias("n"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("n"))).alias("got")).first()
-    return (row["got"] or 0) / row["n"] if row["n"] else 1.0
+    return ((row["got"] or 0) / row["n"] if row["n"] else 1.0), row["n"] or 0
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", similarity: float = SIMILARITY) -> DataFrame:
@@ -186,24 +207,28 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     null or non-finite components link with nothing, nor do those without a label. n_links
     counts the other rows linked directly, copies among them. A row with a null id has its
     class's links and component, and is kept if it has none. Repeated rows link with each
-    other. An empty table gives an empty one.
+    other. An empty table gives an empty one. Raises RuntimeError if no audit is passed.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "neighbours")
     narrow = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"), F.col(label).alias("label"))
     nodes = scratch.save(classes_of(narrow, "vec_id", "vec", "label"), "nodes")
-    k = NEIGHBOURS
-    graph = scratch.save(first_graph(nodes, scratch, k), "graph")
+    k, graph = NEIGHBOURS, None
     for audit in range(AUDITS):
+        fresh = first_graph(nodes, scratch, k, audit)
+        graph = scratch.save(fresh if graph is None else shortened(graph.union(fresh), k), f"graph{audit}")
         for turn in range(ROUNDS):
             graph = scratch.save(joined(graph, nodes, k), f"graph{audit}-{turn}")
         links = scratch.save(graph.where(F.col("sim") >= similarity).select(F.col("node").alias("a"), F.col("other").alias("b")), f"links{audit}")
         roots = components(links, scratch, f"roots{audit}")
         found = scratch.save(counted(roots, nodes, similarity), f"counted{audit}")
-        if audit + 1 == AUDITS or audited(nodes, found, similarity) >= AUDIT:
+        share = audited(nodes, found, similarity)
+        if share >= AUDIT:
             break
         k *= 2
+    else:
+        raise RuntimeError(f"near_duplicates found {share:.4f} of the audited links after {AUDITS} audits, {AUDIT} are needed")
     named = nodes.select(F.col("space.label").alias("label"), "vec", "node", "copies").join(roots, "node", "left").join(found, "node", "left")
     named = named.select("label", "vec", F.coalesce("root", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = narrow.join(named, ["label", "vec"], "left")

@@ -358,6 +358,19 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_neighbours_fail_loudly_without_a_passed_audit(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [1.0, i / 100], 0) for i in range(20)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(neighbours, "AUDITS", 3)
+    monkeypatch.setattr(neighbours, "audited", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="audit"):
+        neighbours.near_duplicates(vectors)
+
+
+def test_neighbour_signs_grow_with_a_label(spark):
+    sizes = spark.range(400_000).selectExpr("id AS node", "struct(int(id < 1000) AS label, 4 AS length) AS space")
+    assert {r.space.label: r.n_signs for r in neighbours.signs_of(sizes).collect()} == {1: 10, 0: 14}
+
+
 # 10 ----------------------------------------------------------------------------------------
 
 
