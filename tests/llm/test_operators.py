@@ -371,6 +371,40 @@ def test_neighbour_signs_grow_with_a_label(spark):
     assert {r.space.label: r.n_signs for r in neighbours.signs_of(sizes).collect()} == {1: 10, 0: 14}
 
 
+def test_neighbours_keep_the_one_link_between_dense_groups(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def turned(degrees, n):  # noisy copies of a direction in the plane of the first two axes
+        x = 0.004 * rng.standard_normal((n, 16))
+        x[:, 0] += np.cos(np.radians(degrees))
+        x[:, 1] += np.sin(np.radians(degrees))
+        return x
+
+    x = np.concatenate([turned(0, 150), turned(30, 150), turned(12, 1), turned(33 - 0.5, 1)])
+    x[300, :2], x[301, :2] = (np.cos(np.radians(5)), np.sin(np.radians(5))), (np.cos(np.radians(25)), np.sin(np.radians(25)))
+    x[300:, 2:] = 0
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    first = np.r_[0:150, 300]
+    assert near[np.ix_(first, np.r_[150:300, 301])].sum() == 1  # 300 with 301 alone
+    rows = [(i, [float(v) for v in x[i]], 0) for i in range(len(x))]
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {r.component_id for r in got.values()} == {0}
+    assert [got[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_forests_join_what_the_links_join():
+    rng = np.random.default_rng(1)
+    near = rng.random((60, 60)) < 0.02
+    near |= near.T
+    np.fill_diagonal(near, False)
+    a, b = neighbours.forest(near)
+    pairs = list(zip(*np.nonzero(near), strict=True))
+    assert len(a) < 60 and near[a, b].all()
+    assert components_brute(range(60), list(zip(a, b, strict=True))) == components_brute(range(60), pairs)
+
+
 # 10 ----------------------------------------------------------------------------------------
 
 
