@@ -6,8 +6,8 @@ sentence scores are combined by a noisy-or with a small leak, 1 - (1 - leak) * p
 The weights are fitted through that combination, from document labels alone, so the
 sentence scores locate what is offending.
 
-Telling strings (words and parts of words) are counted over the training documents by
-Spark; the fit itself is over a bounded sample of labelled documents, reduced to the few
+Telling strings (words and parts of words) are counted over all labelled documents outside the
+held-out fold by Spark; the fit itself is over a bounded sample of labelled documents, reduced to the few
 strings that their sentences hold.
 """
 
@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from .scratch import bounded_broadcast
 
 #: Labelled documents that the fit sees at most (those with the smallest hashes of their ids),
 #: telling strings kept at most, and how telling (standard deviations) one must be.
-MAX_TRAIN, MAX_STRINGS, LEAST_TELLING, LEAST_DOCS = 10_000, 3000, 4.0, 4
+MAX_TRAIN, MAX_STRINGS, LEAST_TELLING, LEAST_DOCS = 20_000, 3000, 4.0, 4
 PART_LENGTHS = (4, 5, 6, 7, 8, 9, 10)
 HELD_OUT_FOLDS, SEED = 5, 11
 STEPS, RATE, RIDGE = 400, 0.1, 2e-3
-#: Longer words are cut to so many letters before their parts are taken.
-LONGEST = 40
+#: The parts of longer words are taken from pieces of so many letters, which overlap.
+LONGEST = 200
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _OTHER = re.compile(r"[\W_]")
@@ -51,33 +52,40 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string")) % HELD_OUT_FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, most: int = MAX_TRAIN) -> DataFrame:
-    """(text, y, id) of at most most labelled documents outside fold 0. An id with several
-    labels is toxic if one of them says so."""
-    chosen = (
-        labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != 0))
-        .groupBy(F.col(doc_id).alias("_id"))
-        .agg(F.max(F.col(toxic).cast("int")).alias("y"))
-        .orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id")
-        .limit(most)
-    )
-    # at most `most` rows, by the limit
-    return docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "y", F.col("_id").alias("id"))
+def labelled(labels: DataFrame, doc_id: str, toxic: str) -> DataFrame:
+    """(_id, y) of all labelled documents outside fold 0. An id with several labels is toxic if
+    one of them says so."""
+    known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != 0))
+    return known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(toxic).cast("int")).alias("y"))
+
+
+def training_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(text, y, id) of the chosen documents; a label is two numbers."""
+    chosen = bounded_broadcast(chosen, 500_000)
+    return docs.join(chosen, F.col(doc_id) == F.col("_id")).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), "y", F.col("_id").alias("id"))
 
 
 def telling_strings(train: DataFrame, most: int = MAX_STRINGS) -> DataFrame:
     """(string, z): words and parts of words that toxic documents hold more often than chance.
     A space in a string stands for the beginning or the end of a word."""
-    word = F.array_distinct(F.transform(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.substring(w, 1, LONGEST)))
+    word = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     words = train.select("y", F.explode(word).alias("w")).where(F.length("w") >= 3).groupBy("w").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    spaced = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
-
-    def parts(k: int):
-        cut = F.transform(F.sequence(F.lit(1), F.length(spaced) - (k - 1)), lambda i: F.substring(spaced, i, F.lit(k)))
-        return F.when(F.length(spaced) >= k, cut).otherwise(F.array().cast("array<string>"))
-
-    every = F.array_distinct(F.concat(F.array(spaced), *map(parts, PART_LENGTHS)))
-    counted = words.select("pos", "n", F.explode(every).alias("string")).groupBy("string").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    words = words.select("pos", "n", F.concat(F.lit(" "), F.col("w"), F.lit(" ")).alias("w"))
+
+    def parts(c: str):
+        def cut(k: int):
+            every = F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))
+            return F.when(F.length(c) >= k, every).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*map(cut, PART_LENGTHS)))
+
+    whole = F.array_distinct(F.concat(F.array("w"), parts("w")))
+    short = words.where(F.length("w") <= LONGEST).select("pos", "n", F.explode(whole).alias("string"))
+    runs = words.where(F.length("w") > LONGEST).withColumn("run", F.xxhash64("w"))
+    starts = F.sequence(F.lit(1), F.length("w"), F.lit(LONGEST))
+    pieces = runs.select("run", "pos", "n", F.explode(F.transform(starts, lambda i: F.substring(F.col("w"), i, F.lit(LONGEST + max(PART_LENGTHS) - 1)))).alias("piece"))
+    long = pieces.select("run", "pos", "n", F.explode(parts("piece")).alias("string")).union(runs.select("run", "pos", "n", "w")).dropDuplicates(["run", "string"])
+    counted = short.union(long.select("pos", "n", "string")).groupBy("string").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     total = train.agg(F.avg(F.col("y").cast("double")).alias("rate"))
     expected = F.col("n") * F.col("rate")
     z = (F.col("pos") - expected) / F.sqrt(expected * (1 - F.col("rate")) + 1e-9)
@@ -134,8 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Without labelled rows, or with one kind of label only, the model knows no strings and
     scores every document alike."""
     ship_package(docs.sparkSession)
-    rows = training_rows(docs, labels, doc_id, text, toxic)
-    strings = [r.string for r in telling_strings(rows).collect()]  # MAX_STRINGS at most
+    known = labelled(labels, doc_id, toxic)
+    strings = [r.string for r in telling_strings(training_rows(docs, known, doc_id, text)).collect()]  # MAX_STRINGS at most
+    rows = training_rows(docs, known.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(MAX_TRAIN), doc_id, text)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(strings)

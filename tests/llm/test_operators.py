@@ -83,6 +83,14 @@ def test_toxicity_is_learned_from_document_labels(spark):
     assert got[1000].score == got[1001].score < 0.5
 
 
+def test_toxic_strings_are_counted_over_all_labelled_rows(spark, monkeypatch):
+    rows = [(i, "the cat sat on the mat. " + ("you blarg again." if i % 50 == 0 else "rain fell.") + (f" {'x' * 300}snorf" if i % 50 == 1 else ""), int(i % 50 < 2)) for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_TRAIN", 10)
+    strings = set(toxicity.train(table, table).strings)
+    assert {" blarg ", "blar", "xsnorf ", "snor"} <= strings
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
