@@ -66,11 +66,11 @@ def sequence_ratio():
 
 def search_rank(queries: DataFrame, catalog: DataFrame, limit: int | None = None, synonyms: dict | None = None) -> DataFrame:
     """(query_id, product, match_rank, score, place): all matches of each query in order: tier,
-    score, fewer words, name. Queries without any go to the fuzzy tier."""
+    score, fewer words, name. Products that no earlier tier hit go to the fuzzy tier."""
     variants = expand_queries(queries, synonyms)
     found = matches(variants, catalog)
-    lost = variants.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    every = found.union(fuzzy_matches(lost, catalog))
+    fuzzy = fuzzy_matches(variants, catalog).join(found, ["query_id", "product"], "left_anti")
+    every = found.union(fuzzy)
     order = W.partitionBy("query_id").orderBy("match_rank", F.desc("score"), F.size(words(F.lower("product"))), "product")
     ranked = every.withColumn("place", F.row_number().over(order))
     return ranked.where(F.col("place") <= limit) if limit else ranked
