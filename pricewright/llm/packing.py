@@ -1,10 +1,10 @@
 """Pack documents into sequences of a fixed length: best-two-fit.
 
 Tokens are counted where the text is read, and only (document, piece, start, length,
-checksum) goes on. Pieces of full length are sequences already. The others are dealt into
-packs of bounded size and each is packed for itself: a sequence is filled greedily with the
-longest pieces that fit; where a gap stays that no piece fits, its smallest piece gives way
-to two unpacked pieces that fill the widened gap more tightly.
+checksum) goes on. The pieces are dealt into packs of bounded size and each is packed for
+itself: a sequence is filled greedily with the longest pieces that fit; where a gap stays that
+no piece fits, its smallest piece gives way to two unpacked pieces that fill the widened gap
+more tightly. Sequences that a pack could not fill are packed again with those of the others.
 """
 
 from __future__ import annotations
@@ -21,43 +21,122 @@ from ..shipping import ship_package
 from .scratch import Scratch
 
 LENGTH, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
-#: Pieces that are packed together in one task, and token sequences that a worker remembers.
-PACK_ROWS, REMEMBERED = 100_000, 1_200_000
+#: Pieces that are packed together in one task, bytes of words and ids that a worker remembers
+#: (with the overhead of a Python object each), and the gap, as a share of a sequence, from which
+#: on a sequence of a pack counts as left over.
+PACK_ROWS, REMEMBERED_BYTES, ENTRY_BYTES, LEFT_OVER = 100_000, 192 << 20, 170, 0.01
+#: Characters of texts that are encoded together.
+CHUNK_CHARS = 6 << 20
 
 #: A text made of these characters only is split at white space first and its
 #: parts are encoded once each; its tokens are the same as the tokenizer's for the whole text.
 PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u012f\\u0132-\\u024f]*")
+#: A word of letters and what follows them: the tokenizer never joins the two.
+_STEM = re.compile(r"([^\W\d_]+)([^\w'\s]*)")
 
 
-class Encoder:
-    """Texts to token ids as little-endian 32-bit bytes."""
+class Words(dict):
+    """Word -> its ids as little-endian 32-bit bytes. Words that were not seen before wait and
+    are encoded together; the ids of a word of letters end with the first end-of-word token."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer):
+        super().__init__()
+        import numpy as np
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.tokenizer, self.held = tokenizer, 0
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def _exact(self, texts: list[str]) -> list[bytes]:
+    def exact(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.update(zip(words, ids, strict=True))
+        self.held += len(words) * ENTRY_BYTES + sum(map(len, words)) + sum(map(len, ids))
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are not known yet."""
+        import numpy as np
+
+        joined, other, stems = [], [], set()
+        for w in words:
+            m = _STEM.fullmatch(w)
+            if m is None:
+                other.append(w)
+            else:
+                stems.add(m[1])
+                if m[2]:
+                    stems.add(m[2])
+                    joined.append((w, m[1], m[2]))
+        fresh = [x for x in stems if x not in self]
+        letters = [x for x in fresh if x[0].isalpha()]
+        other += [x for x in fresh if not x[0].isalpha()]
+        for i in range(0, len(letters), 4096):
+            part = letters[i : i + 4096]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):  # a word that is not one run of letters to the tokenizer
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            out = []
+            for cut in cuts:
+                out.append(raw[4 * at : 4 * cut])
+                at = cut
+            self._keep(part, out)
+        for i in range(0, len(other), 4096):
+            self._keep(other[i : i + 4096], self.exact(other[i : i + 4096]))
+        self._keep([w for w, _, _ in joined], [self[a] + self[b] for _, a, b in joined])
+
+
+class Encoder:
+    """Texts to token ids."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.words = Words(Tokenizer.from_file(path))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        seen, parts = self.seen, {}
-        for k, text in enumerate(texts):
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                parts[k] = text.lower().split()
-        words = set().union(*parts.values())
-        fresh = list(words.difference(seen))
-        if len(seen) + len(fresh) > REMEMBERED:
-            seen.clear()
-            fresh = list(words)
-        for i in range(0, len(fresh), 4096):
-            seen.update(zip(fresh[i : i + 4096], self._exact(fresh[i : i + 4096]), strict=True))
-        rest = [k for k in range(len(texts)) if k not in parts]
-        whole = dict(zip(rest, self._exact([texts[k] for k in rest]), strict=True)) if rest else {}
-        return [whole[k] if k in whole else b"".join(map(seen.__getitem__, parts[k])) for k in range(len(texts))]
+        """The ids of each text as little-endian 32-bit bytes. The words of all plain texts are
+        looked up once each; places of words in the texts then select their ids."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        words = self.words
+        if words.held > REMEMBERED_BYTES:
+            words.clear()
+            words.held = 0
+        plain = [k for k, text in enumerate(texts) if "<|" not in text and PLAIN.fullmatch(text)]
+        known = set(plain)
+        rest = [k for k in range(len(texts)) if k not in known]
+        out: list[bytes] = [b""] * len(texts)
+        for k, ids in zip(rest, words.exact([texts[k] for k in rest]) if rest else [], strict=True):
+            out[k] = ids
+        if not plain:
+            return out
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([texts[k] for k in plain], pa.large_string())))
+        coded = split.flatten().dictionary_encode()
+        here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words[""] = b""
+        ids_of = list(map(words.get, here))
+        fresh = [k for k, ids in enumerate(ids_of) if ids is None]
+        words.learn([here[k] for k in fresh])
+        for k in fresh:
+            ids_of[k] = words[here[k]]
+        sizes = np.array(list(map(len, ids_of)), np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(ids_of), "<u4"), np.cumsum(sizes) - sizes
+        place = coded.indices.to_numpy()
+        n = sizes[place]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begin[place] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[np.concatenate([[0], np.cumsum(np.asarray(split.value_lengths()))])].tolist()
+        for k, lo, hi in zip(plain, ends, ends[1:], strict=False):
+            out[k] = ids[lo:hi].tobytes()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -90,15 +169,21 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(lo, 512), []
-                texts = ["" if t is None else t for t in part.column(1).to_pylist()]
-                for key, ids in zip(part.column(0).to_pylist(), coder.encode(texts), strict=True):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_numpy(zero_copy_only=False).tolist()
+            lo = 0
+            while lo < len(texts):
+                hi, held = lo, 0
+                while hi < len(texts) and held < CHUNK_CHARS:
+                    held += len(texts[hi])
+                    hi += 1
+                rows = []
+                for key, ids in zip(keys[lo:hi], coder.encode(texts[lo:hi]), strict=True):
                     ids += END_ID.to_bytes(4, "little")
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         piece = ids[at : at + 4 * length]
                         rows.append((key, k, k * length, len(piece) // 4, zlib.crc32(piece)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECE_TYPES, strict=True)], names=PIECE_NAMES)
+                lo = hi
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -145,7 +230,7 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
             n = fits.bit_length() - 1
             inside.append((n, take(n)))
             gap -= n
-        if gap and mask and len(inside) > 1:
+        if gap and mask:
             smallest = inside[-1][0]
             for total in range(gap + smallest, smallest, -1):
                 if found := pair(total):
@@ -159,54 +244,67 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def pack(cut: DataFrame, scratch: Scratch, length: int = LENGTH, pack_rows: int = PACK_ROWS) -> DataFrame:
-    """Pieces with sequence_id and offset. The pieces are dealt evenly, whatever their keys,
-    and a task packs pack_rows of them at a time."""
-    cut = scratch.save(cut, "pieces")
-    n = max(2, -(-cut.count() // pack_rows))
+def _packs(rows: DataFrame, packs: int, length: int, level: int) -> DataFrame:
+    """Each of so many packs in a task: PACKED and whether the sequence is left over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        next_id, kept, rows = TaskContext.get().partitionId() << 40, [], 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            nonlocal next_id
-            part = pa.Table.from_batches(kept)
-            order, sequence, offset = [], [], []
-            sizes = part.column("length").to_pylist()
-            for inside in best_two_fit(sizes, length):
-                at = 0
-                for place in inside:
-                    order.append(place)
-                    sequence.append(next_id)
-                    offset.append(at)
-                    at += sizes[place]
-                next_id += 1
-            out = part.take(pa.array(order, pa.int64()))
-            out = out.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
-            yield from out.to_batches(max_chunksize=10_000)
+        kept = list(batches)
+        if not kept:
+            return
+        part = pa.Table.from_batches(kept)
+        sizes = part.column("length").to_pylist()
+        # the place in the pack decides between equal lengths, so it must not depend on the shuffle
+        by = part.append_column("at", pa.array(range(len(sizes)), pa.int64())).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).column("at").to_pylist()
+        next_id = (level << 56) + (TaskContext.get().partitionId() << 32)
+        order, sequence, offset, over = [], [], [], []
+        for inside in best_two_fit([sizes[i] for i in by], length):
+            at = 0
+            for place in (by[i] for i in inside):
+                order.append(place)
+                sequence.append(next_id)
+                offset.append(at)
+                at += sizes[place]
+            over += [length - at > LEFT_OVER * length] * len(inside)
+            next_id += 1
+        out = part.take(pa.array(order, pa.int64()))
+        for name, values, kind in (("sequence_id", sequence, pa.int64()), ("offset", offset, pa.int64()), ("over", over, pa.bool_())):
+            out = out.append_column(name, pa.array(values, kind))
+        yield from out.to_batches(max_chunksize=10_000)
+
+    return rows.repartition(packs).mapInArrow(run, PACKED + ", over boolean")
 
-        for batch in batches:
-            kept.append(batch)
-            rows += batch.num_rows
-            if rows >= pack_rows:
-                yield from done()
-                kept, rows = [], 0
-        if rows:
-            yield from done()
 
-    return cut.repartition(n).mapInArrow(run, PACKED)
+def pack(cut: DataFrame, scratch: Scratch, length: int = LENGTH, pack_rows: int = PACK_ROWS) -> DataFrame:
+    """Pieces with sequence_id and offset. Full pieces are sequences already. The others are
+    dealt evenly, whatever their keys, into packs of pack_rows; what the packs leave over, the
+    sequences that are not full to within LEFT_OVER, is packed again, until it is one pack."""
+    rows, done, level = scratch.save(cut, "pieces"), None, 0
+    n = rows.count()
+    while True:
+        packs = max(1, -(-n // pack_rows))
+        out = scratch.save(_packs(rows, packs, length, level), f"packed{level}")
+        left = out.where("over")
+        m = left.count() if packs > 1 else 0
+        again = 0 < m < n / 2  # else the last packs are as good as more would be
+        here = out.where("not over") if again else out
+        here = here.select(*[c.split()[0] for c in PACKED.split(", ")])
+        done = here if done is None else done.union(here)
+        if not again:
+            return done
+        rows, n, level = left.select(*PIECE_NAMES), m, level + 1
 
 
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Only documents longer than length are cut. Null ids stay null; equal rows are packed each
-    for itself; an empty table gives an empty one.
+    Only documents longer than length are cut. Null and empty texts are one token; null ids
+    stay null; equal rows are packed each for itself; an empty table gives an empty one.
     """
     return pack(pieces(docs, doc_id, text, length, path), Scratch(docs.sparkSession, "packing"), length)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents, null and empty texts, ties and repeats as ``packed`` treats them."""
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

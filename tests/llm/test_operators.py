@@ -261,8 +261,41 @@ def test_plain_texts_are_encoded_as_by_the_tokenizer():
     rng = np.random.default_rng(0)
     letters = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA1, 0x250)]] + list(" \n\t''   İ😀")
     texts = ["".join(rng.choice(letters, 60)) for _ in range(400)] + ["it's I'LL <|endoftext|> x'd", "", "\x0b \x1c a"]
-    want = [np.array(e.ids, "<u4").tobytes() for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in coder.words.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert coder.encode(texts) == want
+    assert coder.encode(texts[::-1]) == want[::-1]
+
+
+def test_words_are_forgotten_beyond_a_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 0)
+    coder = packing.Encoder(packing.tokenizer_path())
+    first = coder.encode(["one two three. two"])
+    assert coder.encode(["two. three"]) != first and coder.encode(["one two three. two"]) == first
+
+
+def test_packs_leave_few_sequences_open(spark):
+    """In packs, the sequences are within a hundredth of the least number there can be."""
+    rng = np.random.default_rng(8)
+    sizes = np.minimum(rng.geometric(1 / 500, 20_000), 2048).tolist()
+    cut = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], packing.PIECES)
+    for rows in (30_000, 1500):
+        got = packing.pack(cut, packing.Scratch(spark, "test"), pack_rows=rows).collect()
+        assert sorted(r.doc_id for r in got) == list(range(20_000))
+        full: Counter = Counter()
+        for r in got:
+            full[r.sequence_id] += r.length
+        places: dict = {}
+        for r in got:
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for inside in places.values():
+            inside.sort()
+            assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))]
+        assert max(full.values()) <= 2048 and len(full) <= math.ceil(sum(sizes) / 2048) * 1.01
+
+
+def test_one_document_gives_way_to_two():
+    """A bin's only document is its smallest: 60 leaves a gap of 40 that two of 49 fill better."""
+    assert sorted(map(len, packing.best_two_fit([60, 49, 49], 100))) == [1, 2]
 
 
 # 7 -----------------------------------------------------------------------------------------
