@@ -3,12 +3,18 @@
 To find every byte that lies in a string of LENGTH bytes which also starts elsewhere, the
 starts have to be compared by their next LENGTH bytes. Equal strings share the place of
 their smallest gram hash, so each text is first cut at such places (anchors), about one for
-60 bytes, and only starts whose anchor's gram occurs elsewhere go on. Starts that can be
-equal then meet in one task, where their order is refined as in suffix sorting: buckets of
-equal short grams are split by the bucket of the start that lies one gram further on, which
-doubles the compared length; the new buckets serve the next round, and starts that stand
-alone in a bucket leave. Copies of whole texts are counted before and stand for themselves
-once.
+75 bytes, and only starts whose anchor's gram occurs elsewhere go on.
+
+The starts of an anchor are dealt into parts of WIDTH neighbours. All strings of a part share
+their middle, the core, so equal strings meet under the digest of their core, and what tells
+them apart is the few bytes before and after it, the flanks. Equal parts, in one text or in
+many, become one row with a count; where it is over one, all its starts repeat. Only different
+parts of one core are refined: buckets of equal short grams are split by the bucket of the
+start that lies one gram further on, as in suffix sorting, which doubles the compared length;
+the new buckets serve the next round, and starts that stand alone in a bucket leave. The parts
+of a core that has very many are refined by the same pointers in a table instead, so no task
+holds a group that grows with the data. Copies of whole texts are counted before and stand for
+themselves once.
 """
 
 from __future__ import annotations
@@ -25,75 +31,106 @@ from ..shipping import ship_package
 from .minhash import _mix
 from .scratch import Scratch, bounded_broadcast
 
-#: Bytes of a repeat, of an anchor's gram, and of the first buckets (LENGTH = FIRST * 2 ** n).
-LENGTH, GRAM, FIRST = 200, 50, 25
-#: Context bytes that one refinement handles, and rows of a gram beyond which a task's work
-#: on it is split by the place of the start before its anchor.
-CHUNK_BYTES, SPLIT_ROWS, SPLIT_WIDTH = 3 << 20, 4000, 25
+#: Bytes of a repeat and of an anchor's gram.
+LENGTH, GRAM = 200, 50
+#: Neighbouring starts of a part, and bytes of the digest that stands for a core: a start is then
+#: told by WIDTH - 1 bytes of flanks and the digest, in all TOLD = FIRST * 2 ** n of them.
+WIDTH, DIGEST, FIRST = 25, 16, 10
+TOLD = WIDTH - 1 + DIGEST
+#: Different parts of a core that one task refines, more are refined in a table; parts that a
+#: task refines at a time; bytes of texts whose anchors are found at a time.
+MOST_PARTS, CHUNK_PARTS, CHUNK_BYTES = 250, 4000, 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = _mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse (modulo 2 ** 64)."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        up = np.full(size, _U(_BASE))
+        down = np.full(size, _U(pow(_BASE, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _POWERS[size] = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+    up, down = _POWERS[size]
+    return up[:n], down[:n]
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n bytes in a row, by doubling."""
+    """A hash of each n bytes in a row: differences of running sums."""
     if len(data) < n:
         return np.zeros(0, _U)
-    out, have, power, width, part = None, 0, _TABLE[data], 1, n
-    while part:
-        if part & 1:
-            out = power if out is None else _mix(out[: len(data) - have - width + 1] * _U(_BASE) + power[have : have + len(data) - have - width + 1])
-            have += width
-        part >>= 1
-        if part:
-            power = _mix(power[:-width] * _U(_BASE) + power[width:])
-            width *= 2
-    return out[: len(data) - n + 1]
-
-
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor, first start, last start, gram hash): of every start of length bytes, the
-    leftmost smallest gram inside; starts with the same one are a run."""
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum(_TABLE[data] * up, out=sums[1:])
+    return _mix((sums[n:] - sums[:-n]) * down[: len(data) - n + 1])
+
+
+def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end: (text, anchor, first start, last start, gram hash), places
+    within the text. Every start of length bytes has the leftmost smallest gram inside as its
+    anchor; starts with the same one are a run."""
     h = gram_hashes(data, gram)
     w = length - gram + 1
     n = len(h) - w + 1
+    empty = np.zeros(0, np.int64)
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),)
-    # sliding minimum of (hash, place): of blocks, the minima from the left and from the right
-    pad = -len(h) % w
-    grid = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max, _U)]).reshape(-1, w)
+        return empty, empty, empty, empty, np.zeros(0, _U)
+    # 33 bits of the hash and the place: the smallest of these is the leftmost smallest
+    places = _U((1 << 31) - 1)
+    key = (h & ~places) | np.arange(len(h), dtype=_U)
+    # sliding minimum: of blocks, the minima from the left and from the right
+    grid = np.concatenate([key, np.full(-len(key) % w, np.iinfo(np.uint64).max, _U)]).reshape(-1, w)
     left = np.minimum.accumulate(grid, axis=1).ravel()
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    smallest = np.minimum(right[:n], left[w - 1 : w - 1 + n])
-    # the leftmost place of that value in the window: the next place with it from the start on
-    change = np.flatnonzero(np.concatenate([[True], smallest[1:] != smallest[:-1]]))
-    first, last, at = [], [], []
-    ends = np.concatenate([change[1:], [n]])
-    for lo, hi in zip(change.tolist(), ends.tolist(), strict=True):
-        value, i = smallest[lo], lo
-        places = lo + np.flatnonzero(h[lo : hi - 1 + w] == value)
-        for p in places.tolist():
-            if i >= hi:
-                break
-            if p >= i:
-                stop = min(hi, p + 1)
-                first.append(i)
-                last.append(stop - 1)
-                at.append(p)
-                i = stop
-    at_ = np.array(at, np.int64)
-    return at_, np.array(first, np.int64), np.array(last, np.int64), h[at_]
-
-
-def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, first: int = FIRST) -> np.ndarray:
-    """Of starts in data (each followed by length bytes), which have an equal one among them."""
-    bucket = gram_hashes(data, first)
+    at = (np.minimum(right[:n], left[w - 1 : w - 1 + n]) & places).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    # starts whose string ends in their own text
+    whole = np.zeros(n + 1, np.int64)
+    long = sizes >= length
+    np.add.at(whole, begin[long], 1)
+    np.add.at(whole, (begin + sizes - length + 1)[long], -1)
+    inside = np.cumsum(whole[:n]) > 0
+    new = np.ones(n, bool)
+    new[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])
+    new[begin[long]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], n) - 1
+    first, last = first[inside[first]], last[inside[first]]
+    text = np.searchsorted(begin, first, "right") - 1
+    here = begin[text]
+    return text, at[first] - here, first - here, last - here, h[at[first]]
+
+
+def first_buckets(data: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """A number for each place, equal where the next n bytes are: ordered by a hash, and told
+    apart by the bytes themselves where a hash is shared."""
+    hashes = gram_hashes(data, n)[places]
+    order = np.argsort(hashes, kind="stable")
+    grams = np.lib.stride_tricks.sliding_window_view(data, n)[places[order]]
+    same_hash = hashes[order][1:] == hashes[order][:-1]
+    same = same_hash & (grams[1:] == grams[:-1]).all(axis=1)
+    if (same_hash & ~same).any():  # two grams share a hash
+        return np.unique(grams, axis=0, return_inverse=True)[1].ravel()[np.argsort(order, kind="stable")]
+    out = np.empty(len(places), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(~same)])
+    return out
+
+
+def refine(data: np.ndarray, starts: np.ndarray, length: int = TOLD, first: int = FIRST) -> np.ndarray:
+    """A number for each of starts in data (each followed by length bytes), equal where the
+    strings are, and -1 where a string stands alone."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
     have = first
     # only places that a start's comparison still leads to keep an identifier
-    needed = np.unique((starts[:, None] + np.arange(0, length - first + 1, first)[None, :]).ravel()) if len(starts) else starts
-    ids = np.zeros(len(bucket), np.int64)
-    ids[needed] = np.unique(bucket[needed], return_inverse=True)[1]
+    needed = np.unique((starts[:, None] + np.arange(0, length - first + 1, first)[None, :]).ravel())
+    ids = np.zeros(len(data), np.int64)
+    ids[needed] = first_buckets(data, needed, first)
     alive = starts
     while len(alive):
         size = np.bincount(ids[alive])
@@ -107,102 +144,145 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, first: in
         fresh = np.unique(key, return_inverse=True)[1]
         ids[reach] = fresh
         have += step
-    return alive
-
-
-def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
+    out = np.full(len(starts), -1, np.int64)
+    out[np.isin(starts, alive)] = ids[alive]
+    return out
 
 
 ANCHORS = "text_hash binary, anchor int, lo int, hi int, gram long"
-CONTEXTS = "text_hash binary, lo int, hi int, gram long, part int, context binary"
-REPEATS = "text_hash binary, lo int, hi int"
+#: Of a text: core (its digest), left and right flank, how often they stand together, and the
+#: runs of starts that they stand for; near and far: the least and most bytes of left flank
+#: that a start has.
+PARTS = "core binary, before binary, after binary, near int, far int, n int, text_hash binary, runs array<struct<lo:int,hi:int>>"
+#: Of the starts of a part, by their bytes of left flank, those that repeat.
+MARKS = "core binary, before binary, after binary, near int, far int, back int"
 
 
 def _hash(text) -> F.Column:
     return F.unhex(F.md5(text))
 
 
+def parts_of(data: bytes, hits: list, length: int = LENGTH, width: int = WIDTH) -> dict[tuple, list]:
+    """(core, before, after, near, far) -> runs of starts, for a text and its anchors (anchor,
+    lo, hi): a part holds the starts with (anchor - start) // width = part."""
+    found: dict[tuple, list] = {}
+    for at, lo, hi in hits:
+        for part in range((at - hi) // width, (at - lo) // width + 1):
+            begin, end = at - part * width, at - (part + 1) * width + 1 + length  # of the core
+            first, last = max(lo, begin - width + 1), min(hi, begin)
+            core = hashlib.blake2b(data[begin:end], digest_size=DIGEST, salt=part.to_bytes(2, "little")).digest()
+            key = (core, data[first:begin], data[end : last + length], begin - last, begin - first)
+            runs = found.setdefault(key, [])
+            if runs and runs[-1][1] + 1 == first:
+                runs[-1][1] = last
+            else:
+                runs.append([first, last])
+    return found
+
+
 def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """From distinct texts (text_hash, data): (text_hash, lo, hi), runs of starts whose next
     length bytes also start elsewhere."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, d in zip(batch.column(0), batch.column(1), strict=True):
-                at, lo, hi, g = anchors(np.frombuffer(d.as_buffer(), np.uint8), length, gram)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([h.as_py()] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(g.view(np.int64))], names=["text_hash", "anchor", "lo", "hi", "gram"])
-
-    found = scratch.save(texts.where(F.length("data") >= length).mapInArrow(cut, ANCHORS), "anchors")
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    # long groups are split by where the start lies before the anchor: equal starts agree in it
-    parts = F.when(F.col("many") > SPLIT_ROWS, SPLIT_WIDTH).otherwise(1 << 20)
-    hits = found.join(again, "gram").groupBy("text_hash").agg(F.collect_list(F.struct("anchor", "lo", "hi", "gram", parts.alias("width"))).alias("hits"))
-
-    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            column = batch.column(1).cast(pa.large_binary())
+            bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            raw, lo = np.frombuffer(column.buffers()[2], np.uint8), 0
+            while lo < len(column):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHUNK_BYTES, "right")) - 1)
+                text, at, first, last, g = anchors(raw[bounds[lo] : bounds[hi]], np.diff(bounds[lo : hi + 1]), length, gram)
+                keys = batch.column(0).take(pa.array(lo + text))
+                yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()), *(pa.array(c, pa.int32()) for c in (at, first, last)), pa.array(g.view(np.int64))], names=["text_hash", "anchor", "lo", "hi", "gram"])
+                lo = hi
+
+    long = texts.where(F.length("data") >= length)
+    found = scratch.save(long.mapInArrow(cut, ANCHORS), "anchors")
+    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("gram")
+    hits = found.join(again, "gram").groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("anchor", "lo", "hi"))).alias("hits"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+        names = [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
-            rows, held = [], 0
-            for h, d, hits_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for x in hits_:
-                    # a part holds the starts with (anchor - start) // width = part
-                    for part in range((x["anchor"] - x["hi"]) // x["width"], (x["anchor"] - x["lo"]) // x["width"] + 1):
-                        lo = max(x["lo"], x["anchor"] - (part + 1) * x["width"] + 1)
-                        hi = min(x["hi"], x["anchor"] - part * x["width"])
-                        rows.append((h, lo, hi, x["gram"], part, d[lo : hi + length]))
-                        held += hi - lo + length
-                if held >= CHUNK_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows)
+            for lo in range(0, batch.num_rows, 200):
+                rows = []
+                few = batch.slice(lo, 200)
+                for h, d, hits_ in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), few.column(2), strict=True):
+                    columns = [hits_.values.field(k).to_pylist() for k in range(3)]
+                    for key, runs in parts_of(d, zip(*columns, strict=True), length).items():
+                        rows.append((*key, sum(b - a + 1 for a, b in runs) // (key[4] - key[3] + 1), h, [{"lo": a, "hi": b} for a, b in runs]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    parts = scratch.save(long.join(hits, "text_hash").select("text_hash", "data", "hits").mapInArrow(part, PARTS), "parts")
+    key = ["core", "before", "after", "near", "far"]
+    distinct = scratch.save(parts.groupBy(*key).agg(F.sum("n").alias("n")), "distinct")
+    # a part that is there once, under a core that others have too, is still to be told
+    shared = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least")).where("many > 1 and least = 1")
+    open_ = distinct.join(shared.select("core", "many"), "core")
+    marks = scratch.save(refined(open_.where(F.col("many") <= MOST_PARTS)).union(refined_in_tables(open_.where(F.col("many") > MOST_PARTS), scratch)), "marks")
+    whole = parts.join(distinct.where("n > 1").select(*key), key, "left_semi").select("text_hash", F.explode("runs").alias("r")).select("text_hash", "r.lo", "r.hi")
+    # such a part stands once, and its core begins far bytes after its first start
+    start = F.col("runs")[0]["lo"] + F.col("far") - F.col("back")
+    some = parts.join(marks, key).select("text_hash", start.alias("lo"), start.alias("hi"))
+    return whole.union(some)
+
+
+def refined(open_: DataFrame) -> DataFrame:
+    """MARKS of parts (with n) whose core has few enough others: each core in one task."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
-
-        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-            sizes = np.array([len(r[3]) for r in rows])
-            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            n = sizes - length + 1
-            row_of = np.repeat(np.arange(len(rows)), n)
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            starts = begin[row_of] + offset
-            kept = refine(data, starts, length)
-            mark = np.zeros(len(data), bool)
-            mark[kept] = True
-            out = []
-            for i in np.unique(row_of[mark[starts]]):
-                own = np.flatnonzero(mark[begin[i] : begin[i] + n[i]])
-                for lo, hi in zip(*_runs(own), strict=True):
-                    out.append((rows[i][0], rows[i][1] + int(lo), rows[i][1] + int(hi)))
-            if out:
-                h, lo, hi = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["text_hash", "lo", "hi"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            core, before, after, near, far, n = zip(*held, strict=True)
+            data = np.frombuffer(b"".join(x for row in zip(before, core, after, strict=True) for x in row), np.uint8)
+            lead, size = np.array(list(map(len, before))), np.array([len(a) + DIGEST + len(b) for a, b in zip(before, after, strict=True)])
+            begin = np.cumsum(size) - size + lead  # of the digest
+            each = np.array(far) - near + 1
+            row = np.repeat(np.arange(len(held)), each)
+            back = np.array(near)[row] + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            ids = refine(data, begin[row] - back)
+            # parts that are there more than once are marked as a whole elsewhere
+            keep = np.flatnonzero((ids >= 0) & (np.array(n)[row] == 1))
+            of = row[keep]
+            columns = [[c[i] for i in of] for c in (core, before, after, near, far)]
+            types = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(back[keep], pa.int32())], names=[c.split()[0] for c in MARKS.split(", ")])
 
         last = None
         for batch in batches:
-            for h, lo, hi, g, part, c in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 # whole groups only: a chunk ends where a group does
-                if (g, part) != last and size >= CHUNK_BYTES:
-                    yield from done(held)
-                    held, size = [], 0
-                last = (g, part)
-                held.append((h, lo, hi, c))
-                size += len(c)
+                if row[0] != last and len(held) >= CHUNK_PARTS:
+                    yield from done()
+                    held.clear()
+                last = row[0]
+                held.append(row)
         if held:
-            yield from done(held)
-
-    contexts = texts.join(hits, "text_hash").select("text_hash", "data", "hits").mapInArrow(context, CONTEXTS)
-    dealt = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    return scratch.save(dealt.mapInArrow(meet, REPEATS), "repeats")
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["text_hash", "lo", "hi", "gram", "part", "context"])
+            yield from done()
+
+    columns = ["core", "before", "after", "near", "far", "n"]
+    return open_.select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(meet, MARKS)
+
+
+def refined_in_tables(open_: DataFrame, scratch: Scratch) -> DataFrame:
+    """MARKS of parts whose core has very many others. Each start is a row with its buckets: the
+    part of its left flank, the core, and that of its right flank. A first round tells the starts
+    of a core by place and left flank, and those alone in their bucket leave; a second splits the
+    buckets by the pointer to what follows. Both are counts, so no task holds a core."""
+    back = F.explode(F.sequence("near", "far"))
+    starts = open_.select("core", "before", "after", "near", "far", "n", back.alias("back"))
+    left = F.expr("substring(before, length(before) - back + 1, back)")
+    right = F.expr(f"substring(after, 1, {WIDTH - 1} - back)")
+    starts = scratch.save(starts.withColumn("bucket", F.xxhash64("core", "back", left)).withColumn("left", left).withColumn("right", right), "starts")
+    crowded = starts.groupBy("bucket").agg(F.sum("n").alias("many")).where("many > 1").select("bucket")
+    alive = starts.join(crowded, "bucket", "left_semi")
+    told = ["bucket", "core", "back", "left", "right"]
+    equal = alive.groupBy(*told).agg(F.sum("n").alias("many")).where("many > 1").select(*told)
+    found = alive.where("n = 1").join(equal, told, "left_semi")
+    return found.select("core", "before", "after", "near", "far", "back")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -214,28 +294,31 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A byte goes if it lies in a string of length bytes that also starts elsewhere, in any
     row. Null texts count as empty; texts shorter than length stay whole; of equal long
-    texts nothing stays. An empty table gives an empty one.
+    texts, repeated rows among them, nothing stays. Null ids stay null. An empty table gives
+    an empty one. Only doc_id and text are read, whatever other columns are called.
     """
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
     data = F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), data.alias("data")).withColumn("text_hash", _hash(F.col("data")))
-    same = rows.where(F.length("data") >= length).groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    long = rows.where(F.length("data") >= length)
+    same = long.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
     same = scratch.save(same, "same")
-    marked = rows.join(bounded_broadcast(same.select("text_hash", "copies", "first_id")), "text_hash", "left")
+    marked = long.join(bounded_broadcast(same), "text_hash", "left")
+    alone = marked.where("copies is null").select("doc_id", "text_hash", "data")
     # one row stands for a text that occurs more than once
-    once = marked.where(F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("text_hash", "data", "copies")
-    first = once.where("copies is null").select("text_hash", "data").union(once.where("copies is not null").groupBy("text_hash").agg(F.first("data").alias("data")))
-    found = repeated_starts(first, scratch, length)
+    copied = marked.where("copies is not null")
+    once = copied.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("text_hash").agg(F.first("data").alias("data"))
+    found = repeated_starts(alone.select("text_hash", "data").union(once), scratch, length)
     spans = found.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     columns = RESULT + (", kept binary" if keep_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, d, copies, spans_ in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                ranges = [[0, len(d)]] if copies is not None else []
-                for s in [] if copies is not None else spans_ or []:
+            for key, d, spans_ in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                ranges: list[list[int]] = []
+                for s in spans_ or []:
                     lo, hi = s["lo"], s["hi"] + length
                     if ranges and lo <= ranges[-1][1]:
                         ranges[-1][1] = max(hi, ranges[-1][1])
@@ -252,8 +335,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in columns.split(", ")])
 
-    return marked.join(spans, "text_hash", "left").select("doc_id", "data", "copies", "spans").mapInArrow(cut, columns)
+    def plain(df: DataFrame, gone: bool) -> DataFrame:
+        """Rows that go or stay as a whole."""
+        n, kept = F.length("data").cast("long"), F.lit(b"") if gone else F.col("data")
+        zero = F.lit(0).cast("long")
+        made = [n.alias("n_bytes"), (n if gone else zero).alias("n_removed"), F.lit(int(gone)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256")]
+        return df.select("doc_id", *made, *([kept.alias("kept")] if keep_text else []))
+
+    # only texts that are there once are joined with spans, so no text's copies meet in a task
+    told = alone.join(spans, "text_hash", "left").select("doc_id", "data", "spans").mapInArrow(cut, columns)
+    return told.union(plain(copied, True)).union(plain(rows.where(F.length("data") < length), False))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents, null and short texts, ties and repeats as ``without_repeats`` treats them."""
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -113,22 +113,58 @@ def repeats_brute(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split", [4000, 2])
-def test_repeats_equal_brute_force(spark, docs, monkeypatch, split):
-    monkeypatch.setattr(repeats, "SPLIT_ROWS", split)
+@pytest.mark.parametrize("most", [250, 1])
+def test_repeats_equal_brute_force(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST_PARTS", most)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 5000)
+    rng = np.random.default_rng(6)
     rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 60").collect()]
-    rows += [(500, "x" * 700), (501, "ab" * 250), (502, "ab" * 250), (503, "é" * 130), (504, "q" * 199 + "é" * 130), (None, "z" * 199)]
+    rows += [(500, "x" * 700), (501, "ab" * 250), (502, "ab" * 250), (503, "é" * 130), (504, "q" * 199 + "é" * 130), (None, "z" * 199), (505, "x" * 700), (506, "")]
+    passage = "".join(rng.choice(list("abcdef"), 190))  # too short alone, so that its surroundings decide
+    for i in range(60):
+        left, right = ("".join(rng.choice(list("gh"), 12)) for _ in range(2))
+        rows.append((600 + i, f"{i}{'-' * 40}{left}{passage}{right}{'+' * (i % 7)}{i}" + passage[i:]))
     got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == repeats_brute(rows, 200)
 
 
+def test_what_stays_is_the_text_without_the_removed_runs(awkward):
+    got = repeats.without_repeats(awkward, keep_text=True).collect()
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
+
+
 def test_refine_keeps_equal_starts_only():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 2500).astype(np.uint8)
     data[1400:1900] = data[50:550]
     starts = np.arange(len(data) - 199)
     seen = Counter(bytes(data[i : i + 200]) for i in starts)
-    assert repeats.refine(data, starts).tolist() == [i for i in starts if seen[bytes(data[i : i + 200])] > 1]
+    ids = repeats.refine(data, starts, 200, 25)
+    assert starts[ids >= 0].tolist() == [i for i in starts if seen[bytes(data[i : i + 200])] > 1]
+    assert (ids[50:351] == ids[1400:1701]).all() and len(set(ids[50:351].tolist())) == 301
+
+
+def test_first_buckets_do_not_trust_hashes(monkeypatch):
+    data = np.frombuffer(b"abcabcabd", np.uint8)
+    for hashes in (repeats.gram_hashes, lambda data, n: np.zeros(len(data) - n + 1, np.uint64)):
+        monkeypatch.setattr(repeats, "gram_hashes", hashes)
+        ids = repeats.first_buckets(data, np.array([0, 3, 6, 1, 4]), 3).tolist()
+        assert ids[0] == ids[1] and ids[3] == ids[4] and len(set(ids)) == 3
+
+
+def test_anchors_of_equal_strings_stand_at_equal_places():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(97, 100, int(n)).astype(np.uint8) for n in rng.integers(100, 900, 20)]
+    texts[7][100:400] = texts[3][:300] if len(texts[3]) >= 300 and len(texts[7]) >= 400 else texts[7][100:400]
+    texts.append(np.tile(np.frombuffer(b"word ", np.uint8), 100))
+    together = repeats.anchors(np.concatenate(texts), np.array(list(map(len, texts))))
+    for k, t in enumerate(texts):
+        text, at, lo, hi, g = (c[together[0] == k] for c in together)
+        assert np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)] or [[]]).tolist() == list(range(max(0, len(t) - 199)))
+        h = repeats.gram_hashes(t, 50) >> np.uint64(31)
+        for i in range(0, len(t) - 199, 7):
+            r = int(np.flatnonzero((lo <= i) & (hi >= i))[0])
+            assert at[r] == i + int(np.argmin(h[i : i + 151]))
 
 
 # 3 -----------------------------------------------------------------------------------------
