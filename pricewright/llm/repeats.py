@@ -150,12 +150,12 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = TOLD, first: int
 
 
 ANCHORS = "text_hash binary, anchor int, lo int, hi int, gram long"
-#: Of a text: core (its digest), left and right flank, how often they stand together, and the
-#: runs of starts that they stand for; near and far: the least and most bytes of left flank
-#: that a start has.
-PARTS = "core binary, before binary, after binary, near int, far int, n int, text_hash binary, runs array<struct<lo:int,hi:int>>"
+#: Of a text: a part (the digest of all that tells it), its core (a digest), left and right
+#: flank, how often they stand together, and the runs of starts that they stand for; near and
+#: far: the least and most bytes of left flank that a start has.
+PARTS = "part binary, core binary, before binary, after binary, near int, far int, n int, text_hash binary, runs array<struct<lo:int,hi:int>>"
 #: Of the starts of a part, by their bytes of left flank, those that repeat.
-MARKS = "core binary, before binary, after binary, near int, far int, back int"
+MARKS = "part binary, back int"
 
 
 def _hash(text) -> F.Column:
@@ -198,11 +198,11 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
 
     long = texts.where(F.length("data") >= length)
     found = scratch.save(long.mapInArrow(cut, ANCHORS), "anchors")
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("gram")
+    again = scratch.save(found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("gram"), "again")
     hits = found.join(again, "gram").groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("anchor", "lo", "hi"))).alias("hits"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+        types = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
         names = [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
@@ -211,22 +211,29 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
                 for h, d, hits_ in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), few.column(2), strict=True):
                     columns = [hits_.values.field(k).to_pylist() for k in range(3)]
                     for key, runs in parts_of(d, zip(*columns, strict=True), length).items():
-                        rows.append((*key, sum(b - a + 1 for a, b in runs) // (key[4] - key[3] + 1), h, [{"lo": a, "hi": b} for a, b in runs]))
+                        told = b"".join([key[0], *(n.to_bytes(1) for n in key[3:]), key[1], key[2]])
+                        rows.append((hashlib.blake2b(told, digest_size=DIGEST).digest(), *key, sum(b - a + 1 for a, b in runs) // (key[4] - key[3] + 1), h, [{"lo": a, "hi": b} for a, b in runs]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     parts = scratch.save(long.join(hits, "text_hash").select("text_hash", "data", "hits").mapInArrow(part, PARTS), "parts")
-    key = ["core", "before", "after", "near", "far"]
-    distinct = scratch.save(parts.groupBy(*key).agg(F.sum("n").alias("n")), "distinct")
+    scratch.drop("anchors")
+    told = ["part", "core", "before", "after", "near", "far"]
+    distinct = scratch.save(parts.groupBy(*told).agg(F.sum("n").alias("n")), "distinct")
     # a part that is there once, under a core that others have too, is still to be told
-    shared = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least")).where("many > 1 and least = 1")
-    open_ = distinct.join(shared.select("core", "many"), "core")
-    marks = scratch.save(refined(open_.where(F.col("many") <= MOST_PARTS)).union(refined_in_tables(open_.where(F.col("many") > MOST_PARTS), scratch)), "marks")
-    whole = parts.join(distinct.where("n > 1").select(*key), key, "left_semi").select("text_hash", F.explode("runs").alias("r")).select("text_hash", "r.lo", "r.hi")
-    # such a part stands once, and its core begins far bytes after its first start
-    start = F.col("runs")[0]["lo"] + F.col("far") - F.col("back")
-    some = parts.join(marks, key).select("text_hash", start.alias("lo"), start.alias("hi"))
-    return whole.union(some)
+    shared = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least")).where("many > 1 and least = 1").select("core", "many")
+    open_ = distinct.join(scratch.save(shared, "shared"), "core")
+    marks = refined(open_.where(F.col("many") <= MOST_PARTS)).union(refined_in_tables(open_.where(F.col("many") > MOST_PARTS), scratch))
+    marks = marks.groupBy("part").agg(F.sort_array(F.collect_list("back")).alias("backs"))  # WIDTH at most
+    marks = scratch.save(distinct.where("n > 1").select("part", F.lit(None).cast("array<int>").alias("backs")).union(marks), "marks")
+    for name in ("distinct", "starts"):
+        scratch.drop(name)
+    # without backs all starts of a part repeat; with them it stands once, and its core begins
+    # far bytes after its first start
+    at = F.col("runs")[0]["lo"] + F.col("far")
+    some = F.transform("backs", lambda x: F.struct((at - x).alias("lo"), (at - x).alias("hi")))
+    repeated = parts.select("part", "far", "text_hash", "runs").join(marks, "part")
+    return repeated.select("text_hash", F.explode(F.coalesce(some, "runs")).alias("r")).select("text_hash", "r.lo", "r.hi")
 
 
 def refined(open_: DataFrame) -> DataFrame:
@@ -236,7 +243,7 @@ def refined(open_: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            core, before, after, near, far, n = zip(*held, strict=True)
+            part, core, before, after, near, far, n = zip(*held, strict=True)
             data = np.frombuffer(b"".join(x for row in zip(before, core, after, strict=True) for x in row), np.uint8)
             lead, size = np.array(list(map(len, before))), np.array([len(a) + DIGEST + len(b) for a, b in zip(before, after, strict=True)])
             begin = np.cumsum(size) - size + lead  # of the digest
@@ -246,24 +253,21 @@ def refined(open_: DataFrame) -> DataFrame:
             ids = refine(data, begin[row] - back)
             # parts that are there more than once are marked as a whole elsewhere
             keep = np.flatnonzero((ids >= 0) & (np.array(n)[row] == 1))
-            of = row[keep]
-            columns = [[c[i] for i in of] for c in (core, before, after, near, far)]
-            types = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(back[keep], pa.int32())], names=[c.split()[0] for c in MARKS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([part[i] for i in row[keep]], pa.binary()), pa.array(back[keep], pa.int32())], names=["part", "back"])
 
         last = None
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
                 # whole groups only: a chunk ends where a group does
-                if row[0] != last and len(held) >= CHUNK_PARTS:
+                if row[1] != last and len(held) >= CHUNK_PARTS:
                     yield from done()
                     held.clear()
-                last = row[0]
+                last = row[1]
                 held.append(row)
         if held:
             yield from done()
 
-    columns = ["core", "before", "after", "near", "far", "n"]
+    columns = ["part", "core", "before", "after", "near", "far", "n"]
     return open_.select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(meet, MARKS)
 
 
@@ -272,17 +276,15 @@ def refined_in_tables(open_: DataFrame, scratch: Scratch) -> DataFrame:
     part of its left flank, the core, and that of its right flank. A first round tells the starts
     of a core by place and left flank, and those alone in their bucket leave; a second splits the
     buckets by the pointer to what follows. Both are counts, so no task holds a core."""
-    back = F.explode(F.sequence("near", "far"))
-    starts = open_.select("core", "before", "after", "near", "far", "n", back.alias("back"))
-    left = F.expr("substring(before, length(before) - back + 1, back)")
-    right = F.expr(f"substring(after, 1, {WIDTH - 1} - back)")
-    starts = scratch.save(starts.withColumn("bucket", F.xxhash64("core", "back", left)).withColumn("left", left).withColumn("right", right), "starts")
+    left = F.expr("substring(before, length(before) - back + 1, back)").alias("left")
+    right = F.expr(f"substring(after, 1, {WIDTH - 1} - back)").alias("right")
+    starts = open_.select("part", "core", "before", "after", "n", F.explode(F.sequence("near", "far")).alias("back")).select("part", "core", "n", "back", left, right)
+    starts = scratch.save(starts.withColumn("bucket", F.xxhash64("core", "back", "left")), "starts")
     crowded = starts.groupBy("bucket").agg(F.sum("n").alias("many")).where("many > 1").select("bucket")
-    alive = starts.join(crowded, "bucket", "left_semi")
+    alive = starts.join(scratch.save(crowded, "crowded"), "bucket", "left_semi")
     told = ["bucket", "core", "back", "left", "right"]
-    equal = alive.groupBy(*told).agg(F.sum("n").alias("many")).where("many > 1").select(*told)
-    found = alive.where("n = 1").join(equal, told, "left_semi")
-    return found.select("core", "before", "after", "near", "far", "back")
+    equal = scratch.save(alive.groupBy(*told).agg(F.sum("n").alias("many")).where("many > 1").select(*told), "equal")
+    return alive.where("n = 1").join(equal, told, "left_semi").select("part", "back")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
