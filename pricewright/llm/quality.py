@@ -1,12 +1,17 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Counts are taken of every whole text. For each (lang, source) a quantile sketch of each
-ratio is kept: counts in logarithmic buckets, so a quantile is right to within ``ACCURACY``
-of its value. Such sketches merge by adding counts, in any order and with the same result,
-which lets them be pre-aggregated before the shuffle, makes them a few hundred rows for a
-group however large, and lets a small group borrow the sketch of its language or of the
-whole corpus. The thresholds are fences above the quartiles of these sketches; they are
-joined to the documents, and a document beyond a fence is not kept.
+Counts are taken of every whole text. For each (lang, source) a quantile sketch of each rate is
+kept: counts in buckets of the rate's BITS leading binary digits, so a quantile is right to
+within one part in 2 ** (BITS - 1). Such sketches merge by adding counts, in any order and with
+the same result, which lets them be pre-aggregated before the shuffle and makes them a few
+hundred rows for a group however large. No rate has a fixed cutoff: a threshold is a fence above
+the quartiles of a group's own sketch, drawn towards that of its language, and that towards the
+whole corpus's, the more the fewer documents a group has. The fences are joined to the
+documents, and a document beyond one is not kept.
+
+A rate of rare things (symbols, repeated lines and words, capitals) is what a document's count is
+sure of: the count less its own deviation, over the document's size. One repeated line in a
+short text is then no rate at all, in every group alike.
 """
 
 from __future__ import annotations
@@ -18,14 +23,22 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, bounded_broadcast
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: Relative error of the sketches' quantiles; ratios below FLOOR count as zero.
-ACCURACY, FLOOR = 0.01, 1e-4
-#: A group smaller than this takes the thresholds of its language, that of all documents next.
-MIN_GROUP = 200
-#: ratio -> the least value that can fail it: below that, a document is ordinary in any corpus.
-UPPER = {"symbol_ratio": 0.02, "dup_line_ratio": 0.34, "repeat_ratio": 0.30, "upper_ratio": 0.20, "word_length": 7.0}
-#: Fence: the third quartile and so many times the distance from the median to it.
-REACH = 4.0
+#: Leading binary digits of a sketch's buckets; rates are whole millionths.
+BITS, UNIT = 8, 1_000_000
+#: rate -> (count, size, variance of the count, in counts). A repeated line is one of two lines
+#: at least. Repeated words come in sixes at least, two windows of three, and three deviations
+#: of those are allowed: 54 = 3 * 3 * 6.
+RATES = {
+    "symbol_rate": ("n_symbols", "word_chars", 1),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 2),
+    "repeat_rate": ("n_repeat_words", "n_words", 54),
+    "upper_rate": ("n_upper", "word_chars", 1),
+    "word_length": ("word_chars", "n_words", 0),
+}
+#: Fence: the third quartile and so many times the distance between the quartiles.
+REACH = 4
+#: A group's fence counts as much as that of the next larger group when it has so many documents.
+PRIOR = 100
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -55,6 +68,9 @@ def _repeated(windows: Column, words: Column) -> Column:
     return F.sort_array(F.transform(found, lambda x: x["i"]))
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+
+
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs and its counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_lines, n_upper (long). A null text counts as an empty one: all zero."""
@@ -78,83 +94,129 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _ratios(counted: DataFrame) -> dict[str, Column]:
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return {
-        "symbol_ratio": ratio("n_symbols", "word_chars"),
-        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-        "repeat_ratio": ratio("n_repeat_words", "n_words"),
-        "upper_ratio": ratio("n_upper", "word_chars"),
-        "word_length": ratio("word_chars", "n_words"),
-    }
+def rates() -> dict[str, Column]:
+    """Each rate in whole millionths; 0 where the size is 0."""
+    out = {}
+    for name, (count, size, variance) in RATES.items():
+        n = F.col(count).cast("double")
+        sure = F.greatest(n - F.sqrt(variance * n), F.lit(0.0))
+        out[name] = F.coalesce(F.floor(F.try_divide(sure * UNIT, F.col(size).cast("double"))), F.lit(0)).cast("long")
+    return out
 
 
-def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, ratio, bucket, n): one mergeable sketch for each group and ratio."""
-    gamma = F.log(F.lit((1 + ACCURACY) / (1 - ACCURACY)))
-    cells = F.array(*[F.struct(F.lit(k).alias("ratio"), F.when(v < FLOOR, -10_000).otherwise(F.ceil(F.log(v) / gamma)).cast("int").alias("bucket")) for k, v in _ratios(counted).items()])
-    return (
-        counted.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(cells).alias("c"))
-        .groupBy("lang", "source", "c.ratio", "c.bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def _places(x: Column) -> Column:
+    """Binary digits of x that its bucket leaves out."""
+    return F.greatest(F.length(F.bin(x)) - BITS, F.lit(0))
 
 
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Of merged sketches: keys, ratio, n, fence."""
-    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    by = W.partitionBy(*keys, "ratio")
-    gamma = (1 + ACCURACY) / (1 - ACCURACY)
-    value = F.when(F.col("bucket") == -10_000, 0.0).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket").cast("double")) / (gamma + 1))
-    upto = merged.select("*", F.sum("n").over(by.orderBy("bucket")).alias("upto"), F.sum("n").over(by).alias("total"), value.alias("value"))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("value")))
-    least = F.create_map(*[F.lit(x) for kv in UPPER.items() for x in kv])
-    mid, high = at(0.5), at(0.75)
-    return (
-        upto.groupBy(*keys, "ratio")
-        .agg(F.first("total").alias("total"), mid.alias("mid"), high.alias("high"))
-        .select(*keys, "ratio", "total", F.greatest(least[F.col("ratio")], F.col("high") + REACH * (F.col("high") - F.col("mid"))).alias("fence"))
-    )
+def sketches(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, source, rate, bucket, n): one mergeable sketch for each group and rate; a bucket
+    is its least value."""
+    cells = F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("x")) for k, v in rates().items()])
+    rows = counted.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(cells).alias("c")).select("lang", "source", "c.rate", "c.x")
+    bucket = F.call_function("shiftleft", F.call_function("shiftright", F.col("x"), _places(F.col("x"))), _places(F.col("x")))
+    return rows.groupBy("lang", "source", "rate", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Of merged sketches: keys, rate, total (documents), fence. A quantile is the largest value
+    of the bucket that it lies in."""
+    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    by = W.partitionBy(*keys, "rate")
+    high = F.col("bucket") + F.call_function("shiftleft", F.lit(1).cast("long"), _places(F.col("bucket"))) - 1
+    upto = merged.select(*keys, "rate", high.alias("high"), F.sum("n").over(by.orderBy("bucket")).alias("upto"), F.sum("n").over(by).alias("total"))
+    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("high")))
+    quartiles = upto.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(1).alias("low"), at(3).alias("high"))
+    return quartiles.select(*keys, "rate", "total", (F.col("high") + REACH * (F.col("high") - F.col("low"))).cast("double").alias("fence"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each (lang, source): a fence for each ratio, from its own sketch or, where
-    it has seen under MIN_GROUP documents, from its language's or the whole corpus's."""
-    own, lang, all_ = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"]), _fences(sketch, [])
-    l = lang.select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
-    a = all_.select(F.col("ratio").alias("a_ratio"), F.col("fence").alias("a_fence"))
-    joined = own.join(l, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio")), "left").join(a, F.col("ratio") == F.col("a_ratio"), "left")
-    fence = F.when(F.col("total") >= MIN_GROUP, F.col("fence")).when(F.col("l_total") >= MIN_GROUP, F.col("l_fence")).otherwise(F.col("a_fence"))
-    return joined.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("ratio") == k, fence)).alias(f"max_{k}") for k in UPPER])
+    """One row for each (lang, source), as t_lang and t_source: max_ and the name of each rate.
+    With n documents a fence counts n / (n + PRIOR), the fence of the next larger group the rest."""
+    own, lang, all_ = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch, [])
+    l = lang.select(F.col("lang").alias("l_lang"), F.col("rate").alias("l_rate"), F.col("total").alias("l_total"), F.col("fence").alias("l_fence"))
+    a = all_.select(F.col("rate").alias("a_rate"), F.col("fence").alias("a_fence"))
+    joined = own.join(l, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate"))).join(a, F.col("rate") == F.col("a_rate"))
+    wider = (F.col("l_total").cast("double") * F.col("l_fence") + PRIOR * F.col("a_fence")) / (F.col("l_total").cast("double") + PRIOR)
+    fence = (F.col("total").cast("double") * F.col("fence") + PRIOR * wider) / (F.col("total").cast("double") + PRIOR)
+    return joined.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("rate") == k, fence)).alias(f"max_{k}") for k in RATES])
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True) -> DataFrame:
     """One row for each row of docs: its columns, the counts of ``with_counts``,
-    base_failed and kept (never null).
+    base_failed and kept (never null), and the thresholds that held (max_...).
 
     base_failed: under MIN_WORDS words, or over MAX_REPEAT_PERCENT % of them repeat.
-    kept: not base_failed, and no ratio above the fence of its language and source.
+    kept: not base_failed, and no rate above the fence of its language and source.
     Null languages and sources form groups of their own; empty and null texts fail; equal
     rows are judged alike; an empty table gives an empty one. Columns of docs named like
     one of the results are replaced by it. Without keep_text the text column is left out,
     so that only counts are written between the two passes.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "base_failed", "kept", "t_lang", "t_source", *(f"max_{k}" for k in UPPER)}
+    made = {*COUNTS, "base_failed", "kept", "t_lang", "t_source", *(f"max_{k}" for k in RATES)}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made or c in ("_words", "_lines", "_marks", "_windows", "_at")])
     counted = with_counts(docs, text)
     counted = scratch.save(counted if keep_text else counted.drop(text), "counted")
-    fences = scratch.save(thresholds(sketches(counted, lang, source)), "fences")
+    held = scratch.save(thresholds(sketches(counted, lang, source)), "fences")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     beyond = F.lit(False)
-    for k, v in _ratios(counted).items():
+    for k, v in rates().items():
         beyond = beyond | F.coalesce(v > F.col(f"max_{k}"), F.lit(False))
     return (
-        counted.join(bounded_broadcast(fences), F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
-        .select(*[c for c in docs.columns if keep_text or c != text], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", failed.alias("base_failed"), (~failed & ~beyond).alias("kept"), *[f"max_{k}" for k in UPPER])
+        counted.join(bounded_broadcast(held), F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
+        .select(*[c for c in docs.columns if keep_text or c != text], *COUNTS, failed.alias("base_failed"), (~failed & ~beyond).alias("kept"), *[f"max_{k}" for k in RATES])
     )
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """All documents, null and empty texts, ties and repeats as ``judge`` treats them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     return judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The kept rows (k) of documents as a query for DuckDB: the counts and the verdict.
+KEPT_SQL = r"""
+cut AS (
+  SELECT *, row_number() OVER () AS k, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), grams AS (
+  SELECT k, i, [w[i], w[i + 1], w[i + 2]] AS g FROM cut, unnest(range(1, len(w) - 1)) AS u(i)
+), repeated AS (
+  SELECT k, count(DISTINCT i + j) AS n_repeat_words
+  FROM (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS many FROM grams) WHERE many > 1), range(0, 3) AS r(j) GROUP BY k
+), counted AS (
+  SELECT cut.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper
+  FROM cut LEFT JOIN repeated USING (k)
+), cells AS (
+  SELECT k, lang, source, rate, coalesce(CAST(floor(sure * 1000000.0::DOUBLE / nullif(size, 0)) AS BIGINT), 0) AS x FROM (
+    SELECT k, lang, source, 'symbol_rate' AS rate, n_symbols - sqrt(n_symbols::DOUBLE) AS sure, word_chars::DOUBLE AS size FROM counted
+    UNION ALL SELECT k, lang, source, 'dup_line_rate', greatest(n_dup_lines - sqrt(2 * n_dup_lines::DOUBLE), 0), n_lines::DOUBLE FROM counted
+    UNION ALL SELECT k, lang, source, 'repeat_rate', greatest(n_repeat_words - sqrt(54 * n_repeat_words::DOUBLE), 0), n_words::DOUBLE FROM counted
+    UNION ALL SELECT k, lang, source, 'upper_rate', n_upper - sqrt(n_upper::DOUBLE), word_chars::DOUBLE FROM counted
+    UNION ALL SELECT k, lang, source, 'word_length', word_chars::DOUBLE, n_words::DOUBLE FROM counted)
+), sketch AS (
+  SELECT lang, source, rate, (x >> p) << p AS bucket, ((x >> p) << p) + (1 << p) - 1 AS high, count(*) AS n
+  FROM (SELECT *, greatest(length(bin(x)) - 8, 0) AS p FROM cells) GROUP BY ALL
+), levels AS (
+  SELECT 0 AS level, lang, source, rate, high, n FROM sketch UNION ALL SELECT 1, lang, NULL, rate, high, n FROM sketch UNION ALL SELECT 2, NULL, NULL, rate, high, n FROM sketch
+), upto AS (
+  SELECT level, lang, source, rate, high, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY high) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total
+  FROM (SELECT level, lang, source, rate, high, sum(n) AS n FROM levels GROUP BY ALL)
+), fence AS (
+  SELECT level, lang, source, rate, max(total)::DOUBLE AS total,
+         CAST(min(high) FILTER (WHERE 4 * upto >= 3 * total) + 4 * (min(high) FILTER (WHERE 4 * upto >= 3 * total) - min(high) FILTER (WHERE 4 * upto >= total)) AS DOUBLE) AS fence
+  FROM upto GROUP BY ALL
+), held AS (
+  SELECT o.lang, o.source, o.rate, (o.total * o.fence + 100 * ((l.total * l.fence + 100 * a.fence) / (l.total + 100))) / (o.total + 100) AS fence
+  FROM fence o JOIN fence l ON l.level = 1 AND l.rate = o.rate AND l.lang IS NOT DISTINCT FROM o.lang JOIN fence a ON a.level = 2 AND a.rate = o.rate WHERE o.level = 0
+), beyond AS (
+  SELECT k FROM cells c JOIN held h ON h.rate = c.rate AND h.lang IS NOT DISTINCT FROM c.lang AND h.source IS NOT DISTINCT FROM c.source GROUP BY k HAVING bool_or(x > fence)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND k NOT IN (SELECT k FROM beyond) AS kept FROM counted
+)"""
+OP5_SQL = f"WITH {KEPT_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"

@@ -16,5 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_mix_sources": mixing.OP4_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
     "op7_chat_format": chat.OP7_SQL,
 }

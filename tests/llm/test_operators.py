@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
 from pricewright.llm import chat, licenses, minhash, mixing, neighbours, packing, pii, quality, queries, repeats, toxicity
@@ -223,6 +224,26 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mixed_rows(df).count() == sum(r.times for r in got)
 
 
+def test_repeated_rows_and_capped_sources_keep_their_promises(spark, monkeypatch):
+    """Equal rows come as near to a target as others; empty texts of a capped source are taken
+    three times at most; many sources are put in order in parts."""
+    rows = [(1, "one two three four five six seven eight nine ten", "a")] * 500 + [(2, "w " * 10, "b")] * 500
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == 1000 and all(abs(taken[s] - target[s]) <= 5 for s in "ab")
+    small = spark.createDataFrame([(i, "w " * 50, "z") for i in range(50)] + [(100, "x y", "a"), (101, "", "a"), (102, None, "a")], "doc_id long, text string, source string")
+    assert max(r.times for r in mixing.mix(small).collect()) == 3
+    assert mixing.mixed_rows(small).where("doc_id = 101").count() == 3
+    monkeypatch.setattr(mixing, "SOURCES_A_TASK", 3)
+    many = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 23}" if i % 23 else None) for i in range(400)], "doc_id long, text string, source string")
+    sizes = {r.source: r.source_size for r in mixing.mix(many).collect()}
+    want = targets_brute(sizes)
+    assert all(math.isclose(r.target, want[r.source], rel_tol=1e-9) for r in mixing.mix(many).collect())
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
@@ -247,12 +268,54 @@ def test_quality_counts_and_verdicts(spark, docs, awkward):
     assert all(bool(q) == kept for q, kept in judged)
 
 
-def test_sketches_merge_to_the_same_quantiles(spark):
+def test_sketches_merge_to_the_same_fences(spark):
     df = spark.createDataFrame([(f"w{i} " * (i % 90 + 1), "en", f"s{i % 3}") for i in range(600)], "text string, lang string, source string")
     whole = quality.sketches(quality.with_counts(df))
-    halves = quality.sketches(quality.with_counts(df.limit(300))).union(quality.sketches(quality.with_counts(df.subtract(df.limit(300)))))
-    key = lambda s: sorted(map(str, quality._fences(s, ["lang"]).collect()))
-    assert key(whole)[0].split("fence=")[1] == key(whole)[0].split("fence=")[1] and len(key(halves)) == len(key(whole)) == len(quality.UPPER)
+    parts = [quality.sketches(quality.with_counts(df.where(f"length(text) % 3 = {k}"))) for k in range(3)]
+    merged = parts[0].union(parts[1]).union(parts[2])
+    for keys in (["lang", "source"], ["lang"], []):
+        fences = sorted(map(tuple, quality.fences(whole, keys).collect()))
+        assert fences == sorted(map(tuple, quality.fences(merged, keys).collect())) and len({f[-3] for f in fences}) == len(quality.RATES)
+
+
+def test_buckets_hold_a_value_to_one_part_in_128(spark):
+    n = [0, 1, 100, 255, 256, 257, 999, 12_345, 999_999, 6_543_210]
+    rows = [(0, x, 0, 0, 0, 1, 0) for x in n]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in quality.COUNTS)).selectExpr("*", "'l' AS lang", "string(word_chars) AS source").withColumn("n_words", F.lit(1_000_000))
+    got = {int(r.source): r.bucket for r in quality.sketches(df).where("rate = 'word_length'").collect()}
+    assert all(got[x] <= x <= got[x] + got[x] / 128 for x in n)
+
+
+def test_thresholds_are_those_of_the_group(spark):
+    """A text of long words is ordinary where all are, and not kept in a source of short ones."""
+    rng = np.random.default_rng(1)
+    say = lambda size: " ".join("".join(rng.choice(list("abcdefgh"), max(1, int(rng.normal(size, 1))))) for _ in range(80))
+    rows = [(i, say(5), "en", "short") for i in range(1200)] + [(2000 + i, say(9), "en", "long") for i in range(1200)]
+    rows += [(4000, rows[1500][1], "en", "short"), (4001, rows[1500][1], "en", "long"), (4002, rows[1500][1], "en", None)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[4000].kept and got[4001].kept and got[4000].max_word_length < 8e6 < 9e6 < got[4001].max_word_length
+    assert got[4000].max_word_length < got[4002].max_word_length  # few documents: near the whole corpus
+    assert np.mean([got[i].kept for i in range(1200)]) > 0.97 and np.mean([got[2000 + i].kept for i in range(1200)]) > 0.97
+
+
+# SQL -----------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in ("documents", "labels", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, db, name):
+    got = queries.QUERIES[name](spark, SF)
+    found = db.execute(queries.ORACLES[name])
+    at = [c[0] for c in found.description]
+    assert sorted(at) == sorted(got.columns)
+    assert sorted((tuple(r[c] for c in at) for r in got.collect()), key=str) == sorted(found.fetchall(), key=str)
 
 
 # 6 -----------------------------------------------------------------------------------------
@@ -337,13 +400,6 @@ def test_one_document_gives_way_to_two():
 # 7 -----------------------------------------------------------------------------------------
 
 
-def test_chat_equals_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    got = chat.op7_chat_format(spark, SF).collect()
-    assert sorted(map(tuple, got)) == sorted(con.execute(chat.OP7_SQL).fetchall())
-
-
 def test_snapshots_collapse(spark, monkeypatch):
     monkeypatch.setattr(chat, "RUN", 2)
     say = lambda c, n, t=None: [(c, i, "user", t or f"line {i}", "x") for i in range(n)]
