@@ -151,9 +151,9 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = TOLD, first: int
 
 ANCHORS = "text_hash binary, anchor int, lo int, hi int, gram long"
 #: Of a text: a part (the digest of all that tells it), its core (a digest), left and right
-#: flank, how often they stand together, and the runs of starts that they stand for; near and
-#: far: the least and most bytes of left flank that a start has.
-PARTS = "part binary, core binary, before binary, after binary, near int, far int, n int, text_hash binary, runs array<struct<lo:int,hi:int>>"
+#: flank, how often they stand together, and the runs of starts that they stand for (first and
+#: last of each); near and far: the least and most bytes of left flank that a start has.
+PARTS = "part binary, core binary, before binary, after binary, near int, far int, n int, text_hash binary, runs array<int>"
 #: Of the starts of a part, by their bytes of left flank, those that repeat.
 MARKS = "part binary, back int"
 
@@ -202,7 +202,7 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
     hits = found.join(again, "gram").groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("anchor", "lo", "hi"))).alias("hits"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+        types = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
         names = [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
@@ -212,7 +212,7 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
                     columns = [hits_.values.field(k).to_pylist() for k in range(3)]
                     for key, runs in parts_of(d, zip(*columns, strict=True), length).items():
                         told = b"".join([key[0], *(n.to_bytes(1) for n in key[3:]), key[1], key[2]])
-                        rows.append((hashlib.blake2b(told, digest_size=DIGEST).digest(), *key, sum(b - a + 1 for a, b in runs) // (key[4] - key[3] + 1), h, [{"lo": a, "hi": b} for a, b in runs]))
+                        rows.append((hashlib.blake2b(told, digest_size=DIGEST).digest(), *key, sum(b - a + 1 for a, b in runs) // (key[4] - key[3] + 1), h, [x for run in runs for x in run]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -230,10 +230,11 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
         scratch.drop(name)
     # without backs all starts of a part repeat; with them it stands once, and its core begins
     # far bytes after its first start
-    at = F.col("runs")[0]["lo"] + F.col("far")
+    at = F.col("runs")[0] + F.col("far")
     some = F.transform("backs", lambda x: F.struct((at - x).alias("lo"), (at - x).alias("hi")))
+    every = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct(F.get("runs", i).alias("lo"), F.get("runs", i + 1).alias("hi")))
     repeated = parts.select("part", "far", "text_hash", "runs").join(marks, "part")
-    return repeated.select("text_hash", F.explode(F.coalesce(some, "runs")).alias("r")).select("text_hash", "r.lo", "r.hi")
+    return repeated.select("text_hash", F.explode(F.coalesce(some, every)).alias("r")).select("text_hash", "r.lo", "r.hi")
 
 
 def refined(open_: DataFrame) -> DataFrame:
@@ -272,19 +273,17 @@ def refined(open_: DataFrame) -> DataFrame:
 
 
 def refined_in_tables(open_: DataFrame, scratch: Scratch) -> DataFrame:
-    """MARKS of parts whose core has very many others. Each start is a row with its buckets: the
-    part of its left flank, the core, and that of its right flank. A first round tells the starts
-    of a core by place and left flank, and those alone in their bucket leave; a second splits the
-    buckets by the pointer to what follows. Both are counts, so no task holds a core."""
-    left = F.expr("substring(before, length(before) - back + 1, back)").alias("left")
-    right = F.expr(f"substring(after, 1, {WIDTH - 1} - back)").alias("right")
-    starts = open_.select("part", "core", "before", "after", "n", F.explode(F.sequence("near", "far")).alias("back")).select("part", "core", "n", "back", left, right)
-    starts = scratch.save(starts.withColumn("bucket", F.xxhash64("core", "back", "left")), "starts")
-    crowded = starts.groupBy("bucket").agg(F.sum("n").alias("many")).where("many > 1").select("bucket")
-    alive = starts.join(scratch.save(crowded, "crowded"), "bucket", "left_semi")
-    told = ["bucket", "core", "back", "left", "right"]
-    equal = scratch.save(alive.groupBy(*told).agg(F.sum("n").alias("many")).where("many > 1").select(*told), "equal")
-    return alive.where("n = 1").join(equal, told, "left_semi").select("part", "back")
+    """MARKS of parts whose core has very many others. Each start is a row with its bucket, that
+    of its core and left flank, and the pointer to what follows, its right flank; the digest of
+    both is the bucket that it is refined to. Buckets are counted, so no task holds a core."""
+    left = F.expr("substring(before, length(before) - back + 1, back)")
+    right = F.expr(f"substring(after, 1, {WIDTH - 1} - back)")
+    starts = open_.select("part", "core", "before", "after", "n", F.explode(F.sequence("near", "far")).alias("back"))
+    # the length of the left flank is told by back, so the join of bytes is not ambiguous
+    bucket = F.unhex(F.md5(F.concat(F.col("core"), F.encode(F.col("back").cast("string"), "UTF-8"), left, right)))
+    starts = scratch.save(starts.select("part", "n", "back", bucket.alias("bucket")), "starts")
+    equal = scratch.save(starts.groupBy("bucket").agg(F.sum("n").alias("many")).where("many > 1").select("bucket"), "equal")
+    return starts.where("n = 1").join(equal, "bucket", "left_semi").select("part", "back")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
