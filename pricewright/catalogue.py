@@ -191,15 +191,15 @@ def _(spark, d):
     return marts.recent_trends(days, marts.top_movers(days)).select("date", "standardized_product_name", "category_name", "avg_price")
 
 
-@query("price_volatility", """WITH s AS (SELECT standardized_product_name, category_name, CAST(sum(price_per_unit) AS DOUBLE) AS s, CAST(sum(CAST(price_per_unit AS DECIMAL(19,4)) * CAST(price_per_unit AS DECIMAL(19,4))) AS DOUBLE) AS q, count(*) AS n
-  FROM obs WHERE price_per_unit IS NOT NULL GROUP BY ALL), v AS (SELECT *, s / n AS avg_price_per_unit, sqrt(greatest(q / n - (s / n) * (s / n), 0.0)) AS volatility FROM s WHERE n >= 2)
+@query("price_volatility", """WITH s AS (SELECT standardized_product_name, category_name, sum(CAST(price_per_unit * 10000 AS HUGEINT)) AS s, sum(CAST(price_per_unit * 10000 AS HUGEINT) * CAST(price_per_unit * 10000 AS HUGEINT)) AS q, count(*) AS n
+  FROM obs WHERE price_per_unit IS NOT NULL GROUP BY ALL), v AS (SELECT *, CAST(CAST(s AS DECIMAL(38,0)) / 10000 AS DOUBLE) / n AS avg_price_per_unit, sqrt(CAST(q * n - s * s AS DOUBLE) / 1e8) / n AS volatility FROM s WHERE n >= 2)
 SELECT standardized_product_name, category_name, avg_price_per_unit, volatility, n AS observation_count, CASE WHEN volatility >= 50 THEN 'high' WHEN volatility >= 20 THEN 'medium' ELSE 'low' END AS volatility_level FROM v""", "o")
 def _(spark, d):
     return marts.price_volatility(B.observations(spark, d))
 
 
-@query("top_volatile", f"""WITH {DAILY_AVG}, s AS (SELECT standardized_product_name, category_name, CAST(sum(price_per_unit) AS DOUBLE) AS s, CAST(sum(CAST(price_per_unit AS DECIMAL(19,4)) * CAST(price_per_unit AS DECIMAL(19,4))) AS DOUBLE) AS q, count(*) AS n FROM obs GROUP BY ALL)
-SELECT standardized_product_name, category_name, n AS observation_count FROM s WHERE n >= 2 ORDER BY sqrt(greatest(q / n - (s / n) * (s / n), 0.0)) DESC, 1, 2 LIMIT 10""", "o")
+@query("top_volatile", f"""WITH {DAILY_AVG}, s AS (SELECT standardized_product_name, category_name, sum(CAST(price_per_unit * 10000 AS HUGEINT)) AS s, sum(CAST(price_per_unit * 10000 AS HUGEINT) * CAST(price_per_unit * 10000 AS HUGEINT)) AS q, count(*) AS n FROM obs GROUP BY ALL)
+SELECT standardized_product_name, category_name, n AS observation_count FROM s WHERE n >= 2 ORDER BY sqrt(CAST(q * n - s * s AS DOUBLE) / 1e8) / n DESC, 1, 2 LIMIT 10""", "o")
 def _(spark, d):
     rows = marts.price_volatility(B.observations(spark, d))
     return rows.orderBy(F.desc("volatility"), "standardized_product_name", "category_name").limit(10).select("standardized_product_name", "category_name", "observation_count")
@@ -444,10 +444,10 @@ def _(spark, d):
     return search.search_rank(asked, part.select(F.col("p_name").alias("product")).distinct())
 
 
-@query("normalize_documents", """SELECT doc_id, length(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'äöüéèêàâîïôûùçñóíáúß', 'aoueeeaaiiouucnoiau'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')), '^ $', '')) AS plain_chars FROM documents""")
+@query("normalize_documents", """SELECT doc_id, md5(regexp_replace(trim(strip_accents(translate(lower(coalesce(text, '')), 'ı‘’`´–—', 'i' || repeat(chr(39), 4) || '--'))), '\\s+', ' ', 'g')) AS plain FROM documents""")
 def _(spark, d):
-    plain = F.regexp_replace(T.normalize_text(F.regexp_replace("text", "ß", "")), "[^a-z0-9]+", " ")
-    return B.table(spark, d, "documents").select("doc_id", F.length(F.trim(F.regexp_replace(plain, r"\s+", " "))).alias("plain_chars"))
+    """The whole normalised text of every document."""
+    return B.table(spark, d, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("plain"))
 
 
 @query("event_payloads", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")

@@ -49,11 +49,13 @@ def top_movers(daily: DataFrame) -> DataFrame:
 
 def price_volatility(facts: DataFrame, high: float = 50, medium: float = 20, min_n: int = 2) -> DataFrame:
     p = F.col("price_per_unit").cast("decimal(18,4)")
-    sums = facts.where(p.isNotNull()).groupBy("standardized_product_name", "category_name").agg(
-        F.sum(p).cast("double").alias("s"), F.sum((p * p).cast("decimal(28,8)")).cast("double").alias("q"), F.count(F.lit(1)).alias("n")
-    )
-    mean = F.col("s") / F.col("n")
-    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    n = F.count(F.lit(1))
+    s, q = F.sum(p.cast("decimal(12,4)")), F.sum((p * p).cast("decimal(24,8)"))
+    # n * q - s * s in decimals: exactly 0 for steady prices
+    sums = facts.where(p.isNotNull()).groupBy("standardized_product_name", "category_name").agg(s.alias("s"), q.alias("q"), n.alias("n"))
+    apart = F.col("q").cast("decimal(27,8)") * F.col("n").cast("decimal(10,0)") - F.col("s").cast("decimal(18,4)") * F.col("s").cast("decimal(18,4)")
+    mean = F.col("s").cast("double") / F.col("n")
+    spread = F.sqrt(apart.cast("double")) / F.col("n")
     level = F.when(F.col("volatility") >= high, "high").when(F.col("volatility") >= medium, "medium").otherwise("low")
     return sums.where(F.col("n") >= min_n).select("standardized_product_name", "category_name", mean.alias("avg_price_per_unit"), spread.alias("volatility"), F.col("n").alias("observation_count")).withColumn("volatility_level", level)
 
@@ -80,7 +82,8 @@ def latest_prices(facts: DataFrame, health: DataFrame) -> DataFrame:
     """The latest observation of each product of a source, from usable runs only."""
     usable = health.where(F.col("pipeline_health_status").isin("healthy", "warning")).select("run_id")
     rows = facts.where(F.col("source_product_id").isNotNull() & F.col("standardized_product_name").isNotNull()).join(usable, "run_id", "left_semi")
-    return latest_per_key(rows, ["source_name", "source_product_id"], "observed_at", TIE).select("source_name", "source_product_id", "standardized_product_name", "price", "price_per_unit", "normalized_unit", "observed_at")
+    out = ["source_name", "source_product_id", "standardized_product_name", "price", "price_per_unit", "normalized_unit", "observed_at"]
+    return latest_per_key(rows.select(*dict.fromkeys([*out, *TIE])), ["source_name", "source_product_id"], "observed_at", TIE).select(*out)
 
 
 def top_by_price(daily: DataFrame, date, k: int = 10, ascending: bool = False) -> DataFrame:

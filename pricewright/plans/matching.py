@@ -38,7 +38,8 @@ def compared(pivot: DataFrame, sources: list[str]) -> DataFrame:
 def cross_compare_latest(history: DataFrame, product: str = "source_product_name", sources: list[str] = SOURCES, both: bool = True) -> DataFrame:
     """Latest price of each product and source side by side; with both, of products that all
     sources have."""
-    latest = latest_per_key(history.where(F.col("price").isNotNull() & F.col(product).isNotNull()), [product, "source_name"], "observed_at", TIE)
+    rows = history.where(F.col("price").isNotNull() & F.col(product).isNotNull()).select(*dict.fromkeys([product, "source_name", *COLUMNS, *TIE]))
+    latest = latest_per_key(rows, [product, "source_name"], "observed_at", TIE)
     pivot = pivot_sources(latest, [product], [c for c in COLUMNS if c != product], sources)
     return compared(pivot.where(F.col("n_sources") == len(sources)) if both else pivot, sources)
 
@@ -47,6 +48,7 @@ def representatives(history: DataFrame, variants: list[str]) -> DataFrame:
     """Of each standardised product and source the raw product that stands for it: its base
     name is the product's own, then few variant words, few extra words, few words, recent."""
     rows = history.where(F.col("price").isNotNull() & F.col("standardized_product_name").isNotNull())
+    rows = rows.select(*dict.fromkeys(["source_name", "standardized_product_name", "canonical_name", *COLUMNS, *TIE]))
     latest = latest_per_key(rows, ["source_name", "source_product_name"], "observed_at", TIE)
     raw, name = F.col("source_product_name"), F.col("standardized_product_name")
     order = [F.when(base_name(raw) == name, 0).otherwise(1), penalty(raw, F.col("canonical_name"), variants), extra_words(raw, name), F.size(words(raw)), F.desc("observed_at"), *[F.desc(c) for c in TIE]]

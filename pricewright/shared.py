@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset (tests), in one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in spark.checkpoint.dir, which must be set: a folder of one machine would not
+    do on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-pricewright-", dir="/tmp"))
-            folder = spark.sparkContext.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

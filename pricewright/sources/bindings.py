@@ -21,13 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact rows: one for each order line of a known part and order."""
-    line, part, orders = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    """Fact rows: one for each order line of a known part. What follows from a part alone, its
+    names first of all, is computed once for each part, before the join."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    products = part.select(
+        "p_partkey", "p_brand",
+        F.concat_ws(" ", "p_name", "p_brand").alias("source_product_name"),
+        standardize_name(F.col("p_name")).alias("standardized_product_name"),
+        F.col("p_name").alias("canonical_name"),
+        F.col("p_type").alias("category_name"),
+        F.when(F.col("p_size") % 2 == 0, "kg").otherwise("piece").alias("normalized_unit"),
+    )
     source = F.when(F.col("l_suppkey") % 2 == 0, "src_a").otherwise("src_b")
     price = F.col("l_extendedprice").cast("decimal(18,4)")
     quantity = (F.col("l_quantity").cast("int") % 4 + 1).cast("decimal(18,4)")
-    raw = F.concat_ws(" ", "p_name", "p_brand")
-    rows = line.join(part, line.l_partkey == part.p_partkey).join(orders.select("o_orderkey"), line.l_orderkey == F.col("o_orderkey"))
+    rows = line.join(products, line.l_partkey == products.p_partkey)
     rows = rows.where(~((F.col("p_brand") == "Brand#11") & (source == "src_b")) & ~((F.col("p_brand") == "Brand#12") & (source == "src_a")))
     return rows.select(
         F.col("l_orderkey").alias("run_id"),
@@ -35,19 +43,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("source_product_id"),
         F.col("l_suppkey").alias("supplier_id"),
         source.alias("source_name"),
-        raw.alias("source_product_name"),
-        standardize_name(F.col("p_name")).alias("standardized_product_name"),
-        F.col("p_name").alias("canonical_name"),
-        F.col("p_type").alias("category_name"),
+        "source_product_name", "standardized_product_name", "canonical_name", "category_name",
         F.col("p_brand").alias("brand_name"),
         price.alias("price"),
         F.round(F.col("l_extendedprice") * (1 + F.col("l_discount")), 2).cast("decimal(18,4)").alias("regular_price"),
         F.col("l_discount").cast("decimal(18,4)").alias("discount_rate"),
-        F.when(F.col("p_size") % 2 == 0, "kg").otherwise("piece").alias("normalized_unit"),
+        "normalized_unit",
         quantity.alias("normalized_quantity"),
         F.round(F.col("l_extendedprice") / quantity.cast("double"), 4).cast("decimal(18,4)").alias("price_per_unit"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("observed_at"),
-    )
+    )
 
 
 OBSERVATIONS_SQL = """obs AS (
