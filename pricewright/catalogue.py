@@ -191,11 +191,11 @@ def _(spark, d):
     return marts.recent_trends(days, marts.top_movers(days)).select("date", "standardized_product_name", "category_name", "avg_price")
 
 
-@query("price_volatility", """WITH s AS (SELECT standardized_product_name, category_name, sum(CAST(price_per_unit * 10000 AS HUGEINT)) AS s, sum(CAST(price_per_unit * 10000 AS HUGEINT) * CAST(price_per_unit * 10000 AS HUGEINT)) AS q, count(*) AS n
-  FROM obs WHERE price_per_unit IS NOT NULL GROUP BY ALL), v AS (SELECT *, CAST(CAST(s AS DECIMAL(38,0)) / 10000 AS DOUBLE) / n AS avg_price_per_unit, sqrt(CAST(q * n - s * s AS DOUBLE) / 1e8) / n AS volatility FROM s WHERE n >= 2)
-SELECT standardized_product_name, category_name, avg_price_per_unit, volatility, n AS observation_count, CASE WHEN volatility >= 50 THEN 'high' WHEN volatility >= 20 THEN 'medium' ELSE 'low' END AS volatility_level FROM v""", "o")
+@query("price_volatility", """WITH s AS (SELECT standardized_product_name, category_name, CAST(sum(price_per_unit) AS DOUBLE) AS total, sum(CAST(price_per_unit * 10000 AS HUGEINT)) AS s, sum(CAST(price_per_unit * 10000 AS HUGEINT) * CAST(price_per_unit * 10000 AS HUGEINT)) AS q, count(*) AS n
+  FROM obs WHERE price_per_unit IS NOT NULL GROUP BY ALL), v AS (SELECT *, total / n AS avg_price_per_unit, sqrt(CAST(q * n - s * s AS DOUBLE) / 1e8) / n AS volatility FROM s WHERE n >= 2)
+SELECT standardized_product_name, category_name, avg_price_per_unit, round(volatility, 6) AS volatility, n AS observation_count, CASE WHEN volatility >= 50 THEN 'high' WHEN volatility >= 20 THEN 'medium' ELSE 'low' END AS volatility_level FROM v""", "o")
 def _(spark, d):
-    return marts.price_volatility(B.observations(spark, d))
+    return marts.price_volatility(B.observations(spark, d)).withColumn("volatility", F.round("volatility", 6))
 
 
 @query("top_volatile", f"""WITH {DAILY_AVG}, s AS (SELECT standardized_product_name, category_name, sum(CAST(price_per_unit * 10000 AS HUGEINT)) AS s, sum(CAST(price_per_unit * 10000 AS HUGEINT) * CAST(price_per_unit * 10000 AS HUGEINT)) AS q, count(*) AS n FROM obs GROUP BY ALL)
@@ -480,3 +480,6 @@ def _(spark, d):
     folder = shared_folder(spark, "ingest")
     ingest_stream(spark, d, "lineitem.parquet", schema, f"{folder}/facts", f"{folder}/checkpoint", ["l_orderkey", "l_partkey"], ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity"], reject="l_quantity <= 1")
     return spark.read.parquet(f"{folder}/facts").select(*_LINES)
+
+
+from . import catalogue_groceries  # noqa: E402, F401  registers its queries

@@ -22,8 +22,9 @@ def normalize_unit(unit: Column, quantity: Column) -> Column:
 
 
 def unit_price(price: Column, quantity: Column) -> Column:
-    """To four digits; null without a positive quantity."""
-    return F.when(quantity > 0, F.round(price.cast("double") / quantity.cast("double"), 4))
+    """To four digits, half up, of decimals; null without a positive quantity."""
+    exact = lambda c: c.cast("decimal(18,4)")
+    return F.when(exact(quantity) > 0, F.round(exact(price) / exact(quantity), 4)).cast("double")
 
 
 def with_promotion(df: DataFrame) -> DataFrame:
