@@ -199,6 +199,7 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
     long = texts.where(F.length("data") >= length)
     found = scratch.save(long.mapInArrow(cut, ANCHORS), "anchors")
     again = scratch.save(found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("gram"), "again")
+    scratch.release()
     hits = found.join(again, "gram").groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("anchor", "lo", "hi"))).alias("hits"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +219,7 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
 
     parts = scratch.save(long.join(hits, "text_hash").select("text_hash", "data", "hits").mapInArrow(part, PARTS), "parts")
     scratch.drop("anchors")
+    scratch.release()
     told = ["part", "core", "before", "after", "near", "far"]
     distinct = scratch.save(parts.groupBy(*told).agg(F.sum("n").alias("n")), "distinct")
     # a part that is there once, under a core that others have too, is still to be told
@@ -228,6 +230,7 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
     marks = scratch.save(distinct.where("n > 1").select("part", F.lit(None).cast("array<int>").alias("backs")).union(marks), "marks")
     for name in ("distinct", "starts"):
         scratch.drop(name)
+    scratch.release()
     # without backs all starts of a part repeat; with them it stands once, and its core begins
     # far bytes after its first start
     at = F.col("runs")[0] + F.col("far")

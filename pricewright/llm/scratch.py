@@ -6,21 +6,12 @@ keeps it a good deal smaller than a checkpoint of rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-pricewright-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+from ..shared import shared_folder
 
 
 class Scratch:
@@ -28,7 +19,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = shared_folder(spark, label)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -41,6 +32,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def release(self) -> None:
+        """Let go of the shuffles behind the tables written so far. Spark deletes their files
+        when the driver's garbage is collected, which may otherwise be long after."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 #: A table is broadcast up to so many rows, counted first; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 
