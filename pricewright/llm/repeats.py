@@ -149,7 +149,8 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int = TOLD, first: int
     return out
 
 
-ANCHORS = "text_hash binary, anchor int, lo int, hi int, gram long"
+#: place: the first start, and from it to the anchor and to the last start, see packed().
+ANCHORS = "text_hash binary, place long, gram long"
 #: Of a text: a part (the digest of all that tells it), its core (a digest), left and right
 #: flank, how often they stand together, and the runs of starts that they stand for (first and
 #: last of each); near and far: the least and most bytes of left flank that a start has.
@@ -162,6 +163,16 @@ def _hash(text) -> F.Column:
     return F.unhex(F.md5(text))
 
 
+def packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(anchor, first start, last start) as one number: both distances are under 2 ** 16."""
+    return lo << 32 | (at - lo) << 16 | (hi - lo)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    lo = place >> 32
+    return lo + (place >> 16 & 65535), lo, lo + (place & 65535)
+
+
 def parts_of(data: bytes, hits: list, length: int = LENGTH, width: int = WIDTH) -> dict[tuple, list]:
     """(core, before, after, near, far) -> runs of starts, for a text and its anchors (anchor,
     lo, hi): a part holds the starts with (anchor - start) // width = part."""
@@ -193,14 +204,14 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
                 hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHUNK_BYTES, "right")) - 1)
                 text, at, first, last, g = anchors(raw[bounds[lo] : bounds[hi]], np.diff(bounds[lo : hi + 1]), length, gram)
                 keys = batch.column(0).take(pa.array(lo + text))
-                yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()), *(pa.array(c, pa.int32()) for c in (at, first, last)), pa.array(g.view(np.int64))], names=["text_hash", "anchor", "lo", "hi", "gram"])
+                yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()), pa.array(packed(at, first, last)), pa.array(g.view(np.int64))], names=["text_hash", "place", "gram"])
                 lo = hi
 
     long = texts.where(F.length("data") >= length)
     found = scratch.save(long.mapInArrow(cut, ANCHORS), "anchors")
     again = scratch.save(found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("gram"), "again")
     scratch.release()
-    hits = found.join(again, "gram").groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("anchor", "lo", "hi"))).alias("hits"))
+    hits = found.join(again, "gram").groupBy("text_hash").agg(F.sort_array(F.collect_list("place")).alias("hits"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
@@ -210,18 +221,20 @@ def repeated_starts(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gr
                 rows = []
                 few = batch.slice(lo, 200)
                 for h, d, hits_ in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), few.column(2), strict=True):
-                    columns = [hits_.values.field(k).to_pylist() for k in range(3)]
+                    columns = [c.tolist() for c in unpacked(hits_.values.to_numpy())]
                     for key, runs in parts_of(d, zip(*columns, strict=True), length).items():
                         told = b"".join([key[0], *(n.to_bytes(1) for n in key[3:]), key[1], key[2]])
-                        rows.append((hashlib.blake2b(told, digest_size=DIGEST).digest(), *key, sum(b - a + 1 for a, b in runs) // (key[4] - key[3] + 1), h, [x for run in runs for x in run]))
+                        rows.append((hashlib.md5(told).digest(), *key, sum(b - a + 1 for a, b in runs) // (key[4] - key[3] + 1), h, [x for run in runs for x in run]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     parts = scratch.save(long.join(hits, "text_hash").select("text_hash", "data", "hits").mapInArrow(part, PARTS), "parts")
     scratch.drop("anchors")
     scratch.release()
-    told = ["part", "core", "before", "after", "near", "far"]
-    distinct = scratch.save(parts.groupBy(*told).agg(F.sum("n").alias("n")), "distinct")
+    told = ["core", "before", "after", "near", "far"]
+    # the digest of a part, as the workers take it
+    part_of = F.unhex(F.md5(F.concat("core", F.unhex(F.lpad(F.hex(F.col("near") * 256 + F.col("far")), 4, "0")), "before", "after")))
+    distinct = scratch.save(parts.groupBy(*told).agg(F.sum("n").alias("n")).withColumn("part", part_of), "distinct")
     # a part that is there once, under a core that others have too, is still to be told
     shared = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least")).where("many > 1 and least = 1").select("core", "many")
     open_ = distinct.join(scratch.save(shared, "shared"), "core")

@@ -7,6 +7,7 @@ keeps it a good deal smaller than a checkpoint of rows.
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ class Scratch:
     def release(self) -> None:
         """Let go of the shuffles behind the tables written so far. Spark deletes their files
         when the driver's garbage is collected, which may otherwise be long after."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round frees holds what the second does
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 #: A table is broadcast up to so many rows, counted first; beyond it the join shuffles.
