@@ -19,6 +19,8 @@ from .scratch import Scratch
 #: Turns in a run, and bits of a hash (their sums stay within a long for 2**23 turns).
 RUN, BITS = 1000, 40
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: What both marks begin with, and how roles and texts that hold it are written.
+MARK, ESCAPED = "<|im_", "<\\|im_"
 
 
 def _hash(seed: int) -> Column:
@@ -64,31 +66,34 @@ def rendered(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     """One row for each maximal conversation: conv_id, n_turns, n_copies, rendered.
 
     Rows with a null conv_id are one conversation. A null role or text is rendered as an
-    empty one, but is not equal to it. An empty table gives an empty one. A rendered
-    conversation is one value, so its turns meet in one row.
+    empty one, but is not equal to it. Turns stand by number, then role and text; repeated
+    rows are turns of their own. A mark inside a role or text is written with a backslash
+    (MARK as ESCAPED), so that no text opens or closes a turn. An empty table gives an
+    empty one; further columns are not read. A rendered conversation is one value, so its
+    turns meet in one row.
     """
     kept = Scratch(turns.sparkSession, "chat-kept").save(maximal(turns, conv_id, turn, role, text), "kept")
     rows = turns.select(F.col(conv_id).alias("_id"), F.struct(F.col(turn).isNull().alias("late"), F.col(turn).alias("t"), F.col(role).isNull().alias("no_role"), F.col(role).alias("role"), F.col(text).isNull().alias("no_text"), F.col(text).alias("text")).alias("said"))
     own = rows.join(kept, F.col("_id").eqNullSafe(F.col("conv"))).groupBy("conv", "n_turns", "n_copies").agg(F.sort_array(F.collect_list("said")).alias("said"))
-    line = F.transform("said", lambda s: F.concat(F.lit(OPEN), F.coalesce(s["role"], F.lit("")), F.lit("\n"), F.coalesce(s["text"], F.lit("")), F.lit(CLOSE + "\n")))
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(MARK), F.lit(ESCAPED))
+    line = F.transform("said", lambda s: F.concat(F.lit(OPEN), plain(s["role"]), F.lit("\n"), plain(s["text"]), F.lit(CLOSE + "\n")))
     return own.select(F.col("conv").alias("conv_id"), "n_turns", "n_copies", F.array_join(line, "").alias("rendered"))
 
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations, nulls, ties and repeats as ``rendered`` treats them."""
     return rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-#: The same from the rendered text itself: a prefix of turns is a prefix of the text.
-OP7_SQL = """
+#: The same on lists of turns, without hashes.
+OP7_SQL = r"""
 WITH whole AS (
-  SELECT conv_id, count(*) AS n_turns,
-         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
-                    ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS rendered
-  FROM conversations GROUP BY conv_id
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS said FROM conversations GROUP BY conv_id
 ), once AS (
-  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, rendered FROM whole GROUP BY n_turns, rendered
+  SELECT min(conv_id) AS conv_id, len(said) AS n_turns, count(*) AS n_copies, said FROM whole GROUP BY said
 )
-SELECT conv_id, n_turns, n_copies, rendered FROM once a
-WHERE NOT EXISTS (SELECT 1 FROM once b WHERE b.n_turns > a.n_turns
-                  AND substr(b.rendered, 1, 60) = substr(a.rendered, 1, 60) AND starts_with(b.rendered, a.rendered))
+SELECT conv_id, n_turns, n_copies,
+       array_to_string(list_transform(said, lambda s: '<|im_start|>' || replace(coalesce(s.role, ''), '<|im_', '<\|im_') || chr(10)
+                                      || replace(coalesce(s.text, ''), '<|im_', '<\|im_') || '<|im_end|>' || chr(10)), '') AS rendered
+FROM once a WHERE NOT EXISTS (SELECT 1 FROM once b WHERE b.said[1] = a.said[1] AND b.n_turns > a.n_turns AND b.said[1:a.n_turns] = a.said)
 """

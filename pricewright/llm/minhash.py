@@ -371,5 +371,38 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
+    """All documents on shingles of two words; nulls, empty texts, ties and repeats as
+    ``near_duplicates`` treats them."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same without sketches: sets that share a shingle among their rarest are compared whole.
+OP8_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT k, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM cut
+), grams AS (
+  SELECT k, len(s) AS n, unnest(s) AS g FROM sets
+), ranked AS (
+  SELECT k, n, g, row_number() OVER (PARTITION BY k ORDER BY many, g) AS r FROM (SELECT *, count(*) OVER (PARTITION BY g) AS many FROM grams)
+), rare AS (
+  SELECT k, n, g FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1
+), pairs AS (
+  SELECT DISTINCT x.k AS a, y.k AS b FROM rare x JOIN rare y ON x.g = y.g AND x.k < y.k AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+), shared AS (
+  SELECT a, b, len(x.s) + len(y.s) AS total, len(list_intersect(x.s, y.s)) AS common FROM pairs JOIN sets x ON x.k = a JOIN sets y ON y.k = b
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * common >= 80 * (total - common)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT k, k AS other FROM sets UNION SELECT r.k, e.b FROM reach r JOIN edges e ON e.a = r.other
+), named AS (
+  SELECT r.k, min(o.doc_id) AS component_id FROM reach r JOIN sets o ON o.k = r.other GROUP BY r.k
+)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM sets JOIN named USING (k)
+"""

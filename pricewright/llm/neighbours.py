@@ -43,6 +43,9 @@ BLOCK, SEED = 512, 7
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+    top = np.abs(x).max(axis=1, keepdims=True, initial=0)
+    if ((top > 1e150) | (top < 1e-150)).any():  # squares would leave the range of doubles
+        x = x / top
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -301,4 +304,5 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 
 def op9_embedding_neighbours(spark, sf_dir: str) -> DataFrame:
+    """All embeddings, nulls, zeros, ties and repeats as ``near_duplicates`` treats them."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))

@@ -19,4 +19,6 @@ ORACLES = {
     "op4_mix_sources": mixing.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op8_minhash": minhash.OP8_SQL,
+    "op10_pii": pii.OP10_SQL,
 }
