@@ -404,6 +404,37 @@ def _(spark, d):
     return baskets.savings(baskets.mixed_baskets(baskets.recommendations(items, offers)), baskets.single_source_baskets(items, offers))
 
 
+IDS = f"""{HEALTH}, u AS (SELECT o.*, row_number() OVER (PARTITION BY source_name, source_product_id ORDER BY {TIE_DESC}) AS rn FROM obs o WHERE run_id IN (SELECT run_id FROM health WHERE pipeline_health_status IN ('healthy', 'warning'))),
+  latest AS (SELECT source_product_id AS product_id, source_name, price, price_per_unit, coalesce(price_per_unit, price) AS selected FROM u WHERE rn = 1),
+  items AS (SELECT o_orderkey AS basket_id, l_linenumber AS item_no, l_partkey AS product_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  best AS (SELECT product_id, min(selected) AS selected_price, arg_min({{'s': source_name, 'p': price, 'u': price_per_unit}}, (selected, source_name)) AS b FROM latest GROUP BY 1),
+  bought AS (SELECT basket_id, item_no, i.product_id, CASE WHEN t.product_id IS NULL THEN 'no_prices_found' WHEN selected_price IS NULL THEN 'no_valid_price' ELSE 'ok' END AS status, b.s AS source_name, b.p AS price, b.u AS price_per_unit, selected_price FROM items i LEFT JOIN best t USING (product_id))"""
+
+
+def id_inputs(spark, d):
+    """The order lines as baskets of ids, and the latest prices of usable runs."""
+    lines = B.table(spark, d, "lineitem").join(B.table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    items = lines.select(F.col("l_orderkey").alias("basket_id"), F.col("l_linenumber").alias("item_no"), F.col("l_partkey").alias("product_id"))
+    latest = marts.latest_prices(B.observations(spark, d), marts.pipeline_health(B.runs(spark, d), B.checks(spark, d)))
+    return items, latest.withColumnRenamed("source_product_id", "product_id")
+
+
+@query("id_basket_items", f"WITH {IDS} SELECT basket_id, item_no, product_id, status, source_name, CAST(price AS DOUBLE) AS price, CAST(price_per_unit AS DOUBLE) AS price_per_unit, CAST(selected_price AS DOUBLE) AS selected_price FROM bought", "orc")
+def _(spark, d):
+    return doubles(baskets.id_items(*id_inputs(spark, d)), "price", "price_per_unit", "selected_price")
+
+
+@query("id_split_baskets", f"WITH {IDS} SELECT basket_id, count(*) AS n_items, count(*) FILTER (WHERE status = 'ok') AS n_priced, coalesce(CAST(sum(selected_price) AS DOUBLE), 0) AS total FROM bought GROUP BY 1", "orc")
+def _(spark, d):
+    return baskets.id_split(baskets.id_items(*id_inputs(spark, d)))
+
+
+@query("id_single_source_baskets", f"""WITH {IDS}, e AS (SELECT product_id, source_name, min(selected) AS price FROM latest WHERE selected IS NOT NULL GROUP BY 1, 2), h AS (SELECT basket_id, source_name, count(*) AS n, CAST(sum(price) AS DOUBLE) AS total FROM items JOIN e USING (product_id) GROUP BY 1, 2)
+SELECT basket_id, source_name, total, n AS n_items FROM h JOIN (SELECT basket_id, count(*) AS size FROM items GROUP BY 1) USING (basket_id) WHERE n = size""", "orc")
+def _(spark, d):
+    return baskets.id_single_source(*id_inputs(spark, d))
+
+
 SEARCH = """p AS (SELECT DISTINCT p_name || ' ' || p_brand AS product, lower(p_name || ' ' || p_brand) AS name FROM part),
   q AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS text FROM part UNION SELECT DISTINCT p_name FROM part),
   v AS (SELECT text AS query_id, lower(text) AS variant FROM q UNION SELECT text, array_to_string(list_sort(string_split(lower(text), ' ')), ' ') FROM q),
@@ -478,7 +509,8 @@ def _(spark, d):
     """The incremental ingest of the order lines: equal to loading them at once."""
     schema = B.table(spark, d, "lineitem").select(*_LINES).schema
     folder = shared_folder(spark, "ingest")
-    ingest_stream(spark, d, "lineitem.parquet", schema, f"{folder}/facts", f"{folder}/checkpoint", ["l_orderkey", "l_partkey"], ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity"], reject="l_quantity <= 1")
+    # as a pattern of paths, so that it may be a file or a folder of part files
+    ingest_stream(spark, f"{d}/lineitem.parque[t]", "*.parquet", schema, f"{folder}/facts", f"{folder}/checkpoint", ["l_orderkey", "l_partkey"], ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity"], reject="l_quantity <= 1")
     return spark.read.parquet(f"{folder}/facts").select(*_LINES)
 
 

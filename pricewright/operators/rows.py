@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 
 def first_per_key(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     """The first row of each key in an order that must be total."""
@@ -78,8 +80,17 @@ def mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 def product_keys(names: DataFrame, existing: DataFrame) -> DataFrame:
     """existing (product_id, name, category) and a new id for each further name of names
     (name, category, seen): ids go on from the largest, by name, and the category is the one
-    seen first. The window ranks new names only."""
+    seen first. New names are dealt by ranges and written to the shared folder; each range
+    numbers its own, after those of the ranges before."""
     fresh = absent(names.groupBy("name").agg(F.min_by("category", F.struct("seen", "category")).alias("category")), existing, ["name"])
+    spark, path = names.sparkSession, shared_folder(names.sparkSession, "keys")
+    dealt = fresh.select("name", "category").repartitionByRange("name").withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    # one row a range, so one task holds them
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
     top = existing.agg(F.coalesce(F.max("product_id"), F.lit(0)).cast("long").alias("top"))
-    numbered = fresh.join(F.broadcast(top)).withColumn("product_id", F.col("top") + F.row_number().over(W.orderBy("name")))
+    placed = dealt.join(F.broadcast(starts), "part").join(F.broadcast(top))
+    numbered = placed.withColumn("product_id", F.col("top") + F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("name")))
     return existing.select("product_id", "name", "category").unionByName(numbered.select("product_id", "name", "category"))

@@ -58,3 +58,33 @@ def savings(mixed: DataFrame, single: DataFrame) -> DataFrame:
 def shopping_list(recommended: DataFrame) -> DataFrame:
     """What to buy where, by source and item."""
     return recommended.where("status = 'ok'").select("basket_id", "source_name", "item_no", "product", "price").orderBy("basket_id", "source_name", "item_no")
+
+
+def _selected(prices: DataFrame) -> DataFrame:
+    """prices with selected_price: the price of a unit, else the price."""
+    return prices.withColumn("selected_price", F.coalesce("price_per_unit", "price"))
+
+
+def id_items(items: DataFrame, latest: DataFrame) -> DataFrame:
+    """Items by product_id, each with its cheapest source (then by name) among the latest prices
+    (product_id, source_name, price, price_per_unit). Repeated items are bought as often."""
+    offer = F.struct("selected_price", "source_name", "price", "price_per_unit")
+    best = _selected(latest).groupBy("product_id").agg(F.min(F.when(F.col("selected_price").isNotNull(), offer)).alias("b"), F.lit(True).alias("found"))
+    met = items.select("basket_id", "item_no", "product_id").join(best, "product_id", "left")
+    status = F.when(F.col("found").isNull(), "no_prices_found").when(F.col("b").isNull(), "no_valid_price").otherwise("ok")
+    return met.select("basket_id", "item_no", "product_id", status.alias("status"), "b.source_name", "b.price", "b.price_per_unit", "b.selected_price")
+
+
+def id_single_source(items: DataFrame, latest: DataFrame) -> DataFrame:
+    """(basket_id, source_name, total, n_items) of sources that sell every item of a basket."""
+    each = _selected(latest).where("selected_price is not null").groupBy("product_id", "source_name").agg(F.min("selected_price").alias("price"))
+    sizes = items.groupBy("basket_id").agg(F.count(F.lit(1)).alias("n_items"))
+    have = items.join(each, "product_id").groupBy("basket_id", "source_name").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("double").alias("total"))
+    return have.join(sizes, "basket_id").where("n = n_items").select("basket_id", "source_name", "total", "n_items")
+
+
+def id_split(bought: DataFrame) -> DataFrame:
+    """Each basket of id_items bought where each item is cheapest; 0 if nothing has a price."""
+    return bought.groupBy("basket_id").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("status") == "ok").alias("n_priced"), F.coalesce(F.sum("selected_price").cast("double"), F.lit(0.0)).alias("total")
+    )

@@ -16,3 +16,15 @@ def test_unsafe_and_missing_offers_leave_a_basket_incomplete(spark):
     got = {r["product"]: r.status for r in baskets.recommendations(items, offers).collect()}
     assert got == {"p": "comparison_review_required", "z": "no_valid_price"}
     assert not baskets.mixed_baskets(baskets.recommendations(items, offers)).first().complete
+
+
+def test_baskets_of_ids(spark):
+    latest = spark.createDataFrame([(1, "a", 9.0, 3.0), (1, "b", 2.0, None), (2, "a", 5.0, 4.0), (2, "b", None, None), (3, "b", None, None), (4, "a", 1.0, 1.0), (4, "b", 1.0, 1.0)], "product_id long, source_name string, price double, price_per_unit double")
+    rows = [(10, 1, 1), (10, 2, 2), (11, 1, 3), (11, 2, 99), (12, 1, 4), (12, 2, 4), (12, 3, 1), (13, 1, None)]
+    items = spark.createDataFrame(rows, "basket_id long, item_no int, product_id long")
+    bought = baskets.id_items(items, latest)
+    got = {(r.basket_id, r.item_no): (r.status, r.source_name, r.selected_price) for r in bought.collect()}
+    assert got[10, 1] == ("ok", "b", 2.0) and got[10, 2] == ("ok", "a", 4.0) and got[12, 1] == got[12, 2] == ("ok", "a", 1.0)
+    assert got[11, 1] == ("no_valid_price", None, None) and got[11, 2] == got[13, 1] == ("no_prices_found", None, None)
+    assert {r.basket_id: (r.n_items, r.n_priced, r.total) for r in baskets.id_split(bought).collect()} == {10: (2, 2, 6.0), 11: (2, 0, 0.0), 12: (3, 3, 4.0), 13: (1, 0, 0.0)}
+    assert {(r.basket_id, r.source_name): r.total for r in baskets.id_single_source(items, latest).collect()} == {(10, "a"): 7.0, (12, "a"): 5.0, (12, "b"): 4.0}
