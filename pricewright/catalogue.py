@@ -184,6 +184,18 @@ def _(spark, d):
     return marts.movers(changes(spark, d), 3, known_only=True)
 
 
+@query("decliner_cards", f"WITH {MOVERS} SELECT * FROM moved WHERE pct_change IS NOT NULL ORDER BY pct_change, {_BY} LIMIT 3", "o")
+def _(spark, d):
+    return marts.movers(changes(spark, d), 3, ascending=True, known_only=True)
+
+
+@query("mean_change", f"""WITH {MOVERS}, x AS ((SELECT pct_change AS x FROM moved ORDER BY pct_change DESC NULLS FIRST, {_BY} LIMIT 10) UNION ALL (SELECT abs(pct_change) FROM moved ORDER BY pct_change ASC NULLS LAST, {_BY} LIMIT 10))
+SELECT count(x) AS n_changes, CAST(sum(CAST(round(x, 6) AS DECIMAL(24, 6))) AS DOUBLE) / count(x) AS mean_abs_change FROM x""", "o")
+def _(spark, d):
+    rows = changes(spark, d)
+    return marts.mean_change(marts.movers(rows), marts.movers(rows, ascending=True))
+
+
 @query("recent_trends", f"""WITH {MOVERS} SELECT * FROM dailyavg WHERE standardized_product_name IN
   (SELECT standardized_product_name FROM (SELECT * FROM moved WHERE pct_change IS NOT NULL ORDER BY abs(pct_change) DESC, {_BY} LIMIT 5))""", "o")
 def _(spark, d):
@@ -198,6 +210,13 @@ def _(spark, d):
     return marts.price_volatility(B.observations(spark, d)).withColumn("volatility", F.round("volatility", 6))
 
 
+@query("volatility_summary", """WITH s AS (SELECT sum(CAST(price_per_unit * 10000 AS HUGEINT)) AS s, sum(CAST(price_per_unit * 10000 AS HUGEINT) * CAST(price_per_unit * 10000 AS HUGEINT)) AS q, count(*) AS n
+  FROM obs WHERE price_per_unit IS NOT NULL GROUP BY standardized_product_name, category_name), v AS (SELECT sqrt(CAST(q * n - s * s AS DOUBLE) / 1e8) / n AS volatility FROM s WHERE n >= 2)
+SELECT count(*) AS n_products, CAST(sum(CAST(round(volatility, 6) AS DECIMAL(24, 6))) AS DOUBLE) / count(volatility) AS mean_volatility, count(*) FILTER (WHERE volatility >= 50) AS n_high FROM v""", "o")
+def _(spark, d):
+    return marts.volatility_summary(marts.price_volatility(B.observations(spark, d)))
+
+
 @query("top_volatile", f"""WITH {DAILY_AVG}, s AS (SELECT standardized_product_name, category_name, sum(CAST(price_per_unit * 10000 AS HUGEINT)) AS s, sum(CAST(price_per_unit * 10000 AS HUGEINT) * CAST(price_per_unit * 10000 AS HUGEINT)) AS q, count(*) AS n FROM obs GROUP BY ALL)
 SELECT standardized_product_name, category_name, n AS observation_count FROM s WHERE n >= 2 ORDER BY sqrt(CAST(q * n - s * s AS DOUBLE) / 1e8) / n DESC, 1, 2 LIMIT 10""", "o")
 def _(spark, d):

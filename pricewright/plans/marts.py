@@ -105,6 +105,22 @@ def movers(changes: DataFrame, k: int = 10, ascending: bool = False, known_only:
     return rows.orderBy(order, "standardized_product_name", "category_name", "date").limit(k)
 
 
+def mean_change(up: DataFrame, down: DataFrame) -> DataFrame:
+    """(n_changes, mean_abs_change) of two short lists of changes, missing ones left out; those
+    of down count by their size. Null without any."""
+    every = up.select(F.col("pct_change").alias("x")).union(down.select(F.abs("pct_change").alias("x")))
+    exact = F.round("x", 6).cast("decimal(24,6)")
+    return every.agg(F.count("x").alias("n_changes"), (F.sum(exact).cast("double") / F.count("x")).alias("mean_abs_change"))
+
+
+def volatility_summary(volatile: DataFrame) -> DataFrame:
+    """(n_products, mean_volatility, n_high) of all rows of price_volatility."""
+    exact = F.round("volatility", 6).cast("decimal(24,6)")
+    return volatile.agg(
+        F.count(F.lit(1)).alias("n_products"), (F.sum(exact).cast("double") / F.count("volatility")).alias("mean_volatility"), F.count_if(F.col("volatility_level") == "high").alias("n_high")
+    )
+
+
 def recent_trends(daily: DataFrame, changes: DataFrame, k: int = 5, distinct_products: bool = True) -> DataFrame:
     """The daily history of the products with the k largest changes either way."""
     top = changes.where("pct_change is not null").orderBy(F.desc(F.abs("pct_change")), "standardized_product_name", "category_name", "date").limit(k).select("standardized_product_name")
