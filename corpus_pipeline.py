@@ -14,28 +14,33 @@ from pricewright.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects, unchanged. Null and empty texts go (too few words), null
+    languages and sources are groups of their own, equal rows are judged alike."""
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id, one row
+    of repeated ones. Null and empty texts are in no group and stay."""
     return minhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data masked; n_chars follows the text."""
+    """Every document, with personal data masked; n_chars follows the text. A null text stays
+    null, repeated rows all stay."""
     out = pii.masked(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. Null sources are one source, the
+    last; repeated rows draw keys of their own; a document without words is taken as its key has it."""
     return mixing.mixed_rows(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences. A null text is an empty one:
+    a piece of one id; repeated rows are documents of their own."""
     return packing.packed(docs)
 
 
@@ -52,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in their order over all documents; an empty table gives an empty one."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
