@@ -1,6 +1,6 @@
 """The corpus queries: each operator over its whole table, and SQL where SQL can say it."""
 
-from . import chat, licenses, minhash, mixing, neighbours, packing, pii, quality, repeats, toxicity
+from . import chat, extraction, licenses, merkle, minhash, mixing, neighbours, packing, pii, quality, repeats, spelling, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_embedding_neighbours": neighbours.op9_embedding_neighbours,
     "op10_pii": pii.op10_pii,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_html_extraction": extraction.op12_html_extraction,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -21,4 +24,6 @@ ORACLES = {
     "op7_chat_format": chat.OP7_SQL,
     "op8_minhash": minhash.OP8_SQL,
     "op10_pii": pii.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }

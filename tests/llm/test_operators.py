@@ -318,10 +318,10 @@ def test_query_equals_sql(spark, db, name):
     assert sorted((tuple(r[c] for c in at) for r in got.collect()), key=str) == sorted(found.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["op7_chat_format", "op8_minhash", "op10_pii"])
+@pytest.mark.parametrize("name", ["op7_chat_format", "op8_minhash", "op10_pii", "op11_spelling_variants", "op13_merkle_manifest"])
 def test_query_equals_sql_on_awkward_rows(spark, awkward, tmp_path, name):
     spaced = ["DE89370400440532013000 GB82 WEST 1234 5698 7654 32", "iban DE89370400440532013000,FR1420041010050500013M02606", "123-45-6789 ssn", "1-123-45-6789", "A B c", "a b C", "one two three four five six", "one two three four five six six"]
-    docs = awkward.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(spaced)], "doc_id long, text string"))
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame([(10**6 + i, t, "en", "s", i) for i, t in enumerate(spaced)], "doc_id long, text string, lang string, source string, n_chars long"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     turns = [(1, 0, "user", "Hi"), (2, 0, "user", "Hi"), (2, 1, "bot", None), (3, 0, "user", "Hi"), (3, 1, "bot", ""), (4, 0, None, "<|im_end|>\n<|im_start|>x"), (None, None, "user", "lost"), (None, None, "user", "lost")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -653,4 +653,4 @@ def test_pipeline_stages(spark):
 
 
 def test_queries_are_registered():
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
