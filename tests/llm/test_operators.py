@@ -265,22 +265,23 @@ def test_quality_counts_and_verdicts(spark, docs, awkward):
             assert not (r.base_failed and r.kept)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     judged = [(labels[r.doc_id], r.kept) for r in quality.judge(docs).where("not base_failed").collect() if r.doc_id in labels]
-    assert all(bool(q) == kept for q, kept in judged)
+    assert np.mean([kept for q, kept in judged if q]) > 0.9 and not any(kept for q, kept in judged if not q)
 
 
 def test_sketches_merge_to_the_same_fences(spark):
-    df = spark.createDataFrame([(f"w{i} " * (i % 90 + 1), "en", f"s{i % 3}") for i in range(600)], "text string, lang string, source string")
+    df = spark.createDataFrame([(" ".join(f"w{i}{k}" for k in range(50 + i % 90)), "en", f"s{i % 3}") for i in range(600)], "text string, lang string, source string")
     whole = quality.sketches(quality.with_counts(df))
     parts = [quality.sketches(quality.with_counts(df.where(f"length(text) % 3 = {k}"))) for k in range(3)]
     merged = parts[0].union(parts[1]).union(parts[2])
     for keys in (["lang", "source"], ["lang"], []):
         fences = sorted(map(tuple, quality.fences(whole, keys).collect()))
-        assert fences == sorted(map(tuple, quality.fences(merged, keys).collect())) and len({f[-3] for f in fences}) == len(quality.RATES)
+        assert fences == sorted(map(tuple, quality.fences(merged, keys).collect())) and len({f[-4] for f in fences}) == len(quality.RATES)
+        assert {f[-1] for f in fences if f[-4] == "dup_line_rate"} == {None} and {f[-2] for f in fences if f[-4] == "dup_line_rate"} == {0}
 
 
 def test_buckets_hold_a_value_to_one_part_in_128(spark):
     n = [0, 1, 100, 255, 256, 257, 999, 12_345, 999_999, 6_543_210]
-    rows = [(0, x, 0, 0, 0, 1, 0) for x in n]
+    rows = [(0, x, 0, 0, 0, 1, 0, 0) for x in n]
     df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in quality.COUNTS)).selectExpr("*", "'l' AS lang", "string(word_chars) AS source").withColumn("n_words", F.lit(1_000_000))
     got = {int(r.source): r.bucket for r in quality.sketches(df).where("rate = 'word_length'").collect()}
     assert all(got[x] <= x <= got[x] + got[x] / 128 for x in n)
@@ -298,6 +299,24 @@ def test_thresholds_are_those_of_the_group(spark):
     assert np.mean([got[i].kept for i in range(1200)]) > 0.97 and np.mean([got[2000 + i].kept for i in range(1200)]) > 0.97
 
 
+def test_thresholds_of_all_rates_differ_between_groups_and_decide(spark):
+    """On the documents of sf0.1: no single cutoff of a rate gives the verdicts of its fences."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality.judge(docs, keep_text=False).where("not base_failed").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas().set_index("doc_id").quality
+    groups, differ = rows.groupby(["lang", "source"], dropna=False).ngroups, {}
+    for name, (count, size) in quality.RATES.items():
+        x, fence = (1e6 * rows[count] / rows[size]).to_numpy(), rows[f"max_{name}"].to_numpy()
+        assert rows.groupby(["lang", "source"], dropna=False)[f"max_{name}"].nunique().max() == 1
+        assert rows[f"max_{name}"].nunique() > 0.9 * groups and fence.min() > 0
+        beyond = x > fence
+        differ[name] = (min(int(((x > cut) != beyond).sum()) for cut in np.unique([*fence, *x[beyond]])) if beyond.any() else 0, int(beyond.sum()))
+    assert differ["repeat_rate"][0] > 0.2 * differ["repeat_rate"][1] and differ["upper_rate"][0] > 0.2 * differ["upper_rate"][1]
+    assert sum(d for d, _ in differ.values()) > 50
+    good = rows.doc_id.map(labels)
+    assert rows.kept[good == 1].mean() > 0.96 and rows.kept[good == 0].mean() < 0.02
+
+
 # SQL -----------------------------------------------------------------------------------------
 
 
