@@ -13,6 +13,10 @@ from pricewright.llm import minhash, mixing, packing, pii, quality
 from pricewright.llm.scratch import Scratch
 
 
+#: Words of a shingle, as in op8_minhash: more copies are caught than by five.
+SHINGLE = 2
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects, unchanged. Null and empty texts go (too few words), null
     languages and sources are groups of their own, equal rows are judged alike."""
@@ -20,9 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, one row
-    of repeated ones. Null and empty texts are in no group and stay."""
-    return minhash.one_of_each(docs)
+    """One document of each group of near-duplicates, by the shingles of op8_minhash: the one
+    with the smallest doc_id, one row of repeated ones. Null and empty texts are in no group
+    and stay."""
+    return minhash.one_of_each(docs, shingle=SHINGLE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
