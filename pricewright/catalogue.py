@@ -533,4 +533,4 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/facts").select(*_LINES)
 
 
-from . import catalogue_groceries  # noqa: E402, F401  registers its queries
+from . import catalogue_groceries, catalogue_shelves  # noqa: E402, F401  register their queries

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of an error message that are kept.
@@ -24,24 +25,73 @@ def finished_runs(standardised: DataFrame, failed: DataFrame | None = None) -> D
     return met.withColumns(zero).withColumn("status", F.when(F.col("_failed"), "failed").otherwise("success")).drop("_failed")
 
 
+#: What a run's rows are counted by, and the events of a run in the order that settles a tie.
+COUNTS = ["records_scraped", "records_raw", "records_stg", "records_fact", "records_suspicious", "records_failed"]
+EVENTS = ["start", "load", "finish", "fail"]
+RUN_EVENTS = "run_id long, source_name string, event string, at timestamp, message string, " + ", ".join(f"{c} long" for c in COUNTS)
+
+
+def run_event(runs: DataFrame, event: str, at: Column, message: Column | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of runs (run_id, source_name) as events of a log that is only appended to. A failure's
+    message is cut to MESSAGE."""
+    told = F.lit(None) if message is None else F.substring(message, 1, MESSAGE)
+    count = lambda c: (counts or {}).get(c, F.lit(0)).cast("long").alias(c)
+    return runs.select(F.col("run_id").cast("long").alias("run_id"), "source_name", F.lit(event).alias("event"), at.cast("timestamp").alias("at"), told.cast("string").alias("message"), *[count(c) for c in COUNTS])
+
+
+def load_events(batch: DataFrame, staged: DataFrame, observed: dict[str, int]) -> DataFrame:
+    """What a load did for each run, as events. batch holds what was captured, staged what of it
+    was new; observed, the totals that the write of staged told, must be those of the events."""
+    scraped = batch.groupBy("run_id", "source_name").agg(F.count(F.lit(1)).alias("records_scraped"))
+    admitted = F.col("reject_reason").isNull()
+    new = staged.groupBy("run_id", "source_name").agg(F.count(F.lit(1)).alias("records_raw"), F.count_if(admitted).alias("records_fact"), F.count_if("is_suspicious").alias("records_suspicious"), F.count_if(~admitted).alias("records_failed"))
+    totals = new.agg(F.coalesce(F.sum("records_raw"), F.lit(0)), F.coalesce(F.sum("records_fact"), F.lit(0))).first()
+    if tuple(totals) != (observed["staged"], observed["facts"]):
+        raise RuntimeError(f"staged rows {tuple(totals)} are not those written, {observed}")
+    both = scraped.join(new, ["run_id", "source_name"], "left").withColumn("records_stg", F.col("records_raw"))
+    return run_event(both, "load", F.current_timestamp(), counts={c: F.coalesce(c, F.lit(0)) for c in COUNTS})
+
+
+def run_rows(events: DataFrame) -> DataFrame:
+    """One row a run from its events, an aggregate: running from its start, success from its
+    finish, failed from its failure, whichever came last; counts are the sums of its loads, and
+    finished_at and the message are those of its end. A run that was never started is running."""
+    place = F.array_position(F.array(*map(F.lit, EVENTS)), F.col("event"))
+    status = F.when(F.col("event") == "fail", "failed").when(F.col("event") == "finish", "success").when(F.col("event") == "start", "running")
+    last = lambda c: F.max_by(c, F.when(status.isNotNull(), F.struct("at", place)))
+    ended = F.col("event").isin("finish", "fail")
+    folded = events.groupBy("run_id").agg(
+        F.min("source_name").alias("source_name"), F.min(F.when(F.col("event") == "start", F.col("at"))).alias("started_at"), last(F.when(ended, F.col("at"))).alias("finished_at"),
+        F.coalesce(last(status), F.lit("running")).alias("status"), *[F.sum(c).alias(c) for c in COUNTS], last(F.col("message")).alias("error_message"),
+    )
+    return folded
+
+
 def refresh_marts(spark: SparkSession, marts: dict[str, Callable[[], DataFrame] | None], folder: str) -> DataFrame:
-    """Write each mart to its folder, in order. One that fails leaves what was there and does not
-    keep the others from it; one without a plan is skipped. (name, status, error)."""
+    """Write each mart as a new version, in order, and point to it once it is complete, so that
+    one that fails, at any moment, leaves what was there and does not keep the others from it;
+    one without a plan is skipped. (name, status, error); ``read_mart`` reads the newest."""
     rows = []
     for name, plan in marts.items():
         if plan is None:
             rows.append((name, "skipped", None))
             continue
         try:
-            fresh = f"{folder}/{name}-fresh"
-            plan().write.mode("overwrite").parquet(fresh)
-            spark.read.parquet(fresh).write.mode("overwrite").parquet(f"{folder}/{name}")
+            at = time.time_ns()
+            plan().write.parquet(f"{folder}/{name}/version-{at}")
+            spark.createDataFrame([(at,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/{name}/complete")
             rows.append((name, "refreshed", None))
         except Exception as e:  # noqa: BLE001  the row tells it
             rows.append((name, "failed", str(e)[:MESSAGE]))
     return spark.createDataFrame(rows, "name string, status string, error string")
 
 
+def read_mart(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The newest complete version of a mart."""
+    newest = spark.read.parquet(f"{folder}/{name}/complete").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{folder}/{name}/version-{newest}")
+
+
 def health_report(spark: SparkSession, tables: dict[str, DataFrame | None], runs: DataFrame, history: DataFrame, smoke: dict[str, DataFrame]) -> DataFrame:
     """(check_name, subject, ok, detail): every table is there, each source's latest success, the
     history has rows, and each query of smoke gives some."""

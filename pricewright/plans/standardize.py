@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.labels import unit_label
 from ..functions.profiles import rolls_in
 from ..operators.rows import absent, first_per_key, insert_absent, product_keys
+from ..shared import shared_folder
 
 
 def standardize_observations(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -43,26 +44,42 @@ def standardize_observations(rows: DataFrame, names: DataFrame | None = None) ->
 RAW_KEYS = ["run_id", "source_name", "raw_hash"]
 
 
-def raw_events(rows: DataFrame) -> DataFrame:
+def raw_events(rows: DataFrame, loaded_at: Column | None = None) -> DataFrame:
     """Captured rows with raw_hash and the whole row as JSON (raw_payload); observed_at is the
-    capture time, else the load's."""
+    capture time, else loaded_at, the load's."""
+    loaded_at = F.current_timestamp() if loaded_at is None else loaded_at
     hashed = P.row_hash(*[F.col(c) for c in ("product_id", "sku", "product_name", "shown_price_tl", "category_slug")])
-    return rows.select("*", hashed.alias("raw_hash"), F.to_json(F.struct(*rows.columns)).alias("raw_payload"), F.coalesce(F.col("scraped_at").cast("timestamp_ntz"), F.current_timestamp().cast("timestamp_ntz")).alias("observed_at"))
+    return rows.select("*", hashed.alias("raw_hash"), F.to_json(F.struct(*rows.columns)).alias("raw_payload"), F.coalesce(F.col("scraped_at").cast("timestamp_ntz"), loaded_at.cast("timestamp_ntz")).alias("observed_at"))
 
 
-def load(rows: DataFrame, raw: DataFrame, products: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
+def staged_rows(fresh: DataFrame) -> DataFrame:
+    """New raw events as staging rows: standardised, with event_id and the first reason why a
+    row does not enter the facts."""
+    staged = standardize_observations(fresh).withColumnRenamed("product_id", "source_product_id").withColumn("event_id", F.md5(F.concat_ws("|", *RAW_KEYS)))
+    return staged.withColumn("reject_reason", P.reject_reason(F.col("is_suspicious")))
+
+
+def product_names(staged: DataFrame) -> DataFrame:
+    """(name, category, seen) of staging rows, as ``product_keys`` takes them."""
+    return staged.where("standardized_product_name is not null").select(F.col("standardized_product_name").alias("name"), F.col("category_name").alias("category"), F.col("observed_at").alias("seen"))
+
+
+def load(rows: DataFrame, raw: DataFrame, products: DataFrame, facts: DataFrame, loaded_at: Column | None = None) -> dict[str, DataFrame]:
     """One run's load: captured rows to raw, staging, products, aliases, facts and rejected.
 
     Rows whose (run, source, hash) raw has already, or that stand twice, are left out; products
     get ids for new names; a row enters the facts if nothing speaks against it, else rejected
     with the first reason. Loading the same rows again adds nothing. raw, products and facts are
-    what was there before; each result is the table after."""
-    events = raw_events(rows)
+    what was there before; each result is the table after. What is new is staged once, in the
+    shared folder, and all results are read from there."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "load")
+    events = raw_events(rows, loaded_at)
     fresh = absent(first_per_key(events, RAW_KEYS, [F.col("observed_at"), F.col("raw_payload")]), raw, RAW_KEYS)
-    staged = standardize_observations(fresh).withColumnRenamed("product_id", "source_product_id").withColumn("event_id", F.md5(F.concat_ws("|", *RAW_KEYS)))
-    staged = staged.withColumn("reject_reason", P.reject_reason(F.col("is_suspicious")))
-    named = staged.where("standardized_product_name is not null").select(F.col("standardized_product_name").alias("name"), F.col("category_name").alias("category"), F.col("observed_at").alias("seen"))
-    known = product_keys(named, products)
+    staged = staged_rows(fresh)
+    staged.write.parquet(folder)
+    staged = spark.read.schema(staged.schema).parquet(folder)
+    fresh = staged.withColumnRenamed("source_product_id", "product_id")
+    known = product_keys(product_names(staged), products)
     ids = known.select(F.col("name").alias("standardized_product_name"), "product_id")
     admitted = staged.where("reject_reason is null").join(ids, "standardized_product_name")
     columns = facts.columns

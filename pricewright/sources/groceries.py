@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.standardize import standardize_observations
-from .bindings import table
+from .bindings import SOURCES, table
+
+SOURCE_A = SOURCES[0]
 
 #: Names at the two sources, category, listed unit and amount.
 PRODUCTS = [
@@ -66,6 +68,33 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Unit codes of a listing in layout tree.
+CODES = {"PIECE": "AD", "GRAM": "GR", "LITER": "LT", "ML": "ML"}
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captured rows as the shops send them: of a run and category one payload, a list at the
+    first source and a tree at the second."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    code = F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v)])[F.col("unit")]
+    item = F.struct(
+        F.col("product_id").alias("id"), "sku", F.col("product_name").alias("name"), "unit", F.col("unit_amount").alias("unitAmount"), cents("shown_price_tl").alias("shownPrice"), cents("regular_price_tl").alias("regularPrice"),
+        F.col("discount_rate").alias("discountRate"), F.struct(F.col("brand_name").alias("name")).alias("brand"), F.struct(F.col("category_name").alias("name")).alias("category"),
+    )
+    leaf = F.struct(
+        F.col("product_id").alias("id"), F.struct(F.col("product_name").alias("name"), F.col("brand_name").alias("brand"), F.col("unit_amount").alias("netWeight"), code.alias("salesUnitOfMeasure")).alias("attributes"),
+        F.struct(cents("regular_price_tl").alias("normal"), cents("shown_price_tl").alias("discounted")).alias("price"),
+    )
+    branch = F.struct(F.col("line_number").cast("string").alias("id"), F.col("category_name").alias("name"), F.array(leaf).alias("products"))
+    rows = captured(spark, sf_dir).select("run_id", "source_name", "category_slug", "scraped_at", "line_number", item.alias("item"), branch.alias("branch"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("line_number", c))), lambda x: x[c])
+    met = rows.groupBy("run_id", "source_name", "category_slug").agg(F.min("scraped_at").alias("scraped_at"), listed("item").alias("items"), listed("branch").alias("branches"))
+    first = F.col("source_name") == SOURCE_A
+    tree = F.struct(F.lit("root").alias("id"), F.col("category_slug").alias("name"), F.col("branches").alias("children"))
+    text = F.when(first, F.to_json(F.struct(F.col("items").alias("data")))).otherwise(F.to_json(tree))
+    return met.select("run_id", "source_name", "category_slug", F.when(first, "list").otherwise("tree").alias("layout"), text.alias("payload"), "scraped_at")
+
+
 #: The columns that order grocery rows of one moment.
 TIE = ["run_id", "line_number", "product_id", "sku", "price"]
 

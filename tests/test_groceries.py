@@ -148,6 +148,8 @@ def test_refresh_goes_on_after_a_failure(spark, tmp_path):
     df = spark.range(3)
     got = accounting.refresh_marts(spark, {"good": lambda: df, "bad": lambda: df.select("nothing"), "absent": None, "last": lambda: df}, str(tmp_path)).collect()
     assert [(r.name, r.status) for r in got] == [("good", "refreshed"), ("bad", "failed"), ("absent", "skipped"), ("last", "refreshed")]
+    accounting.refresh_marts(spark, {"good": lambda: df.select("nothing"), "last": lambda: spark.range(5)}, str(tmp_path))
+    assert accounting.read_mart(spark, str(tmp_path), "good").count() == 3 and accounting.read_mart(spark, str(tmp_path), "last").count() == 5
     runs = spark.createDataFrame([("a", "success", "2024-01-01"), ("b", "failed", "2024-01-02")], "source_name string, status string, started_at string")
     report = {(r.check_name, r.subject): r.ok for r in accounting.health_report(spark, {"facts": df, "dim": None}, runs, df, {"search": df.limit(0)}).collect()}
     assert report == {("table_present", "facts"): True, ("table_present", "dim"): False, ("latest_success", "a"): True, ("latest_success", "b"): False, ("history_rows", "history"): True, ("smoke", "search"): False}
