@@ -220,18 +220,6 @@ def _(spark, d):
     return listings.best_offer(catalog_of(spark, d), SOURCES).select("standardized_product_name", "best_source", "best_price", "best_unit_price")
 
 
-@query("liquid_pairs")
-def _(spark, d):
-    """Dish soap paired across sources; which pair a name gets is tested on golden rows."""
-    return pairs.synthesize_liquids(priced(spark, d), SOURCES)
-
-
-@query("towel_pairs")
-def _(spark, d):
-    """Paper towels paired across sources; ranks are tested on golden rows."""
-    return pairs.synthesize_towels(priced(spark, d), SOURCES)
-
-
 @query("run_accounting", f"""WITH {G.STANDARD_SQL} SELECT run_id, count(*) AS records_scraped, count(*) FILTER (WHERE suspicious_reason IS NOT NULL) AS records_suspicious, CASE WHEN count(*) = 0 THEN 'failed' ELSE 'success' END AS status FROM standard GROUP BY 1""")
 def _(spark, d):
     rows = standardize.standardize_observations(G.captured(spark, d))

@@ -1,12 +1,11 @@
-"""Rules that rate a pair of paper or cleaning products, and pairs made across sources."""
+"""Rules that rate a pair of paper or cleaning products, and the blocks under which rows pair."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.profiles import brand_line, cleaning_profile, liters, paper_profile
-from ..operators.rows import first_per_key
+from ..functions.profiles import brand_line, cleaning_profile, paper_profile
 from ..sources.bindings import SOURCES
 
 REVIEW, COMPARABLE = "comparison_review_required", "comparable"
@@ -90,73 +89,3 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: list[str], residual:
 def replace_then_append(base: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """base without the keys that new has, and new, in order."""
     return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True).orderBy(*order)
-
-
-def liquid_entries(rows: DataFrame, source: str, price: str = "price") -> DataFrame:
-    """The dish soaps of one source among comparison rows: name, brand, variant, class of
-    package, litres and price."""
-    measure = liters(F.col(f"{source}_source_product_name"), F.col(f"{source}_normalized_unit"), F.col(f"{source}_normalized_quantity"))
-    entry = rows.where(F.col(f"{source}_{price}").isNotNull()).select("standardized_product_name", F.col(f"{source}_source_product_name").alias("name"), F.col(f"{source}_{price}").alias("price"), cleaning_profile(F.col(f"{source}_source_product_name")).alias("p"), measure.alias("m"))
-    kept = entry.where("p.subtype = 'dishwashing_liquid' and m.unit = 'liter' and m.quantity > 0 and p.brand is not null")
-    spray = F.when(F.col("p.format") == "spray", "spray").otherwise("liquid")
-    return kept.select("standardized_product_name", "name", "price", F.col("p.brand").alias("brand"), F.col("p.variant").alias("variant"), spray.alias("kind"), F.col("m.quantity").alias("litres"), F.floor(F.col("m.quantity") / 0.02).alias("cell"))
-
-
-def synthesize_liquids(rows: DataFrame, sources: list[str] = SOURCES, price: str = "price", most_apart: float = 0.01) -> DataFrame:
-    """Pairs of dish soap across two sources, one row a display name: of one brand and class of
-    package, variants equal or one unknown, at most so many litres apart; of a display name the
-    pair with equal variants, then the nearest, counts. Litres meet in cells and their
-    neighbours, so no brand is paired with itself as a whole."""
-    a, b = sources[:2]
-    left = liquid_entries(rows, a, price)
-    right = liquid_entries(rows, b, price).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    apart = F.abs(F.col("left.litres") - F.col("right.litres"))
-    variants = F.coalesce(F.col("left.variant") == F.col("right.variant"), F.lit(True))
-    met = blocked_pairs(left, right, ["brand", "kind", "cell"], variants & (apart <= most_apart + 1e-9))
-    known = F.col("left.variant").isNotNull() & F.col("right.variant").isNotNull()
-    variant = F.coalesce("left.variant", "right.variant")
-    size = F.concat(F.regexp_replace(F.format_string("%.3f", F.greatest("left.litres", "right.litres")), r"\.?0+$", ""), F.lit(" l"))
-    shown = F.concat_ws(" ", F.col("left.brand"), variant, F.when(F.col("left.kind") == "spray", "sprey"), F.lit("bulasik deterjani"), size)
-    named = met.select(
-        shown.alias("standardized_product_name"), F.when(known, 0).otherwise(1).alias("_variant"), apart.alias("_apart"), F.lit("liter").alias("normalized_unit"),
-        *[F.col(f"{side}.{c}").alias(f"{s}_{as_}") for side, s in (("left", a), ("right", b)) for c, as_ in (("name", "source_product_name"), ("price", price), ("litres", "normalized_quantity"))],
-    )
-    order = [F.col("_variant"), F.col("_apart"), F.col(f"{a}_source_product_name"), F.col(f"{b}_source_product_name"), F.col(f"{a}_{price}"), F.col(f"{b}_{price}")]
-    return first_per_key(named, ["standardized_product_name"], order).drop("_variant", "_apart")
-
-
-def synthesize_towels(rows: DataFrame, sources: list[str] = SOURCES, price: str = "price", per_roll: bool = False) -> DataFrame:
-    """Pairs of paper towels across two sources, one row a group: first groups of one brand and
-    roll count, then of one brand, then of one roll count. Of a group the pair of one brand, one
-    count, known and equal lines, ordinary packs, nearest counts, then by name. Groups are cut to
-    the best few entries of a source first: the best pair of each (brand, count, lines, ordinary)
-    is among their cheapest."""
-    a, b = sources[:2]
-
-    def entries(s: str) -> DataFrame:
-        p = paper_profile(F.col(f"{s}_source_product_name"))
-        told = rows.where(F.col(f"{s}_{price}").isNotNull()).select(F.col(f"{s}_source_product_name").alias("name"), F.col(f"{s}_{price}").cast("double").alias("price"), p.alias("p")).where("p.kind = 'paper_towel' and p.rolls is not null")
-        flat = told.select("name", F.when(F.lit(per_roll), F.col("price") / F.col("p.rolls")).otherwise(F.col("price")).alias("price"), F.col("p.brand").alias("brand"), F.col("p.rolls").alias("rolls"), F.array_join("p.lines", " ").alias("lines"), F.col("p.standard").alias("standard"))
-        # entries that no rule tells apart: the first by name stands for them
-        return first_per_key(flat, ["brand", "rolls", "lines", "standard"], [F.col("name"), F.col("price")])
-
-    left, right = entries(a), entries(b)
-    made = None
-    for level, block in enumerate((["brand", "rolls"], ["brand"], ["rolls"])):
-        met = blocked_pairs(left, right, block, F.lit(True))
-        brand, count = F.coalesce(F.col("left.brand") == F.col("right.brand"), F.lit(False)), F.col("left.rolls") == F.col("right.rolls")
-        lines = (F.col("left.lines") != "") & (F.col("left.lines") == F.col("right.lines"))
-        ordinary = F.col("left.standard") & F.col("right.standard")
-        near = F.abs(F.col("left.rolls") - F.col("right.rolls")) <= 0.5 * F.greatest("left.rolls", "right.rolls")
-        rated = F.when(~brand, _rated("low", "brand_mismatch")).when(count & lines & ordinary, _rated("high", None)).when(near, _rated("medium", "roll_count_close")).otherwise(_rated("low", "roll_count_mismatch"))
-        shown = F.concat_ws(" ", *([F.col("left.brand")] if "brand" in block else []), F.lit("kagit havlu"), *([F.col("left.rolls").cast("int").cast("string"), F.lit("roll")] if "rolls" in block else []))
-        here = met.select(
-            shown.alias("standardized_product_name"), F.lit(level).alias("_level"), rated.alias("_v"),
-            F.struct((~brand).alias("x1"), (~count).alias("x2"), (~lines).alias("x3"), (~ordinary).alias("x4"), F.abs(F.col("left.rolls") - F.col("right.rolls")).alias("x5")).alias("_rank"),
-            *[F.col(f"{side}.{c}").alias(f"{s}_{as_}") for side, s in (("left", a), ("right", b)) for c, as_ in (("name", "source_product_name"), ("price", price), ("rolls", "normalized_quantity"))],
-        )
-        made = here if made is None else made.union(here)
-    order = [F.col("_level"), F.col("_rank"), F.col(f"{a}_source_product_name"), F.col(f"{b}_source_product_name"), F.col(f"{a}_{price}"), F.col(f"{b}_{price}")]
-    best = first_per_key(made, ["standardized_product_name"], order)
-    status = F.when(F.col("_v.confidence") == "high", COMPARABLE).otherwise(REVIEW)
-    return best.select(*[c for c in best.columns if not c.startswith("_")], F.lit("roll").alias("normalized_unit"), F.col("_v.confidence").alias("comparison_confidence"), F.col("_v.reason").alias("comparison_review_reason"), status.alias("coverage_status"))

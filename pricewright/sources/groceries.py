@@ -105,6 +105,41 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnsRenamed({"product_name": "source_product_name", "scraped_at": "observed_at"})
 
 
+#: Names on the shelf, by the digits of a part's number.
+SOAPS, SCENTS, TOWELS, LINES, ROLLS = ["Fairy", "Pril", "Bingo"], ["", "Limon", "Elma"], ["Papia", "Solo", "Selpak", "Familia"], ["", "Platinum", "Plus"], [4, 6, 8, 12, 16, 24]
+
+
+def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of dish soaps (even parts), some of them sprays, and paper towels, some of them
+    giant, each at one source, with a row of both sources for every tenth part."""
+    k = F.col("p_partkey")
+    pick = lambda listed, by: F.element_at(F.array(*map(F.lit, listed)), (F.floor(k / by) % len(listed) + 1).cast("int"))
+    word = lambda x: F.nullif(x, F.lit(""))
+    soap = F.concat_ws(" ", pick(SOAPS, 2), F.when(k % 7 == 0, "Sprey"), word(pick(SCENTS, 6)), F.lit("Bulaşık Deterjanı"), (500 + 5 * (k % 97)).cast("string"), F.lit("ml"))
+    towel = F.concat_ws(" ", pick(TOWELS, 2), word(pick(LINES, 8)), F.when(k % 11 == 0, "Jumbo"), F.lit("Kağıt Havlu"), pick(ROLLS, 24).cast("string"), F.lit("Rulo"))
+    price, first, both = F.round(F.col("p_retailprice") / 10, 2), F.col("p_size") % 2 == 0, k % 10 == 0
+    rows = table(spark, sf_dir, "part").select(
+        F.concat_ws(" ", F.lower("p_name"), k.cast("string")).alias("standardized_product_name"), F.when(k % 2 == 0, soap).otherwise(towel).alias("n"), F.when(k % 2 == 0, "ml").otherwise("piece").alias("u"),
+        F.when(k % 2 == 0, (500 + 5 * (k % 97)).cast("double")).otherwise(1.0).alias("q"), price.alias("p"), (first | both).alias("a"), (~first | both).alias("b"),
+    )
+    sides = [F.when(F.col(x), F.col(c)).alias(f"{s}_{name}") for x, s in zip("ab", SOURCES, strict=True) for c, name in (("n", "source_product_name"), ("u", "normalized_unit"), ("q", "normalized_quantity"), ("p", "raw_price"), ("p", "comparison_price"), ("p", "price"))]
+    return rows.select("standardized_product_name", F.lit("shelf").alias("coverage_status"), *sides)
+
+
+SHELF_SQL = """shelf AS (
+  SELECT lower(p_name) || ' ' || p_partkey AS name0, p_partkey AS k, p_partkey % 2 = 0 AS soap, round(p_retailprice / 10, 2) AS p, p_size % 2 = 0 OR p_partkey % 10 = 0 AS a, p_size % 2 = 1 OR p_partkey % 10 = 0 AS b,
+    ['fairy', 'pril', 'bingo'][(k // 2) % 3 + 1] AS soap_brand, k % 7 = 0 AS spray, nullif(['', 'limon', 'elma'][(k // 6) % 3 + 1], '') AS scent, (500 + 5 * (k % 97)) / 1000 AS l,
+    ['papia', 'solo', 'selpak', 'familia'][(k // 2) % 4 + 1] AS towel_brand, ['', 'platinum', 'plus'][(k // 8) % 3 + 1] AS line, k % 11 = 0 AS giant, [4, 6, 8, 12, 16, 24][(k // 24) % 6 + 1]::DOUBLE AS rolls,
+    concat_ws(' ', ['Fairy', 'Pril', 'Bingo'][(k // 2) % 3 + 1], CASE WHEN k % 7 = 0 THEN 'Sprey' END, nullif(['', 'Limon', 'Elma'][(k // 6) % 3 + 1], ''), 'Bulaşık Deterjanı', 500 + 5 * (k % 97), 'ml') AS soap_name,
+    concat_ws(' ', ['Papia', 'Solo', 'Selpak', 'Familia'][(k // 2) % 4 + 1], nullif(['', 'Platinum', 'Plus'][(k // 8) % 3 + 1], ''), CASE WHEN k % 11 = 0 THEN 'Jumbo' END, 'Kağıt Havlu', [4, 6, 8, 12, 16, 24][(k // 24) % 6 + 1], 'Rulo') AS towel_name
+  FROM part
+), soaps AS (
+  SELECT *, soap_brand AS brand, soap_name AS name FROM shelf WHERE soap
+), towels AS (
+  SELECT *, towel_brand AS brand, towel_name AS name, (giant::INT, giant::INT, (line = '')::INT, (rolls NOT IN (6, 8, 12))::INT, abs(rolls - 8), towel_name, p) AS rank, round(p / rolls, 4) AS per_roll FROM shelf WHERE NOT soap
+)"""
+
+
 def _list(place: int) -> str:
     return "[" + ", ".join("'" + str(p[place]).replace("'", "''") + "'" if place < 4 else f"{p[place]}::DOUBLE" for p in PRODUCTS) + f"][p_partkey % {len(PRODUCTS)} + 1]"
 

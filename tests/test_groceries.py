@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pricewright.functions import canonical as C
 from pricewright.functions import labels as L
 from pricewright.functions import profiles as PR
-from pricewright.plans import accounting, catalog, listings, pairs, standardize
+from pricewright.plans import accounting, catalog, listings, pairs, standardize, synthesis
 
 
 def values(spark, rows, schema, made):
@@ -109,8 +109,8 @@ def test_cleaning_pair_rules(spark):
 
 def test_pairs_are_made_across_sources(spark):
     rows = [("x", "Fairy Limon 650 ml", None, 10.0, None, "liter", None, 0.65, None, False, False, "single_source"), ("y", None, "Fairy Limon Bulaşık Deterjanı 653 ml", None, 12.0, None, "liter", None, 0.653, False, False, "single_source"), ("z", None, "Pril Elma 653 ml", None, 9.0, None, "liter", None, 0.653, False, False, "single_source")]
-    made = pairs.synthesize_liquids(spark.createDataFrame(rows, PAIR)).collect()
-    assert [(r.standardized_product_name, r.src_a_price, r.src_b_price) for r in made] == [("fairy limon bulasik deterjani 0.653 l", 10.0, 12.0)]
+    made = synthesis.liquid_prices(spark.createDataFrame(rows, PAIR)).collect()
+    assert [(r.standardized_product_name, r.src_a_price, r.src_b_price, r.cheaper_source) for r in made] == [("fairy limon bulasik deterjani 0.65 l", 10.0, 12.0, "src_a")]
     base = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     out = pairs.replace_then_append(base, spark.createDataFrame([("b", 5), ("c", 6)], "k string, v int"), "k", [F.col("k")])
     assert [tuple(r) for r in out.collect()] == [("a", 1), ("b", 5), ("c", 6)]
