@@ -406,6 +406,34 @@ def _(spark, d):
     return doubles(baskets.recommendations(*basket_inputs(spark, d)), "price")
 
 
+_KEY = "array_to_string(list_sort(string_split(lower({0}), ' ')), ' ')"
+_NAMES = "list_distinct([" + _KEY.format("source_product_name") + ", lower(source_product_name)])"
+REQUESTS = f"""{latest_sql('source_product_name, source_name')}, {pivot_sql(PRODUCT)},
+  rows AS (SELECT lower(source_product_name) AS name, pa, pb, same_unit_flag AND same_quantity_flag AND pa IS NOT NULL AND pb IS NOT NULL AS safe, n_sources > 1 AND comparison_confidence <> 'high' AS review FROM compared),
+  lines AS (SELECT run_id, line_number, source_product_name, supplier_id FROM obs QUALIFY 1 = row_number() OVER (PARTITION BY run_id, line_number ORDER BY source_product_name, supplier_id)),
+  asked AS (SELECT run_id AS basket_id, line_number AS item_no, 'product' AS kind, NULL AS family_id, false AS forced, list_value({_KEY.format('source_product_name')}, lower(source_product_name)) AS listed FROM lines
+    UNION ALL SELECT run_id, 100, 'product_family', CASE WHEN run_id % 2 = 0 THEN 'f' || run_id END, run_id % 5 = 0, flatten(list([{_KEY.format('source_product_name')}, lower(source_product_name)] ORDER BY line_number DESC)) FROM lines GROUP BY run_id),
+  options AS (SELECT basket_id, item_no, kind, family_id, forced, list_transform(list_filter(list_zip(listed, range(1, len(listed) + 1)), lambda z: list_position(listed, z[1]) = z[2]), lambda z: z[1]) AS c FROM asked),
+  requests AS (SELECT *, CASE WHEN kind = 'product_family' THEN coalesce(family_id, array_to_string(c, '|')) END AS fid FROM options QUALIFY 1 = row_number() OVER (PARTITION BY basket_id, kind, coalesce(CASE WHEN kind = 'product_family' THEN coalesce(family_id, array_to_string(c, '|')) END, array_to_string(c, '|')) ORDER BY item_no)),
+  met AS (SELECT basket_id, item_no, kind, i, c[i] AS name, pa, pb, safe, review, NOT review AND (pa IS NOT NULL OR pb IS NOT NULL) AS priced FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM requests) JOIN rows ON rows.name = c[i]),
+  best AS (SELECT * FROM met QUALIFY 1 = row_number() OVER (PARTITION BY basket_id, item_no ORDER BY kind = 'product_family' AND NOT priced, CASE WHEN kind = 'product_family' AND NOT priced THEN 0 WHEN safe THEN 0 WHEN review THEN 1 WHEN priced THEN 2 ELSE 3 END, i)),
+  chosen AS (SELECT r.basket_id, r.item_no, r.kind, fid, c, forced, name, pa, pb, CASE WHEN name IS NULL THEN 'unavailable' WHEN forced OR review THEN 'comparison_review_required' WHEN NOT priced THEN 'no_valid_price' ELSE 'ok' END AS status FROM requests r LEFT JOIN best b ON b.basket_id = r.basket_id AND b.item_no = r.item_no)"""
+
+
+@query("candidate_choice", f"""WITH {REQUESTS} SELECT basket_id, item_no, kind AS selection_type, fid AS family_id, CASE WHEN kind = 'product_family' THEN len(c) END AS family_option_count, coalesce(name, CASE WHEN kind = 'product' THEN c[1] END) AS product, status,
+  CASE WHEN status = 'ok' THEN CASE WHEN pb IS NULL OR pa <= pb THEN 'src_a' ELSE 'src_b' END END AS source_name, CASE WHEN status = 'ok' THEN least(pa, pb) END AS price FROM chosen""", "o")
+def _(spark, d):
+    """Each order as a basket of its products and of one family of all of them, by what they cost."""
+    history = B.observations(spark, d)
+    lines = history.groupBy(F.col("run_id").alias("basket_id"), F.col("line_number").alias("item_no")).agg(F.min_by("source_product_name", F.struct("source_product_name", "supplier_id")).alias("text"))
+    none = F.lit(None).cast("string")
+    items = lines.select("basket_id", "item_no", F.lit("product").alias("selection_type"), "text", none.alias("family_id"), none.alias("family_label"), F.array().cast("array<string>").alias("options"), F.lit(False).alias("force_review"))
+    options = F.transform(F.sort_array(F.collect_list(F.struct("item_no", "text")), asc=False), lambda x: x["text"])
+    family = lines.groupBy("basket_id").agg(options.alias("options")).select("basket_id", F.lit(100).alias("item_no"), F.lit("product_family").alias("selection_type"), none.alias("text"), F.when(F.col("basket_id") % 2 == 0, F.concat(F.lit("f"), F.col("basket_id").cast("string"))).alias("family_id"), none.alias("family_label"), "options", (F.col("basket_id") % 5 == 0).alias("force_review"))
+    rows = matching.coverage_catalog(history).withColumn("name", T.normalize_text(F.col(PRODUCT)))
+    return baskets.choose_candidates(baskets.candidate_requests(items.unionByName(family)), rows, "name").select("basket_id", "item_no", "selection_type", "family_id", "family_option_count", "product", "status", "source_name", "price")
+
+
 @query("mixed_basket", f"WITH {BASKETS} SELECT * FROM mixed", "o")
 def _(spark, d):
     return baskets.mixed_baskets(baskets.recommendations(*basket_inputs(spark, d)))

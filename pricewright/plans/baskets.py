@@ -4,9 +4,16 @@ items: (basket_id, item_no, product); offers: (product, source_name, price, safe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text, standardize_name
+from ..operators.rows import first_per_key
+from ..sources.bindings import SOURCES
+from .pairs import REVIEW
+
+FAMILY = "product_family"
+
 
 def normalize_requests(baskets: DataFrame) -> DataFrame:
     """Items with a product, each product of a basket once, at its first place."""
@@ -14,6 +21,62 @@ def normalize_requests(baskets: DataFrame) -> DataFrame:
     return named.groupBy("basket_id", "product").agg(F.min("item_no").alias("item_no")).select("basket_id", "item_no", "product")
 
 
+def candidate_requests(requests: DataFrame) -> DataFrame:
+    """Requests as they are asked (basket_id, item_no, selection_type, text, family_id,
+    family_label, options, force_review) with their candidates: of a family its options, else the
+    text, each as its standardised and its normalised name, in order and once. A family without
+    an id is named by its candidates; requests without candidates, and those of a basket that
+    repeat an earlier family or the same candidates, are left out."""
+    family = F.col("selection_type") == FAMILY
+    asked = F.when(family, F.coalesce("options", F.array().cast("array<string>"))).otherwise(F.array("text"))
+    names = F.flatten(F.transform(asked, lambda n: F.array(F.coalesce(standardize_name(n), F.lit("")), normalize_text(n))))
+    told = requests.withColumn("candidates", F.array_distinct(F.filter(names, lambda n: n != ""))).where(F.size("candidates") > 0)
+    named = F.coalesce(F.nullif("family_id", F.lit("")), F.array_join("candidates", "|"))
+    told = told.select(
+        "basket_id", "item_no", F.when(family, FAMILY).otherwise("product").alias("selection_type"), "candidates", F.when(family, named).alias("family_id"),
+        F.when(family, F.coalesce(F.nullif("family_label", F.lit("")), named)).alias("family_label"), (family & F.coalesce("force_review", F.lit(False))).alias("force_review"),
+    )
+    key = F.when(F.col("selection_type") == FAMILY, F.col("family_id")).otherwise(F.array_join("candidates", "\x00"))
+    return first_per_key(told.withColumn("_key", key), ["basket_id", "selection_type", "_key"], [F.col("item_no")]).drop("_key")
+
+
+def selectable_price(sources: list[str] = SOURCES) -> Column:
+    """(price, source) of a price row's cheapest source, then by name; null if the row needs a
+    review or has no price."""
+    offers = F.filter(F.array(*[F.struct(F.col(f"{s}_price").cast("double").alias("price"), F.lit(s).alias("source_name")) for s in sources]), lambda o: o["price"].isNotNull())
+    return F.when(F.coalesce(F.col("coverage_status") != REVIEW, F.lit(True)), F.array_min(offers))
+
+
+def choose_candidates(requests: DataFrame, rows: DataFrame, name: str = "standardized_product_name", sources: list[str] = SOURCES) -> DataFrame:
+    """Each request of ``candidate_requests`` with the candidate that it gets among price rows (one a
+    name): a product the one that compares safely, else needs a review, else has a price, else is
+    there at all, the first of equals; a family the same among those with a price that may be
+    chosen, else its first that is there; else none (unavailable). A family that is to be
+    reviewed has no price whatever was chosen."""
+    both = F.lit(True)
+    for s in sources:
+        both = both & F.col(f"{s}_price").isNotNull()
+    soft = F.coalesce(F.col("soft_equivalent_match"), F.lit(False)) if "soft_equivalent_match" in rows.columns else F.lit(False)
+    safe = F.coalesce(both & F.col("same_unit_flag") & (F.col("same_quantity_flag") | soft) & (F.col("comparison_confidence") == "high"), F.lit(False))
+    review = F.coalesce(F.col("coverage_status") == REVIEW, F.lit(False))
+    offer = selectable_price(sources)
+    reason = F.col("comparison_review_reason") if "comparison_review_reason" in rows.columns else F.lit(None).cast("string")
+    priced = rows.select(F.col(name).alias("selected"), offer.alias("offer"), F.when(safe, 0).when(review, 1).when(offer.isNotNull(), 2).otherwise(3).alias("rank"), review.alias("review"), reason.alias("reason"))
+    met = requests.select("basket_id", "item_no", "selection_type", F.posexplode("candidates").alias("place", "selected")).join(priced, "selected")
+    # of a family, rows without a price come after all others, by place alone
+    without = (F.col("selection_type") == FAMILY) & F.col("offer").isNull()
+    order = F.struct(without.alias("a"), F.when(without, 0).otherwise(F.col("rank")).alias("b"), F.col("place").alias("c"))
+    best = met.groupBy("basket_id", "item_no").agg(F.min_by(F.struct("selected", "offer", "review", "reason"), order).alias("m"))
+    forced = F.col("force_review")
+    status = F.when(F.col("m").isNull(), "unavailable").when(forced | F.col("m.review"), REVIEW).when(F.col("m.offer").isNull(), "no_valid_price").otherwise("ok")
+    first = F.when(F.col("selection_type") != FAMILY, F.get("candidates", F.lit(0)))
+    return requests.join(best, ["basket_id", "item_no"], "left").select(
+        "basket_id", "item_no", "selection_type", "family_id", "family_label", F.when(F.col("selection_type") == FAMILY, F.size("candidates")).alias("family_option_count"), F.coalesce("m.selected", first).alias("product"), status.alias("status"),
+        F.when(status == "ok", F.col("m.offer.source_name")).alias("source_name"), F.when(status == "ok", F.col("m.offer.price")).alias("price"),
+        F.when(forced & F.col("m").isNotNull(), F.coalesce("m.reason", F.lit("subtype_selection_required"))).otherwise(F.col("m.reason")).alias("review_reason"),
+    )
+
+
 def offers_of(comparison: DataFrame, product: str, sources: list[str]) -> DataFrame:
     """A comparison's prices as rows, with whether they compare safely."""
     safe = F.coalesce(F.col("same_unit_flag") & F.col("same_quantity_flag"), F.lit(False))

@@ -12,6 +12,7 @@ from ..functions.profiles import brand_line, cleaning_profile, paper_profile
 from ..functions.text import base_name, extra_words, normalize_text, penalty, words
 from ..operators.rows import first_per_key, latest_per_key, null_safe_join, pivot_sources
 from ..sources.bindings import SOURCES, TIE
+from .search import holding
 
 _MEASURES = ["price", "comparison_price", "source_product_name", "normalized_unit", "normalized_quantity"]
 
@@ -115,10 +116,10 @@ def supplement_rows(history: DataFrame, names: DataFrame, sources: list[str] = S
     kept = ["source_name", "source_product_name", "price", "normalized_unit", "normalized_quantity", "observed_at"]
     latest = latest_per_key(history.where("price is not null").select(*dict.fromkeys([*kept, *ties])), ["source_name", "source_product_name"], "observed_at", ties)
     raw = F.lower("source_product_name")
-    # a brand is a part of a name: the starts of all its words up to any length would be many, so
-    # the distinct words of names meet the brands and the names follow by an equi-join
+    # a brand is a part of a word of the name: words and brands meet under pieces that both hold
     tokens = latest.select("source_name", "source_product_name", F.explode(F.array_distinct(words(raw))).alias("word"))
-    vocabulary = tokens.select("word").distinct().join(F.broadcast(brands.limit(10_000)), F.contains(F.col("word"), F.col("brand"))).select("word").distinct()
+    spoken = tokens.select(F.col("word").alias("product"), F.col("word").alias("name")).distinct()
+    vocabulary = holding(spoken, brands.select(F.col("brand").alias("query_id"), F.col("brand").alias("variant"))).select(F.col("product").alias("word")).distinct()
     branded = tokens.join(vocabulary, "word", "left_semi").select("source_name", "source_product_name").distinct()
     towel = raw.contains("havlu") & ~raw.rlike("tuvalet|mendil|pecete|islak")
     of_towels = latest.where(towel).join(F.broadcast(towels)).where("towels").select("source_name", "source_product_name")

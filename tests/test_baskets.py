@@ -28,3 +28,30 @@ def test_baskets_of_ids(spark):
     assert got[11, 1] == ("no_valid_price", None, None) and got[11, 2] == got[13, 1] == ("no_prices_found", None, None)
     assert {r.basket_id: (r.n_items, r.n_priced, r.total) for r in baskets.id_split(bought).collect()} == {10: (2, 2, 6.0), 11: (2, 0, 0.0), 12: (3, 3, 4.0), 13: (1, 0, 0.0)}
     assert {(r.basket_id, r.source_name): r.total for r in baskets.id_single_source(items, latest).collect()} == {(10, "a"): 7.0, (12, "a"): 5.0, (12, "b"): 4.0}
+
+
+PRICED = "standardized_product_name string, src_a_price double, src_b_price double, same_unit_flag boolean, same_quantity_flag boolean, comparison_confidence string, coverage_status string, comparison_review_reason string"
+ASKED = "basket_id long, item_no int, selection_type string, text string, family_id string, family_label string, options array<string>, force_review boolean"
+
+
+def test_candidates_are_chosen_by_safety_price_and_place(spark):
+    rows = spark.createDataFrame([
+        ("domates", 10.0, 12.0, True, True, "high", "comparable", None), ("salatalik", 9.0, None, False, False, "single_source", "only_src_a", None), ("mersini yaban", 5.0, 4.0, False, False, "low", "comparison_review_required", "unit_mismatch"),
+        ("elma", None, None, False, False, "single_source", "unavailable", None), ("muz yerli", 7.0, 7.0, True, True, "high", "comparable", None), ("badem hiyar", 3.0, 2.0, True, True, "high", "comparable", None),
+    ], PRICED)
+    asked = spark.createDataFrame([
+        (1, 1, "product", "Domates Kg", None, None, None, None), (1, 2, "product", "domates", None, None, None, None), (1, 3, "product", " ", None, None, None, None), (1, 4, "product", "Yaban Mersini", None, None, None, None), (1, 5, "product", "nothing", None, None, None, None),
+        (1, 6, "product_family", None, "salatalik", "Salatalık", ["Hıyar", "Badem Hıyar", "nothing"], False), (1, 7, "product_family", None, "salatalik", None, ["other"], False), (1, 8, "product_family", None, None, None, ["Elma", "Yaban Mersini"], False),
+        (1, 9, "product_family", None, "f", None, ["Muz Yerli"], True), (1, 10, "product_family", None, "g", None, ["nothing"], False), (1, 11, "product_family", None, "h", None, [], False), (1, 12, "product", "Elma", None, None, None, None),
+    ], ASKED)
+    requests = baskets.candidate_requests(asked)
+    assert {r.item_no: r.candidates for r in requests.collect()} == {
+        1: ["domates", "domates kg"], 2: ["domates"], 4: ["mersini yaban", "yaban mersini"], 5: ["nothing"], 6: ["salatalik", "hiyar", "badem hiyar", "nothing"], 8: ["elma", "mersini yaban", "yaban mersini"], 9: ["muz yerli"], 10: ["nothing"], 12: ["elma"]
+    }
+    got = {r.item_no: r for r in baskets.choose_candidates(requests, rows).collect()}
+    assert {n: (r.product, r.status, r.source_name, r.price) for n, r in got.items()} == {
+        1: ("domates", "ok", "src_a", 10.0), 2: ("domates", "ok", "src_a", 10.0), 4: ("mersini yaban", "comparison_review_required", None, None), 5: ("nothing", "unavailable", None, None), 6: ("badem hiyar", "ok", "src_b", 2.0),
+        8: ("elma", "no_valid_price", None, None), 9: ("muz yerli", "comparison_review_required", None, None), 10: (None, "unavailable", None, None), 12: ("elma", "no_valid_price", None, None),
+    }
+    assert (got[6].family_label, got[6].family_option_count, got[8].family_id, got[9].review_reason, got[4].review_reason) == ("Salatalık", 4, "elma|mersini yaban|yaban mersini", "subtype_selection_required", "unit_mismatch")
+    assert baskets.choose_candidates(baskets.candidate_requests(asked.limit(0)), rows).count() == 0
