@@ -172,4 +172,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices: d
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Every document's words, base places and labels. Null and empty texts, ties, repeats and an
+    empty table as in ``scan``."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

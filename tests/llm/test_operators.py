@@ -97,6 +97,51 @@ def test_toxicity_without_labels(spark, docs):
     assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
 
 
+def noisy_or_brute(text, model):
+    norm = re.sub(r"[\W_]", " ", f" {(text or '').lower()} ")
+    begins = [0, *(m.end() for m in re.finditer(r"[.!?\n]+", text or ""))]
+    held = {}
+    for s, w in zip(model.strings, model.weights, strict=True):
+        for i in range(len(norm) - len(s) + 1):
+            if norm[i : i + len(s)] == s:
+                held.setdefault(sum(b <= max(0, i + len(s) - 3) for b in begins), {})[s] = w
+    clean = 1 - model.leak
+    for strings in held.values():
+        clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(strings.values()))))
+    return 1 - clean
+
+
+def test_scores_are_the_noisy_or_of_the_sentences(spark, awkward, empty):
+    model = toxicity.Model([" two ", "thre", "word", "é", " a@", "one two"], [3.0, -0.5, 0.2, 1.0, 2.0, 0.7], -2.0, 0.05)
+    texts = ["One two. THREE three!\nOne-two", "two", "a.b? two. two two", "x_two"]
+    rows = awkward.select("doc_id", "text", "kept").where("length(text) < 9999 or text is null").union(spark.createDataFrame([(50 + i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, kept string"))
+    given = rows.collect()
+    got = toxicity.score(rows, model).collect()
+    assert sorted((r.doc_id or -1, round(r.score, 9)) for r in got) == sorted((r.doc_id or -1, round(noisy_or_brute(r.text, model), 9)) for r in given)
+    assert toxicity.score(empty, model).count() == 0
+
+
+def test_repeated_labelled_rows_are_one_document_of_the_sample(spark, monkeypatch):
+    rows = [(i, ("you blarg. " if i % 4 == 0 else "rain fell. ") * 2, int(i % 4 == 0)) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = table.select("doc_id", "toxic")
+    hot = table.where("doc_id = 4").selectExpr("*", "explode(sequence(1, 500)) AS kept").drop("kept")
+    once, often = toxicity.train(table, labels), toxicity.train(table.union(hot.selectExpr("doc_id", "text", "toxic")), labels.union(labels))
+    assert set(once.strings) <= set(often.strings) and abs(once.bias - often.bias) < 1
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda y, *a: (seen.append(len(y)), (np.zeros(a[-1]), 0.0, 0.1))[1])
+    toxicity.train(table.union(hot.selectExpr("doc_id", "text", "toxic")), labels.union(labels))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))]
+
+
+@pytest.mark.parametrize("most", [5, 40, 3000])
+def test_most_telling_strings_are_those_of_a_whole_sort(spark, docs, most):
+    known = toxicity.labelled(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id", "toxic")
+    rows = toxicity.training_rows(docs, known, "doc_id", "text")
+    every = sorted(((-r.z, r.string) for r in toxicity.telling_strings(rows, 10**6).collect()))
+    assert [(-r.z, r.string) for r in toxicity.telling_strings(rows, most).collect()] == every[:most]
+
+
 # 2 -----------------------------------------------------------------------------------------
 
 
