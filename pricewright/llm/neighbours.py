@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship_package
 from .graph import components
 from .grouped import by_group
-from .scratch import Scratch
+from .scratch import Scratch, bounded_broadcast
 
 SIMILARITY = 0.93
 #: First length of the neighbour lists, least rounds of joins before an audit, audits at most.
@@ -216,6 +216,36 @@ def counted(roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return by_group(sent, ["root", "i", "j"], meet, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def exact(nodes: DataFrame, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """nodes with their roots, and (node, links), from every pair of a space, block by block: the
+    way that is left where no audit is passed. Of a pair of blocks only counts and a forest of
+    its links leave the task."""
+    every = nodes.select("node", "vec", "copies", F.col("space.label").alias("label"), F.col("space.length").alias("length"))
+    sizes = scratch.save(every.groupBy("label", "length").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "spaces")
+    placed = every.join(bounded_broadcast(sizes), ["label", "length"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = placed.withColumn("other", to).select("label", "length", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "vec", "copies")
+
+    def meet(t: pa.Table) -> pa.Table | None:
+        x, block, node, copies = _unit(t.column("vec")), np.asarray(t.column("block")), np.asarray(t.column("node")), np.asarray(t.column("copies"))
+        near = x @ x.T >= similarity
+        np.fill_diagonal(near, False)
+        if t.column("i")[0].as_py() != t.column("j")[0].as_py():  # pairs of one block meet where i = j
+            near &= block[:, None] != block[None, :]
+        a, b = forest(near)
+        links = (near @ copies).astype(np.int64)
+        some = np.flatnonzero(links)
+        if not len(some):
+            return None
+        none = pa.nulls(len(some), pa.int64())
+        return pa.concat_tables([pa.table({"node": node[some], "links": links[some], "other": none}), pa.table({"node": node[a], "links": np.zeros(len(a), np.int64), "other": node[b]})])
+
+    met = scratch.save(by_group(sent, ["label", "length", "i", "j"], meet, "node long, links long, other long"), "exact")
+    edges = met.where("other is not null").select("node", "other", F.lit(1.0).alias("sim"), F.lit(True).alias("link"))
+    found = met.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
+    return merged(nodes.withColumn("root", F.col("node")), edges, scratch, "exact-nodes"), scratch.save(found, "exact-counted")
+
+
 def audited(nodes: DataFrame, found: DataFrame, similarity: float) -> float:
     """Of some vectors, compared with all, the lesser of two shares: their links that were found,
     and those vectors with links that have none outside their component. So many vectors that
@@ -266,7 +296,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     null or non-finite components link with nothing, nor do those without a label. n_links
     counts the other rows linked directly, copies among them. A row with a null id has its
     class's links and component, and is kept if it has none. Repeated rows link with each
-    other. An empty table gives an empty one. Raises RuntimeError if no audit is passed.
+    other. An empty table gives an empty one. Where AUDITS audits are not passed, all pairs of
+    a label and length are compared in blocks.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -295,7 +326,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             break
         k *= 2
     else:
-        raise RuntimeError(f"near_duplicates found {share:.4f} of the audited links after {AUDITS} audits, {AUDIT} are needed")
+        nodes, found = exact(nodes, similarity, scratch)
     named = nodes.select(F.col("space.label").alias("label"), "vec", "node", "copies", "root").join(found, "node", "left")
     named = named.select("label", "vec", F.col("root").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = narrow.join(named, ["label", "vec"], "left")

@@ -582,12 +582,21 @@ def test_vectors_of_any_scale_and_repeated_rows(spark):
     assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("1", 4, 1), ("2", 4, 1), ("3", 4, 1), ("3", 4, 1), ("4", 0, 4), ("None", 4, 1)]
 
 
-def test_neighbours_fail_loudly_without_a_passed_audit(spark, monkeypatch):
-    vectors = spark.createDataFrame([(i, [1.0, i / 100], 0) for i in range(20)], "vec_id long, embedding array<double>, label int")
-    monkeypatch.setattr(neighbours, "AUDITS", 3)
+def test_every_pair_is_compared_where_no_audit_is_passed(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6))
+    x = [centres[i % 12] + rng.normal(size=6) * 0.18 for i in range(150)]
+    rows = [(i, v.tolist(), i % 3 if i % 17 else None) for i, v in enumerate(x)] + [(500, x[1].tolist(), 1), (501, x[1].tolist(), 1), (None, x[3].tolist(), 0)]
+    monkeypatch.setattr(neighbours, "AUDITS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "audited", lambda *a: 0.5)
-    with pytest.raises(RuntimeError, match="audit"):
-        neighbours.near_duplicates(vectors)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect() if r.vec_id is not None}
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v, _ in rows}
+    pairs = [(a, b) for n, (a, _, s) in enumerate(rows) for b, _, t in rows[:n] if s is not None and s == t and unit[a] @ unit[b] >= neighbours.SIMILARITY]
+    links = Counter(k for p in pairs for k in p)
+    inside = [p for p in pairs if None not in p]
+    roots = components_brute([r[0] for r in rows if r[0] is not None], inside)
+    assert got == {k: (links[k], roots[k]) for k, _, _ in rows if k is not None} and len(set(roots.values())) > 12
 
 
 def test_neighbour_signs_grow_with_a_label(spark):
