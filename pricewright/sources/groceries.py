@@ -126,6 +126,24 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("standardized_product_name", F.lit("shelf").alias("coverage_status"), *sides)
 
 
+def compared_soaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison rows of every third soap, under the name that its brand, scent and litres make."""
+    k = F.col("p_partkey")
+    litres = F.regexp_replace(F.format_string("%.6f", (500 + 5 * (k % 97)) / 1000), r"\.?0+$", "")
+    pick = lambda listed, by: F.element_at(F.array(*map(F.lit, listed)), (F.floor(k / by) % len(listed) + 1).cast("int"))
+    brand, scent = F.lower(pick(SOAPS, 2)), F.nullif(F.lower(pick(SCENTS, 6)), F.lit(""))
+    size = F.concat(litres, F.lit(" l"))
+    name = F.when(k % 7 == 0, F.concat_ws(" ", brand, F.lit("sprey"), scent, size)).otherwise(F.concat_ws(" ", brand, scent, F.lit("bulasik deterjani"), size))
+    price = F.round(F.col("p_retailprice") / 10, 2)
+    soaps = table(spark, sf_dir, "part").where((k % 2 == 0) & (k % 3 == 0)).groupBy(name.alias("standardized_product_name")).agg(F.min(k).alias("k"), F.min_by(price, k).alias("src_a_price"))
+    k, none = F.col("k"), F.lit(None)
+    return soaps.select(
+        "standardized_product_name", "src_a_price", F.when(k % 4 > 0, F.col("src_a_price") + 1).alias("src_b_price"), F.lit(True).alias("same_unit_flag"), (k % 5 > 0).alias("same_quantity_flag"),
+        F.element_at(F.array(*map(F.lit, ["high", "medium", "low"])), (k % 3 + F.floor(k / 3) % 2 + 1).cast("int")).alias("comparison_confidence"), F.when(k % 2 == 0, "said").alias("comparison_review_reason"),
+        *[none.cast(kind).alias(f"{s}_{c}") for s in SOURCES for c, kind in (("source_product_name", "string"), ("normalized_unit", "string"), ("normalized_quantity", "double"))],
+    )
+
+
 SHELF_SQL = """shelf AS (
   SELECT lower(p_name) || ' ' || p_partkey AS name0, p_partkey AS k, p_partkey % 2 = 0 AS soap, round(p_retailprice / 10, 2) AS p, p_size % 2 = 0 OR p_partkey % 10 = 0 AS a, p_size % 2 = 1 OR p_partkey % 10 = 0 AS b,
     ['fairy', 'pril', 'bingo'][(k // 2) % 3 + 1] AS soap_brand, k % 7 = 0 AS spray, nullif(['', 'limon', 'elma'][(k // 6) % 3 + 1], '') AS scent, (500 + 5 * (k % 97)) / 1000 AS l,
