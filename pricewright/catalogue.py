@@ -561,4 +561,4 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/facts").select(*_LINES)
 
 
-from . import catalogue_groceries, catalogue_shelves  # noqa: E402, F401  register their queries
+from . import catalogue_groceries, catalogue_more, catalogue_shelves  # noqa: E402, F401  register their queries
