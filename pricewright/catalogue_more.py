@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import BASKETS, PRODUCT, basket_inputs, latest_sql, pivot_sql, query
 from .functions import profiles as PR
-from .plans import accounting, baskets, matching, standardize
+from .plans import accounting, baskets, matching, sections, standardize
 from .sources import bindings as B
 from .sources import groceries as G
 
@@ -85,3 +85,39 @@ def _(spark, d):
     """Counts and the family that a name gives."""
     names = G.captured(spark, d).select("product_name").distinct()
     return names.select("product_name", PR.counts_in(F.col("product_name")).alias("c"), PR.family_id(F.col("product_name")).alias("family")).select("product_name", "c.pieces", "c.rolls", "c.liters", "family")
+
+
+# Sections of a category ------------------------------------------------------------------------
+
+_TEXTS = {"PROMO": "bulaşık deterjanı", "LARGE": "parlatıcı", "STANDARD": "temizlik"}
+_RESULTS = """results AS (SELECT p_type AS query_id, p_partkey AS place, p_name || ' ' || p_partkey // 3 AS name, nullif(['fairy', 'pril', 'bingo', 'src_a', '', 'abc', 'ace'][p_partkey % 7 + 1], '') AS brand,
+    nullif(['dishwashing_liquid', 'dishwasher_tablet', '', 'bleach'][(p_partkey // 7) % 4 + 1], '') AS subtype, nullif(['litre', 'adet', '', 'kg', 'adet'][(p_partkey // 28) % 5 + 1], '') AS unit FROM part),
+  kinds AS (SELECT query_id, coalesce(CASE query_id WHEN 'PROMO' THEN 'dishwashing_liquid' WHEN 'LARGE' THEN 'rinse_aid' END, arg_max(subtype, (n, subtype))) AS kind FROM (SELECT query_id, subtype, count(*) FILTER (WHERE subtype IS NOT NULL) AS n FROM results GROUP BY ALL) GROUP BY 1),
+  fit AS (SELECT r.*, kind, kind IS NULL OR coalesce(subtype = kind, false) AS fits FROM results r JOIN kinds USING (query_id)),
+  units AS (SELECT query_id, arg_max(unit, (unit = CASE kind WHEN 'dishwashing_liquid' THEN 'litre' WHEN 'dishwasher_tablet' THEN 'adet' WHEN 'bleach' THEN 'litre' WHEN 'rinse_aid' THEN 'litre' ELSE '' END, n, unit)) AS first_unit FROM (SELECT query_id, kind, unit, count(*) AS n FROM fit WHERE fits AND unit IS NOT NULL GROUP BY ALL) GROUP BY 1),
+  parts AS (SELECT f.*, first_unit, CASE WHEN fits AND (first_unit IS NULL OR coalesce(unit = first_unit, false)) THEN 'primary' ELSE 'secondary' END AS section FROM fit f LEFT JOIN units USING (query_id)),
+  brands AS (SELECT query_id, brand, count(*) AS n, min(place) AS first, CASE WHEN kind = 'dishwashing_liquid' THEN list_position(['fairy', 'pril', 'bingo'], brand) WHEN kind = 'dishwasher_tablet' THEN list_position(['finish', 'fairy', 'pril'], brand) END AS rank FROM parts WHERE section = 'primary' AND brand IS NOT NULL AND brand NOT IN ('src_a', 'src_b') GROUP BY ALL)"""
+
+
+def category_results(spark, d):
+    """Parts as results of their types, and a text for each type."""
+    k = F.col("p_partkey")
+    pick = lambda listed, by: F.nullif(F.element_at(F.array(*map(F.lit, listed)), (F.floor(k / by) % len(listed) + 1).cast("int")), F.lit(""))
+    part = B.table(spark, d, "part")
+    results = part.select(
+        F.col("p_type").alias("query_id"), k.alias("place"), F.concat_ws(" ", "p_name", F.floor(k / 3).cast("string")).alias("standardized_product_name"), pick(["fairy", "pril", "bingo", "src_a", "", "abc", "ace"], 1).alias("brand"),
+        pick(["dishwashing_liquid", "dishwasher_tablet", "", "bleach"], 7).alias("subtype"), pick(["litre", "adet", "", "kg", "adet"], 28).alias("best_unit"),
+    )
+    texts = F.create_map(*[F.lit(x) for kv in _TEXTS.items() for x in kv])
+    return results, part.select(F.col("p_type").alias("query_id"), texts[F.col("p_type")].alias("text")).distinct()
+
+
+@query("category_sections", f"WITH {_RESULTS} SELECT query_id, place, kind AS primary_subtype, first_unit AS primary_unit, section FROM parts")
+def _(spark, d):
+    return sections.sectioned(*category_results(spark, d)).select("query_id", "place", "primary_subtype", "primary_unit", "section")
+
+
+@query("category_chips", f"""WITH {_RESULTS} SELECT query_id, 0 AS chip_no, 'all' AS chip, count(*) AS n_results FROM parts WHERE section = 'primary' GROUP BY 1
+UNION ALL SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST, first, brand) AS chip_no, brand, n FROM brands b WHERE rank IS NOT NULL OR NOT EXISTS (SELECT 1 FROM brands c WHERE c.query_id = b.query_id AND c.rank IS NOT NULL) QUALIFY chip_no <= 4""")
+def _(spark, d):
+    return sections.chips(sections.sectioned(*category_results(spark, d)))
