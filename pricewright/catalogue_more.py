@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import BASKETS, PRODUCT, basket_inputs, latest_sql, pivot_sql, query
 from .functions import profiles as PR
-from .plans import accounting, baskets, matching, sections, standardize
+from .plans import accounting, baskets, listings, matching, sections, standardize
 from .sources import bindings as B
 from .sources import groceries as G
 
@@ -121,3 +121,23 @@ def _(spark, d):
 UNION ALL SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST, first, brand) AS chip_no, brand, n FROM brands b WHERE rank IS NOT NULL OR NOT EXISTS (SELECT 1 FROM brands c WHERE c.query_id = b.query_id AND c.rank IS NOT NULL) QUALIFY chip_no <= 4""")
 def _(spark, d):
     return sections.chips(sections.sectioned(*category_results(spark, d)))
+
+
+_SPECIFIC = {"PROMO": "finish power tableti 40", "LARGE": "Fairy limon bulaşık deterjanı 650 ml", "STANDARD": "elma kokulu omo new ring"}
+
+
+@query("specific_listing", """WITH o AS (SELECT p_type AS query_id, p_partkey AS k, nullif(['fairy', 'finish', 'omo', ''][p_partkey % 4 + 1], '') AS brand, nullif(['power', 'limon', 'quantum', 'elma', ''][p_partkey % 5 + 1], '') AS more, nullif(['dishwasher_tablet', 'dishwashing_liquid', ''][p_partkey % 3 + 1], '') AS subtype, ['safe', 'single_market', 'review_required'][(p_partkey // 3) % 3 + 1] AS status, CASE WHEN p_partkey % 6 > 0 THEN p_retailprice END AS unit_price, p_retailprice AS price, p_name FROM part WHERE p_type IN ('PROMO', 'LARGE', 'STANDARD')),
+  n AS (SELECT *, concat_ws(' ', brand, p_name, more, k) AS name, string_split(concat_ws(' ', brand, p_name, more, k), ' ') AS has, CASE query_id WHEN 'PROMO' THEN 'finish' WHEN 'LARGE' THEN 'fairy' ELSE 'omo' END AS asked, CASE query_id WHEN 'PROMO' THEN ['power'] WHEN 'LARGE' THEN ['limon'] ELSE ['elma', 'new', 'ring'] END AS words, CASE query_id WHEN 'PROMO' THEN 'dishwasher_tablet' WHEN 'LARGE' THEN 'dishwashing_liquid' END AS kind FROM o),
+  s AS (SELECT *, CASE WHEN brand = asked THEN 30 ELSE 0 END + CASE WHEN subtype = kind THEN 20 ELSE 0 END + 18 * len(list_intersect(words, has)) + CASE WHEN query_id <> 'PROMO' THEN 0 WHEN list_has_any(has, ['power', 'quantum', 'max']) THEN 34 ELSE -18 END + CASE status WHEN 'safe' THEN 6 WHEN 'single_market' THEN 3 ELSE 0 END AS score FROM n)
+SELECT query_id, name AS standardized_product_name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_price * CASE status WHEN 'safe' THEN 0.99 WHEN 'review_required' THEN 1.01 ELSE 1.0 END NULLS LAST, unit_price NULLS LAST, price, name) AS place FROM s""")
+def _(spark, d):
+    """Parts as offers for a text of their type, in order of what they share with it."""
+    k = F.col("p_partkey")
+    pick = lambda listed, by=1: F.nullif(F.element_at(F.array(*map(F.lit, listed)), (F.floor(k / by) % len(listed) + 1).cast("int")), F.lit(""))
+    brand, more = pick(["fairy", "finish", "omo", ""]), pick(["power", "limon", "quantum", "elma", ""])
+    texts = F.create_map(*[F.lit(x) for kv in _SPECIFIC.items() for x in kv])[F.col("p_type")]
+    offers = B.table(spark, d, "part").where(F.col("p_type").isin(list(_SPECIFIC))).select(
+        F.col("p_type").alias("query_id"), texts.alias("text"), F.concat_ws(" ", brand, "p_name", more, k.cast("string")).alias("standardized_product_name"), brand.alias("brand"), pick(["dishwasher_tablet", "dishwashing_liquid", ""]).alias("subtype"),
+        pick(["safe", "single_market", "review_required"], 3).alias("normalized_status"), F.when(k % 6 > 0, F.col("p_retailprice")).alias("best_unit_price"), F.col("p_retailprice").alias("best_price"),
+    )
+    return listings.specific_listing(offers, ["query_id"]).select("query_id", "standardized_product_name", "score", "place")

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.intents import asked_subtype
 from ..functions.labels import SHOWN_UNITS, pack_total, shown_unit
-from ..functions.profiles import CLEANING_BRANDS, cleaning_profile, cleaning_tokens
+from ..functions.profiles import CLEANING_BRANDS, _let, cleaning_profile, cleaning_tokens
+from ..functions.text import normalize_text
 from ..sources.bindings import SOURCES
 
 #: Results that a listing shows.
@@ -74,6 +76,43 @@ def brand_listing(offers: DataFrame, keys: list[str], brand: str, subtypes: list
     return offers.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).withColumn("is_cheapest", F.col("place") == 1)
 
 
+# Words of a query about cleaning that tell no product from another, the words of a
+# line of dishwasher tablets, and what a product gains for what it shares with a query.
+PLAIN_WORDS = [
+    "adet", "banyo", "bulasik", "camasir", "deterjan", "deterjani", "elde", "gel", "kapsul", "kapsulu", "kokulu", "li", "lu", "lt", "makine", "makinesi", "ml",
+    "parlatici", "rulo", "sivi", "sprey", "spray", "tablet", "tableti", "temiz", "temizleyici", "toz", "yikama",
+]
+POWER_WORDS = ["power", "powerball", "quantum", "ultimate", "gel", "max"]
+GAIN = {"brand": 30, "subtype": 20, "word": 18, "power": 34, "no_power": -18, SAFE: 6, SINGLE: 3}
+
+
+def semantic_score(text: Column, names: Column, brand: Column, subtype: Column, status: Column) -> Column:
+    """How well a product (the array of its names, its brand, subtype and normalised status) fits a
+    search text: its brand, its kind, each further word of the text that a name has, and a safe
+    comparison; of the brand finish that is asked for with power, its line as well."""
+
+    def told(tokens: Column) -> Column:
+        asked = F.get(F.filter(tokens, lambda t: t.isin(CLEANING_BRANDS)), F.lit(0))
+        has = F.split(F.array_join(F.transform(F.filter(names, lambda n: n.isNotNull()), normalize_text), " "), " ")
+        words_ = F.array_distinct(F.filter(tokens, lambda t: ~t.eqNullSafe(asked) & ~t.isin(PLAIN_WORDS) & ~t.rlike("^[0-9]+$")))
+        gain = lambda k, when: F.when(F.coalesce(when, F.lit(False)), GAIN[k]).otherwise(0)
+        power = F.coalesce(asked == "finish", F.lit(False)) & F.array_contains(words_, "power")
+        line = F.arrays_overlap(has, F.array(*map(F.lit, POWER_WORDS)))
+        return gain("brand", brand == asked) + gain("subtype", subtype == asked_subtype(tokens)) + GAIN["word"] * F.size(F.array_intersect(words_, has)) + gain("power", power & line) + gain("no_power", power & ~line) + gain(SAFE, status == SAFE) + gain(SINGLE, status == SINGLE)
+
+    return _let(cleaning_tokens(text), told)
+
+
+def specific_listing(offers: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """All offers of each of keys in order of their semantic score for its text, then as in a
+    category; score, place and whether it is the cheapest to show are added."""
+    names = F.array("standardized_product_name") if "product_names" not in offers.columns else F.concat(F.array("standardized_product_name"), F.coalesce("product_names", F.array().cast("array<string>")))
+    scored = offers.withColumn("score", semantic_score(F.col(text), names, F.col("brand"), F.col("subtype"), F.col("normalized_status")))
+    decided = decision_price(F.col("normalized_status"), F.col("best_unit_price"))
+    order = W.partitionBy(*keys).orderBy(F.desc("score"), decided.asc_nulls_last(), F.asc_nulls_last("best_unit_price"), F.asc_nulls_last("best_price"), F.lower("standardized_product_name"), "standardized_product_name")
+    return scored.withColumn("place", F.row_number().over(order)).withColumn("is_cheapest", F.col("place") == 1)
+
+
 def best_row_per_group(offers: DataFrame, group: list[str]) -> DataFrame:
     """The first offer of each group by status, decision price, price and name."""
     decided = decision_price(F.col("normalized_status"), F.col("best_unit_price"))

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from pricewright.plans import sections
+from pricewright.plans import listings, sections
 
 RESULTS = "query_id long, place int, standardized_product_name string, brand string, subtype string, best_unit string"
 TEXTS = {1: "bulaşık deterjanı", 2: "temizlik", 3: "parlatıcı", 4: None}
@@ -73,3 +73,18 @@ def test_a_chip_keeps_its_brand(spark, made, chip):
 
 def test_no_results_no_sections(made):
     assert sections.chips(made.limit(0)).count() == 0
+
+
+def test_specific_results_are_ordered_by_what_they_share_with_the_text(spark):
+    rows = [
+        (1, "finish power tablet", "Finish Quantum Tablet 60", "finish", "dishwasher_tablet", "single_market", 2.0, 120.0), (1, "finish power tablet", "Finish Tablet 40", "finish", "dishwasher_tablet", "safe", 1.0, 40.0), (1, "finish power tablet", "Fairy Power Tablet 30", "fairy", "dishwasher_tablet", "safe", None, 30.0),
+        (2, "fairy limon 650 ml", "Fairy Limon 650 ml", "fairy", "dishwashing_liquid", "review_required", 90.0, 60.0), (2, "fairy limon 650 ml", "Fairy Elma 650 ml", "fairy", "dishwashing_liquid", "safe", 10.0, 6.0), (2, "fairy limon 650 ml", "Limon Kg", None, None, "safe", 1.0, 1.0), (3, None, "x", None, None, "safe", None, None),
+    ]
+    offers = spark.createDataFrame(rows, "query_id long, text string, standardized_product_name string, brand string, subtype string, normalized_status string, best_unit_price double, best_price double")
+    got = {}
+    for r in listings.specific_listing(offers, ["query_id"]).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.standardized_product_name, r.score))
+    assert got == {
+        1: [("Finish Quantum Tablet 60", 30 + 20 + 34 + 3), ("Fairy Power Tablet 30", 20 + 18 + 34 + 6), ("Finish Tablet 40", 30 + 20 - 18 + 6)],
+        2: [("Fairy Limon 650 ml", 30 + 18), ("Fairy Elma 650 ml", 30 + 6), ("Limon Kg", 18 + 6)], 3: [("x", 6)],
+    }
