@@ -32,12 +32,14 @@ from ..shipping import ship_package
 from .graph import components
 from .grouped import by_group
 from .scratch import Scratch, bounded_broadcast
+from .workers import handing_back
 
 SIMILARITY, SHINGLE, SKETCH = 0.8, 5, 64
 #: Deviations below the mean that a sketch's overlap may lie: a link is missed about once in 10**7.
 SAFE = 5.3
-#: Members of a list that one block holds, and text handled at a time in a worker.
-BLOCK, CHUNK_BYTES = 2000, 1 << 20
+#: Members of a list that one block holds, and text handled at a time in a worker (its words
+#: and values take some forty times as much).
+BLOCK, CHUNK_BYTES = 2000, 1 << 18
 STAR_ROUNDS = 2
 #: Members of a cluster that meet at a time.
 MEMBERS = 256
@@ -157,7 +159,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE, k:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "digest", "sketch", "bits1", "bits2"])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return read.mapInArrow(run, ROWS)
+    return read.mapInArrow(handing_back(run), ROWS)
 
 
 def least_shared(n: Column, k: int = SKETCH, similarity: float = SIMILARITY) -> Column:
@@ -301,7 +303,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
 
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(handing_back(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, k: int = SKETCH) -> DataFrame:

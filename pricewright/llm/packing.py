@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 from .scratch import Scratch
+from .workers import handing_back
 
 LENGTH, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
-#: Pieces that are packed together in one task, bytes of words and ids that a worker remembers
+#: Pieces that are packed together in one task, bytes of words and ids that a task remembers
 #: (with the overhead of a Python object each), and the gap, as a share of a sequence, from which
 #: on a sequence of a pack counts as left over.
 PACK_ROWS, REMEMBERED_BYTES, ENTRY_BYTES, LEFT_OVER = 100_000, 192 << 20, 170, 0.01
 #: Characters of texts that are encoded together.
-CHUNK_CHARS = 6 << 20
+CHUNK_CHARS = 2 << 20
 
 #: A text made of these characters only is split at white space first and its
 #: parts are encoded once each; its tokens are the same as the tokenizer's for the whole text.
@@ -48,6 +49,10 @@ class Words(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def exact(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -108,8 +113,7 @@ class Encoder:
 
         words = self.words
         if words.held > REMEMBERED_BYTES:
-            words.clear()
-            words.held = 0
+            words.forget()
         plain = [k for k, text in enumerate(texts) if "<|" not in text and PLAIN.fullmatch(text)]
         known = set(plain)
         rest = [k for k in range(len(texts)) if k not in known]
@@ -143,7 +147,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker process; a process serves many tasks."""
+    """One for each worker process; a process serves many tasks, so what it remembers is
+    forgotten at the end of each."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -184,8 +189,9 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                         rows.append((key, k, k * length, len(piece) // 4, zlib.crc32(piece)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECE_TYPES, strict=True)], names=PIECE_NAMES)
                 lo = hi
+        coder.words.forget()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(handing_back(cut), PIECES)
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -273,7 +279,7 @@ def _packs(rows: DataFrame, packs: int, length: int, level: int) -> DataFrame:
             out = out.append_column(name, pa.array(values, kind))
         yield from out.to_batches(max_chunksize=10_000)
 
-    return rows.repartition(packs).mapInArrow(run, PACKED + ", over boolean")
+    return rows.repartition(packs).mapInArrow(handing_back(run), PACKED + ", over boolean")
 
 
 def pack(cut: DataFrame, scratch: Scratch, length: int = LENGTH, pack_rows: int = PACK_ROWS) -> DataFrame:
