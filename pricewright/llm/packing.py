@@ -26,8 +26,8 @@ LENGTH, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: (with the overhead of a Python object each), and the gap, as a share of a sequence, from which
 #: on a sequence of a pack counts as left over.
 PACK_ROWS, REMEMBERED_BYTES, ENTRY_BYTES, LEFT_OVER = 100_000, 192 << 20, 170, 0.01
-#: Characters of texts that are encoded together.
-CHUNK_CHARS = 2 << 20
+#: Bytes of texts that are encoded together; only these are Python strings at a time.
+CHUNK_BYTES = 2 << 20
 
 #: A text made of these characters only is split at white space first and its
 #: parts are encoded once each; its tokens are the same as the tokenizer's for the whole text.
@@ -172,17 +172,19 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
         coder = encoder(path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             lo = 0
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and held < CHUNK_CHARS:
-                    held += len(texts[hi])
-                    hi += 1
+            while lo < batch.num_rows:
+                hi = min(batch.num_rows, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_BYTES)) + 1)
+                part = batch.slice(lo, hi - lo)
+                keys, texts = part.column(0).to_pylist(), part.column(1).fill_null("").to_pylist()
                 rows = []
-                for key, ids in zip(keys[lo:hi], coder.encode(texts[lo:hi]), strict=True):
+                for key, ids in zip(keys, coder.encode(texts), strict=True):
                     ids += END_ID.to_bytes(4, "little")
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         piece = ids[at : at + 4 * length]
