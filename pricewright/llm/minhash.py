@@ -11,16 +11,18 @@ on their whole texts.
 
 Large groups are never expanded into pairs: every member of a list meets one member of it,
 in turn with other choices. Pairs that may link form clusters, those of them that do link
-form components, and within a cluster only documents outside its largest component are
-compared with the others, block by block in memory. No list is cut: one that is very long
-is dealt to many tasks in blocks.
+form components; in a large cluster each document meets a few others of it besides. Only
+documents outside their cluster's largest component are then compared with the others, block
+by block in memory. A block yields the links that join its components, one for each that it
+joins, and not all pairs that link. No list is cut: one that is very long is dealt to many
+tasks in blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ BLOCK, CHUNK_BYTES = 2000, 1 << 18
 STAR_ROUNDS = 2
 #: Members of a cluster that meet at a time.
 MEMBERS = 256
+#: Members of a cluster of more than MEMBERS whom all its others meet.
+CENTRES = 8
 #: Hashes of wanted texts that are broadcast at most; beyond them the texts are shuffled.
 HASHES = 1_000_000
 
@@ -225,10 +229,66 @@ def mixed_lists(labelled: DataFrame) -> DataFrame:
     return labelled.join(mixed, "value", "left_semi")
 
 
+def largest_roots(rows: DataFrame, key: str) -> DataFrame:
+    """(key, main, size, guests) of each key whose rows have several roots: the root of most
+    rows, all rows and those of other roots, its guests."""
+    by_root = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("rows"))
+    found = by_root.groupBy(key).agg(F.max(F.struct("rows", "root")).alias("m"), F.sum("rows").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return found.select(key, F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.rows")).alias("guests"))
+
+
+def guests_and_hosts(rows: DataFrame, key: str, at_a_time: int) -> DataFrame:
+    """Rows (key, root, cid, more) as hosts and the guests among them once more as guests, with
+    block and part such that a guest meets every host of its key once. A key, block and part
+    has about at_a_time rows of either kind at most. Keys of one root have no guests."""
+    share = lambda n: F.ceil(F.col(n) / at_a_time).cast("int")
+    here = rows.join(largest_roots(rows, key).select(key, "main", share("size").alias("blocks"), share("guests").alias("parts")), key)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    rest = [c for c in rows.columns if c != key]
+    hosts = here.select(key, one_of("blocks").alias("block"), every("parts").alias("part"), F.lit(True).alias("host"), *rest)
+    guests = here.where("root != main").select(key, every("blocks").alias("block"), one_of("parts").alias("part"), F.lit(False).alias("host"), *rest)
+    return hosts.union(guests)
+
+
+def joining(t: pa.Table, linked: Callable[[int, np.ndarray], np.ndarray]) -> pa.Table:
+    """(a, b): links of guests with hosts that join the roots of t into what all its links
+    would join them to, each of them between two that were apart: fewer than there are roots.
+    linked(i, held) tells which of the hosts, rows held, row i links with."""
+    ids = np.asarray(t.column("cid"))
+    held = np.flatnonzero(np.asarray(t.column("host")))
+    label = np.unique(np.asarray(t.column("root")), return_inverse=True)[1]
+    a, b = [], []
+    for i in np.setdiff1d(np.arange(len(ids)), held):
+        apart = label[held] != label[i]
+        if not apart.any():
+            continue
+        near = held[apart & linked(i, held)]
+        met, first = np.unique(label[near], return_index=True)
+        a += [int(ids[i])] * len(met)
+        b += [int(x) for x in ids[near[first]]]
+        if len(met):
+            label[np.isin(label, met)] = label[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def crossing_pairs(labelled: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: pairs of one list that may link although their clusters differ."""
-    met = labelled.alias("x").join(labelled.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root")) & _may_link(similarity))
-    return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    """(a, b): pairs of one list that may link although their clusters differ, as many as
+    join what all of them would."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        n, most = np.asarray(t.column("n")), np.asarray(t.column("most"))
+        bits = [np.asarray(t.column(c)).view(_U) for c in ("bits1", "bits2")]
+
+        def linked(i: int, held: np.ndarray) -> np.ndarray:
+            apart = sum(np.bitwise_count(x[held] ^ x[i]).astype(np.int64) for x in bits)
+            sizes = np.minimum(n[held], n[i]) >= similarity * np.maximum(n[held], n[i]) - 1e-9
+            return sizes & (apart <= np.maximum(most[held], most[i]))
+
+        return joining(t, linked)
+
+    rows = labelled.select("value", "root", "cid", "n", "bits1", "bits2", "most")
+    return by_group(guests_and_hosts(rows, "value", BLOCK), ["value", "block", "part"], meet, "a long, b long")
 
 
 def clusters(posted: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -246,40 +306,40 @@ def clusters(posted: DataFrame, scratch: Scratch, similarity: float = SIMILARITY
     return roots.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), edges.distinct()
 
 
+def centre_pairs(grouped: DataFrame) -> DataFrame:
+    """From (cid, cluster), (a, b): each member of a cluster of more than MEMBERS, and each of
+    up to CENTRES members of it, so that few stay outside its largest component."""
+    large = grouped.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > MEMBERS).select("cluster")
+    here = grouped.join(large, "cluster")
+    order = F.xxhash64("cid")
+    centres = here.groupBy("cluster", F.pmod(order, F.lit(CENTRES)).alias("slot")).agg(F.min_by("cid", order).alias("b"))
+    return here.join(centres, "cluster").where("cid != b").select(F.col("cid").alias("a"), "b")
+
+
 def linked_within(members: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """From members (cid, cluster, root): links (a, b) between different components of a
     cluster. All but the members of a cluster's largest component are its guests; a guest is
-    compared on whole sets with every member, a block of MEMBERS at a time, and keeps one
-    link to each component that it meets. Clusters of one component have no guests."""
+    compared on whole sets with every member, a block of MEMBERS at a time, and links are
+    kept that join what all of them would. Clusters of one component have no guests."""
     percent = round(similarity * 100)
-    by_root = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = by_root.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    largest = largest.select("cluster", F.col("m.root").alias("main"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("m.n")) / MEMBERS).cast("int").alias("parts"))
-    here = members.join(largest, "cluster")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    hosts = here.select("cluster", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), every("parts").alias("part"), F.lit(True).alias("host"), "cid", "root")
-    guests = here.where("root != main").select("cluster", every("blocks").alias("block"), F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("host"), "cid", "root")
 
     def meet(t: pa.Table) -> pa.Table | None:
-        host = np.array(t.column("host").to_pylist(), bool)
-        ids, roots = np.asarray(t.column("cid")), np.asarray(t.column("root"))
+        host = np.asarray(t.column("host"))
         if host.all() or not host.any():
             return None
         sets = list(text_sets(t.column("text").combine_chunks(), shingle))
         held = np.flatnonzero(host)
         flat, sizes = np.concatenate([sets[i] for i in held]), np.array([len(sets[i]) for i in held])
         at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        a, b = [], []
-        for i in np.flatnonzero(~host):
+
+        def linked(i: int, _: np.ndarray) -> np.ndarray:
             own = sets[i]
             both = np.add.reduceat((own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat).astype(np.int64), at)
-            near = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (roots[held] != roots[i]))
-            for j in np.unique(roots[held[near]], return_index=True)[1]:
-                a.append(int(ids[i]))
-                b.append(int(ids[held[near[j]]]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            return 100 * both >= percent * (sizes + len(own) - both)
+
+        return joining(t, linked)
 
-    rows = hosts.union(guests).join(texts, "cid").select("cluster", "block", "part", "host", "cid", "root", "text")
+    rows = guests_and_hosts(members.select("cluster", "root", "cid"), "cluster", MEMBERS).join(texts, "cid").select("cluster", "block", "part", "host", "cid", "root", "text")
     return by_group(rows, ["cluster", "block", "part"], meet, "a long, b long")
 
 
@@ -335,11 +395,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     grouped, stars = clusters(posted, scratch, similarity)
     grouped = scratch.save(grouped, "grouped")
-    links = scratch.save(verified(stars, texts_of(ends(stars)), shingle, similarity, k), "links")
+    met = scratch.save(stars.union(centre_pairs(grouped)).distinct(), "met")
+    links = scratch.save(verified(met, texts_of(ends(met)), shingle, similarity, k), "links")
     roots = components(links, scratch, "linked").withColumnRenamed("node", "cid")
     members = scratch.save(grouped.join(roots, "cid", "left").select("cid", "cluster", F.coalesce("root", "cid").alias("root")), "members")
-    open_ = members.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("cluster")
-    asked = members.join(open_, "cluster", "left_semi").select("cid")
+    asked = members.join(largest_roots(members, "cluster").select("cluster"), "cluster", "left_semi").select("cid")
     more = scratch.save(linked_within(members, texts_of(asked), shingle, similarity), "more")
     roots = components(links.union(more), scratch, "roots")
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("root", "cid").alias("root"), "first_id")

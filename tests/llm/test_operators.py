@@ -544,6 +544,55 @@ def test_long_lists_meet_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def roots_of(ids, pairs):
+    return set(components_brute(ids, pairs).values())
+
+
+def test_links_of_a_large_group_do_not_grow_with_its_square(spark):
+    n = 60  # every member links with every other one, none has met another yet
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40)) + f" tail{i}") for i in range(n)], "cid long, text string")
+    members = texts.select("cid", F.lit(0).cast("long").alias("cluster"), F.col("cid").alias("root"))
+    links = [(r.a, r.b) for r in minhash.linked_within(members, texts, shingle=2).collect()]
+    assert len(links) < n and roots_of(range(n), links) == {0}
+    lists = members.select(F.lit(7).cast("long").alias("value"), "cid", F.lit(40).alias("n"), F.lit(-1).cast("long").alias("bits1"), F.col("cid").alias("bits2"), F.lit(9.0).alias("most"), F.lit(1).alias("blocks"), "root")
+    pairs = [(r.a, r.b) for r in minhash.crossing_pairs(lists).collect()]
+    assert len(pairs) < n and roots_of(range(n), pairs) == {0}
+
+
+def test_crossing_pairs_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, i, int(rng.integers(30, 45)), -int(rng.integers(1, 32)), int(rng.integers(0, 512)), float(rng.integers(3, 4)), i - i % 2) for i in range(80)]
+    lists = spark.createDataFrame(rows, "value long, cid long, n int, bits1 long, bits2 long, most double, root long")
+    may = [(x[1], y[1]) for k, x in enumerate(rows) for y in rows[:k] if x[0] == y[0] and x[6] != y[6] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]) - 1e-9 and ((x[3] ^ y[3]) % 2**64).bit_count() + (x[4] ^ y[4]).bit_count() <= max(x[5], y[5])]
+    own = [(x[1], x[6]) for x in rows]
+    pairs = [(r.a, r.b) for r in minhash.crossing_pairs(lists).collect()]
+    assert {tuple(sorted(p)) for p in pairs} <= {tuple(sorted(p)) for p in may}
+    want = components_brute(range(80), own + may)
+    assert components_brute(range(80), own + pairs) == want
+    assert 1 < len(set(want.values())) < 30
+
+
+def test_large_groups_of_near_copies_equal_brute_force(spark, monkeypatch):
+    for name, size in (("BLOCK", 8), ("MEMBERS", 8), ("CENTRES", 3)):
+        monkeypatch.setattr(minhash, name, size)
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in range(80)]
+    rows = [(5000, " ".join(base))]
+    for i in range(150):
+        words = list(base)
+        for at in rng.integers(0, 80, 4 + i % 4):
+            words[at] = f"v{rng.integers(0, 9999)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    sets = {i: sets_brute(t, 2) for i, t in rows}
+    linked = [(a, b) for n, a in enumerate(sets) for b in list(sets)[:n] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert got == components_brute(sorted(sets), linked)
+    grouped = spark.range(30).select(F.col("id").alias("cid"), F.when(F.col("id") < 22, 0).otherwise(22).cast("long").alias("cluster"))
+    pairs = minhash.centre_pairs(grouped).collect()
+    assert {r.a for r in pairs} == set(range(22)) and len({r.b for r in pairs}) == 3 and len(pairs) == 22 * 3 - 3
+
+
 def test_one_of_each_keeps_one_row_of_repeated_ones(spark):
     text = " ".join(f"w{j}" for j in range(50))
     rows = [(1, text), (1, text), (2, text + " x"), (3, None), (3, None), (4, "")]
