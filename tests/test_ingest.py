@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pricewright.plans import accounting, standardize
@@ -99,3 +100,32 @@ def test_subtree_is_picked_from_a_tree(spark):
     found = lambda pick: sorted((r.k, r.product_id, r.product_name) for r in listings.flatten_tree(rows, carry=("k",), subtree=pick).collect())
     assert found(None) == [(1, "0", "Up"), (1, "1", "A"), (1, "2", "B")]
     assert found("c1") == [(1, "1", "A"), (1, "2", "B")] and found("c2") == [(1, "2", "B")] and found("none") == []
+
+
+def test_rows_of_many_trees_are_one_batch():
+    trees = [json.dumps({"id": str(k), "products": [leaf(str(j), f"N{k}", 100) for j in range(k % 4)]}) for k in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(trees)], names=["k", "payload"])
+    out = list(listings.tree_batches(iter([batch]), ["k"], None))
+    assert len(out) == 1 and [(r["k"], r["product_id"]) for r in out[0].to_pylist()] == [(k, str(j)) for k in range(1000) for j in range(k % 4)]
+
+
+def test_names_are_told_once_and_stand_for_the_rows_own(spark):
+    rows = listings.captured_rows(captured(spark, FILES))
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    told = standardize.held_names(rows.mapInArrow(seen, rows.schema))
+    made = calls.value
+    got = standardize.standardize_observations(rows, told)
+    assert sorted(map(str, got.collect())) == sorted(map(str, standardize.standardize_observations(rows).collect())) and calls.value == made > 0
+
+
+def test_a_stream_leaves_the_settings_of_the_session(spark, tmp_path):
+    captured(spark, [FILES[0]]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = {k: spark.conf.get(k, None) for k in ingest._STATE}
+    assert run(spark, tmp_path).count() == 3
+    assert {k: spark.conf.get(k, None) for k in ingest._STATE} == before
