@@ -151,7 +151,7 @@ def catalog_of(spark, d):
 
 @query("canonical_names", f"WITH {LATEST_SQL} SELECT source_name, source_product_name, canonical AS canonical_search_name, u AS unit, q AS quantity, gu AS grouping_unit, gq AS grouping_quantity, comparison_price FROM latest")
 def _(spark, d):
-    rows = catalog.latest_sources(G.history(spark, d), G.TIE)
+    rows = catalog.latest_sources(G.latest_history(spark, d), G.TIE)
     return rows.select("source_name", "source_product_name", "canonical_search_name", F.col("normalized_unit").alias("unit"), F.col("normalized_quantity").alias("quantity"), "grouping_unit", "grouping_quantity", "comparison_price")
 
 

@@ -1,12 +1,17 @@
 """Golden rows for paper and cleaning products, labels, canonical names, pairs and listings."""
 
+import datetime as dt
+
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from pricewright import catalogue
 from pricewright.functions import canonical as C
 from pricewright.functions import labels as L
 from pricewright.functions import profiles as PR
 from pricewright.plans import accounting, catalog, listings, pairs, standardize, synthesis
+from pricewright.sources import groceries as G
 
 
 def values(spark, rows, schema, made):
@@ -155,3 +160,23 @@ def test_refresh_goes_on_after_a_failure(spark, tmp_path):
     assert report == {("table_present", "facts"): True, ("table_present", "dim"): False, ("latest_success", "a"): True, ("latest_success", "b"): False, ("history_rows", "history"): True, ("smoke", "search"): False}
     names = spark.createDataFrame([("Kağıt Havlu",), ("Islak Havlu",), ("Elma",)], "n string")
     assert [r.n for r in accounting.filter_like_any(names, "n", ["%havlu%"], ["%islak%"]).collect()] == ["Kağıt Havlu"]
+
+
+def test_the_latest_rows_are_those_of_the_whole_history(spark, tmp_path):
+    at = lambda day: None if day is None else dt.datetime(2024, 1, day)
+    lines = [(o, p, s, n, x, at(day)) for o, (p, s, n, x, day) in enumerate([
+        (0, 2, 1, 900.0, 3), (0, 2, 2, 900.0, 3), (0, 4, 2, 800.0, 3), (28, 6, 1, 700.0, 3), (0, 2, 1, None, 9), (0, 3, 1, 500.0, 1), (0, 3, 1, 400.0, None), (1, 2, 1, 300.0, None), (1, 2, 2, 200.0, None),
+        (2, 2, 1, 100.0, 2), (99, 2, 1, 100.0, 8), (None, 2, 1, 100.0, 8), (3, None, 1, 100.0, 4), (3, 5, 1, 100.0, 4), (13, 2, 1, 900.0, 5), (13, 3, 1, 900.0, 5),
+    ])]
+    spark.createDataFrame([(o, p, s, n, 1.0, x, 0.1, day) for o, p, s, n, x, day in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, "n", "Brand#1", "PROMO") for p in (0, 1, 2, 3, 13, 28, 50)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    told = lambda history: sorted(map(str, catalog.latest_sources(history, G.TIE).collect()))
+    got = told(G.latest_history(spark, str(tmp_path)))
+    assert got == told(G.history(spark, str(tmp_path))) and len(got) == 7
+    assert G.latest_history(spark, str(tmp_path)).count() == 7
+
+
+@pytest.mark.parametrize("name", ["canonical_names", "display_names", "public_catalog", "latest_canonical_prices", "display_prices", "cleaning_rules", "paper_rules", "best_offers", "safety_list"])
+def test_a_catalog_does_not_read_the_order_lines_again(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "l_shipdate" not in plan
