@@ -157,7 +157,7 @@ def _(spark, d):
 
 @query("display_names", f"WITH {LATEST_SQL} SELECT canonical AS canonical_search_name, display AS display_name FROM shown")
 def _(spark, d):
-    return catalog.display_names(catalog.latest_sources(G.history(spark, d), G.TIE)).select("canonical_search_name", "display_name")
+    return catalog.display_names(catalog.latest_sources(G.latest_history(spark, d), G.TIE)).select("canonical_search_name", "display_name")
 
 
 @query("public_catalog", f"""WITH {LATEST_SQL} SELECT display AS standardized_product_name, source_count, available_sources, src_a_name AS src_a_source_product_name, src_b_name AS src_b_source_product_name, src_a_p AS src_a_raw_price, src_b_p AS src_b_raw_price,
