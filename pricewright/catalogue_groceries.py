@@ -168,8 +168,9 @@ def _(spark, d):
 
 @query("latest_canonical_prices", f"""WITH {LATEST_SQL} SELECT display AS standardized_product_name, source_count, src_a_p AS src_a_price, src_b_p AS src_b_price, comparison_confidence FROM catalog WHERE contains(display, 'sogan') OR contains(display, 'mantar')""")
 def _(spark, d):
-    rows = catalog_of(spark, d).select(F.col("standardized_product_name").alias("name")).where("contains(name, 'sogan') or contains(name, 'mantar')")
-    return catalog.latest_prices(G.history(spark, d), rows, VARIANTS, SOURCES, G.TIE).select("standardized_product_name", "source_count", "src_a_price", "src_b_price", "comparison_confidence")
+    history = G.latest_history(spark, d)
+    rows = catalog.build_catalog(history, VARIANTS, SOURCES, G.TIE).select(F.col("standardized_product_name").alias("name")).where("contains(name, 'sogan') or contains(name, 'mantar')")
+    return catalog.latest_prices(history, rows, VARIANTS, SOURCES, G.TIE).select("standardized_product_name", "source_count", "src_a_price", "src_b_price", "comparison_confidence")
 
 
 @query("supplement_rows", rf"""WITH {LATEST_SQL} SELECT regexp_replace(trim(strip_accents(translate(lower(source_product_name), 'ı', 'i'))), '\s+', ' ', 'g') AS standardized_product_name, source_name AS cheaper_source, price FROM newest
