@@ -146,7 +146,7 @@ LATEST_SQL = rf"""{G.STANDARD_SQL}, newest AS (
 
 
 def catalog_of(spark, d):
-    return catalog.build_catalog(G.history(spark, d), VARIANTS, SOURCES, G.TIE)
+    return catalog.build_catalog(G.latest_history(spark, d), VARIANTS, SOURCES, G.TIE)
 
 
 @query("canonical_names", f"WITH {LATEST_SQL} SELECT source_name, source_product_name, canonical AS canonical_search_name, u AS unit, q AS quantity, gu AS grouping_unit, gq AS grouping_quantity, comparison_price FROM latest")
