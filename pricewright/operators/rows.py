@@ -23,6 +23,15 @@ def latest_per_key(df: DataFrame, keys: list, at: str, ties: list[str]) -> DataF
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
+def of_last_time(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The rows of the last time of each key, of which ``latest_per_key`` takes one. The times are an
+    aggregate that needs no row in order, written to the shared folder; df is read twice."""
+    last, folder = df.groupBy(*keys).agg(F.max(at).alias("_at")).withColumnsRenamed({k: f"_{k}" for k in keys}), shared_folder(df.sparkSession, "last")
+    last.write.parquet(folder)
+    last = df.sparkSession.read.schema(last.schema).parquet(folder)
+    return df.join(last, [*[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col(at).eqNullSafe(F.col("_at"))], "left_semi")
+
+
 def absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new whose key existing lacks."""
     return new.join(existing.select(*keys).distinct(), keys, "left_anti")

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, standardize_name
 from ..operators.rows import first_per_key
+from ..shared import shared_folder
 from ..sources.bindings import SOURCES
 from .pairs import REVIEW
 
 FAMILY = "product_family"
+#: More than an array has places.
+PLACES = 2**32
 
 
 def normalize_requests(baskets: DataFrame) -> DataFrame:
@@ -21,15 +24,31 @@ def normalize_requests(baskets: DataFrame) -> DataFrame:
     return named.groupBy("basket_id", "product").agg(F.min("item_no").alias("item_no")).select("basket_id", "item_no", "product")
 
 
+def candidate_names(text: Column) -> Column:
+    """A text's standardised and its normalised name."""
+    return F.array(F.coalesce(standardize_name(text), F.lit("")), normalize_text(text))
+
+
+def with_candidate_names(rows: DataFrame, text: str, name: str = "names") -> DataFrame:
+    """rows with the candidate names of a text, which are computed once for each text, in the shared
+    folder, and joined back."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "texts")
+    told = rows.select(F.col(text).alias("_text")).distinct().select("_text", candidate_names(F.col("_text")).alias(name))
+    told.write.parquet(folder)
+    told = spark.read.schema(told.schema).parquet(folder)
+    return rows.join(told, F.col(text).eqNullSafe(F.col("_text"))).drop("_text")
+
+
 def candidate_requests(requests: DataFrame) -> DataFrame:
     """Requests as they are asked (basket_id, item_no, selection_type, text, family_id,
     family_label, options, force_review) with their candidates: of a family its options, else the
     text, each as its standardised and its normalised name, in order and once. A family without
     an id is named by its candidates; requests without candidates, and those of a basket that
-    repeat an earlier family or the same candidates, are left out."""
+    repeat an earlier family or the same candidates, are left out. The names may be there
+    before (names, an array for each option, else for the text)."""
     family = F.col("selection_type") == FAMILY
     asked = F.when(family, F.coalesce("options", F.array().cast("array<string>"))).otherwise(F.array("text"))
-    names = F.flatten(F.transform(asked, lambda n: F.array(F.coalesce(standardize_name(n), F.lit("")), normalize_text(n))))
+    names = F.flatten("names" if "names" in requests.columns else F.transform(asked, candidate_names))
     told = requests.withColumn("candidates", F.array_distinct(F.filter(names, lambda n: n != ""))).where(F.size("candidates") > 0)
     named = F.coalesce(F.nullif("family_id", F.lit("")), F.array_join("candidates", "|"))
     told = told.select(
@@ -63,14 +82,19 @@ def choose_candidates(requests: DataFrame, rows: DataFrame, name: str = "standar
     reason = F.col("comparison_review_reason") if "comparison_review_reason" in rows.columns else F.lit(None).cast("string")
     priced = rows.select(F.col(name).alias("selected"), offer.alias("offer"), F.when(safe, 0).when(review, 1).when(offer.isNotNull(), 2).otherwise(3).alias("rank"), review.alias("review"), reason.alias("reason"))
     met = requests.select("basket_id", "item_no", "selection_type", F.posexplode("candidates").alias("place", "selected")).join(priced, "selected")
-    # of a family, rows without a price come after all others, by place alone
+    # of a family, rows without a price come after all others, by place alone; a rank and a place are
+    # one number, whose minimum needs no rows in order
     without = (F.col("selection_type") == FAMILY) & F.col("offer").isNull()
-    order = F.struct(without.alias("a"), F.when(without, 0).otherwise(F.col("rank")).alias("b"), F.col("place").alias("c"))
-    best = met.groupBy("basket_id", "item_no").agg(F.min_by(F.struct("selected", "offer", "review", "reason"), order).alias("m"))
+    order = F.when(without, F.lit(4)).otherwise(F.col("rank")).cast("long") * PLACES + F.col("place")
+    best = met.groupBy("basket_id", "item_no").agg(F.min(order).alias("_best"))
+    chosen = requests.join(best, ["basket_id", "item_no"], "left").withColumns({"_selected": F.get("candidates", (F.col("_best") % PLACES).cast("int")), "_rank": F.expr(f"_best div {PLACES}").cast("int")})
+    # one row for each name and rank that it may be chosen by
+    ranks = F.array_compact(F.array("rank", F.when(F.col("offer").isNull(), 4)))
+    told = priced.select(F.col("selected").alias("_selected"), F.explode(ranks).alias("_rank"), F.struct("selected", "offer", "review", "reason").alias("m")).groupBy("_selected", "_rank").agg(F.min("m").alias("m"))
     forced = F.col("force_review")
     status = F.when(F.col("m").isNull(), "unavailable").when(forced | F.col("m.review"), REVIEW).when(F.col("m.offer").isNull(), "no_valid_price").otherwise("ok")
     first = F.when(F.col("selection_type") != FAMILY, F.get("candidates", F.lit(0)))
-    return requests.join(best, ["basket_id", "item_no"], "left").select(
+    return chosen.join(told, ["_selected", "_rank"], "left").select(
         "basket_id", "item_no", "selection_type", "family_id", "family_label", F.when(F.col("selection_type") == FAMILY, F.size("candidates")).alias("family_option_count"), F.coalesce("m.selected", first).alias("product"), status.alias("status"),
         F.when(status == "ok", F.col("m.offer.source_name")).alias("source_name"), F.when(status == "ok", F.col("m.offer.price")).alias("price"),
         F.when(forced & F.col("m").isNotNull(), F.coalesce("m.reason", F.lit("subtype_selection_required"))).otherwise(F.col("m.reason")).alias("review_reason"),

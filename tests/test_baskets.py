@@ -1,3 +1,4 @@
+from pricewright.operators import rows as R
 from pricewright.plans import baskets
 
 
@@ -55,3 +56,40 @@ def test_candidates_are_chosen_by_safety_price_and_place(spark):
     }
     assert (got[6].family_label, got[6].family_option_count, got[8].family_id, got[9].review_reason, got[4].review_reason) == ("Salatalık", 4, "elma|mersini yaban|yaban mersini", "subtype_selection_required", "unit_mismatch")
     assert baskets.choose_candidates(baskets.candidate_requests(asked.limit(0)), rows).count() == 0
+
+
+def test_names_of_a_text_are_computed_once_and_choose_as_before(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    texts = [None, "", "Domates Kg", "Yaban Mersini", "Hıyar Kg"]
+    rows = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "basket_id long, text string")
+    named = baskets.with_candidate_names(rows.mapInArrow(seen, rows.schema), "text")
+    assert calls.value == 100
+    # the five texts stand in the folder with their names; no row computes them again
+    assert "regexp_replace" not in named._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.basket_id: r.names for r in named.collect()}
+    assert len(got) == 100 and got[2] == ["domates", "domates kg"] and got[3] == ["mersini yaban", "yaban mersini"] and got[0] == got[1] == ["", ""]
+    asked = spark.createDataFrame([(1, 1, "product", "Domates Kg", None, None, None, None), (1, 2, "product_family", None, "f", None, ["Hıyar", "Badem"], None), (1, 3, "product", None, None, None, None, None)], ASKED)
+    names = spark.createDataFrame([(1, [["domates", "domates kg"]]), (2, [["salatalik", "hiyar"], ["badem", "badem"]]), (3, [["", ""]])], "item_no int, names array<array<string>>")
+    candidates = lambda df: sorted((r.item_no, r.candidates) for r in baskets.candidate_requests(df).collect())
+    assert candidates(asked.join(names, "item_no")) == candidates(asked) == [(1, ["domates", "domates kg"]), (2, ["salatalik", "hiyar", "badem"])]
+
+
+def test_equal_names_of_price_rows_give_a_request_one_row(spark):
+    review = ("x", 5.0, 4.0, False, False, "low", "comparison_review_required", "unit_mismatch")
+    rows = spark.createDataFrame([review, ("x", 3.0, None, False, False, "single_source", "only_src_a", None), ("x", 9.0, None, False, False, "single_source", "only_src_a", None)], PRICED)
+    asked = spark.createDataFrame([(1, 1, "product", "x", None, None, None, None), (1, 2, "product_family", None, "f", None, ["x"], None)], ASKED)
+    got = {r.item_no: (r.status, r.price) for r in baskets.choose_candidates(baskets.candidate_requests(asked), rows).collect()}
+    assert got == {1: ("comparison_review_required", None), 2: ("ok", 3.0)} and baskets.choose_candidates(baskets.candidate_requests(asked), rows).count() == 2
+
+
+def test_rows_of_the_last_time_have_what_is_latest(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("b", 1, 3), ("b", 2, 4), ("b", 2, 5), (None, 1, 6), (None, None, 7)], "k string, at int, n int")
+    assert sorted(r.n for r in R.of_last_time(rows, ["k"], "at").collect()) == [1, 2, 4, 5, 6]
+    latest = lambda df: sorted(map(str, R.latest_per_key(df, ["k"], "at", ["n"]).collect()))
+    assert latest(R.of_last_time(rows, ["k"], "at")) == latest(rows)
