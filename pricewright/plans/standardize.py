@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions import prices as P
 from ..functions import text as T
@@ -26,9 +27,13 @@ def told_names(rows: DataFrame) -> DataFrame:
 def held_names(rows: DataFrame) -> DataFrame:
     """``told_names`` from the shared folder: they are computed once, and Spark knows how many
     there are before the rows meet them, so rows are not dealt out by a name that very many have."""
-    spark, told, folder = rows.sparkSession, told_names(rows), shared_folder(rows.sparkSession, "names")
-    told.write.parquet(folder)
-    return spark.read.schema(told.schema).parquet(folder)
+    return _held(told_names(rows), "names")
+
+
+def _held(df: DataFrame, label: str) -> DataFrame:
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def standardize_observations(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -60,9 +65,23 @@ RAW_KEYS = ["run_id", "source_name", "raw_hash"]
 def raw_events(rows: DataFrame, loaded_at: Column | None = None) -> DataFrame:
     """Captured rows with raw_hash and the whole row as JSON (raw_payload); observed_at is the
     capture time, else loaded_at, the load's."""
+    return rows.select("*", _hash().alias("raw_hash"), F.to_json(F.struct(*rows.columns)).alias("raw_payload"), _observed(loaded_at).alias("observed_at"))
+
+
+def _hash() -> Column:
+    return P.row_hash(*[F.col(c) for c in ("product_id", "sku", "product_name", "shown_price_tl", "category_slug")])
+
+
+def _observed(loaded_at: Column | None) -> Column:
     loaded_at = F.current_timestamp() if loaded_at is None else loaded_at
-    hashed = P.row_hash(*[F.col(c) for c in ("product_id", "sku", "product_name", "shown_price_tl", "category_slug")])
-    return rows.select("*", hashed.alias("raw_hash"), F.to_json(F.struct(*rows.columns)).alias("raw_payload"), F.coalesce(F.col("scraped_at").cast("timestamp_ntz"), loaded_at.cast("timestamp_ntz")).alias("observed_at"))
+    return F.coalesce(F.col("scraped_at").cast("timestamp_ntz"), loaded_at.cast("timestamp_ntz"))
+
+
+def first_order(events: DataFrame, columns: list[str]) -> list[Column]:
+    """The order that tells the first of raw events of one hash: the time, then the columns that
+    were captured."""
+    maps = {f.name for f in events.schema.fields if isinstance(f.dataType, MapType)}
+    return [F.col("observed_at"), *[F.to_json(c) if c in maps else F.col(c) for c in columns]]
 
 
 def staged_rows(fresh: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -73,8 +92,10 @@ def staged_rows(fresh: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 
 def product_names(staged: DataFrame) -> DataFrame:
-    """(name, category, seen) of staging rows, as ``product_keys`` takes them."""
-    return staged.where("standardized_product_name is not null").select(F.col("standardized_product_name").alias("name"), F.col("category_name").alias("category"), F.col("observed_at").alias("seen"))
+    """(name, category, seen) of staging rows, as ``product_keys`` takes them: of a name and
+    category the first time, by an aggregate that needs no rows in order."""
+    named = staged.where("standardized_product_name is not null").select(F.col("standardized_product_name").alias("name"), F.col("category_name").alias("category"), F.col("observed_at").alias("seen"))
+    return named.groupBy("name", "category").agg(F.min("seen").alias("seen"))
 
 
 def load(rows: DataFrame, raw: DataFrame, products: DataFrame, facts: DataFrame, loaded_at: Column | None = None) -> dict[str, DataFrame]:
@@ -83,25 +104,34 @@ def load(rows: DataFrame, raw: DataFrame, products: DataFrame, facts: DataFrame,
     Rows whose (run, source, hash) raw has already, or that stand twice, are left out; products
     get ids for new names; a row enters the facts if nothing speaks against it, else rejected
     with the first reason. Loading the same rows again adds nothing. raw, products and facts are
-    what was there before; each result is the table after. What is new is staged once, in the
-    shared folder, and all results are read from there."""
-    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "load")
-    events = raw_events(rows, loaded_at)
-    fresh = absent(first_per_key(events, RAW_KEYS, [F.col("observed_at"), F.col("raw_payload")]), raw, RAW_KEYS)
-    staged = staged_rows(fresh)
-    staged.write.parquet(folder)
-    staged = spark.read.schema(staged.schema).parquet(folder)
-    fresh = staged.withColumnRenamed("source_product_id", "product_id")
+    what was there before; each result is the table after. The rows that are new are written once,
+    to the shared folder, as they were captured, and all results are made from there."""
+    names, seen = held_names(rows), Observation()
+    # what is made of a row's own columns is neither sent nor written: rows are dealt out by what
+    # their hash is, and their hash and payload are made where they lie
+    dealt = rows.withColumn("observed_at", _observed(loaded_at)).repartition("run_id", "source_name", _hash())
+    first = first_per_key(dealt.withColumn("raw_hash", _hash()), RAW_KEYS, first_order(dealt, rows.columns))
+    fresh = absent(first, raw, RAW_KEYS).drop("raw_hash")
+    nameless = F.col("run_id").isNull() | F.col("source_name").isNull()
+    fresh = _held(fresh.observe(seen, F.count_if(nameless).alias("nameless")), "load")
+    fresh = fresh.select(*rows.columns, _hash().alias("raw_hash"), F.to_json(F.struct(*rows.columns)).alias("raw_payload"), "observed_at")
+    staged = staged_rows(fresh, names)
     known = product_keys(product_names(staged), products)
-    ids = known.select(F.col("name").alias("standardized_product_name"), "product_id")
+    # Spark knows how many they are, so rows are not dealt out by name
+    ids = _held(known.select(F.col("name").alias("standardized_product_name"), "product_id"), "ids")
     admitted = staged.where("reject_reason is null").join(ids, "standardized_product_name")
     columns = facts.columns
+    if seen.get["nameless"]:
+        new = insert_absent(facts, admitted.select(*columns), ["event_id"], [F.col("observed_at")])
+    else:
+        # of rows with a run and a source each has an event of its own
+        new = facts.unionByName(absent(admitted, facts, ["event_id"]).select(*columns))
     return {
         "raw": raw.unionByName(fresh.select(*raw.columns)),
         "staging": staged,
         "products": known,
         "aliases": known.select(F.col("name").alias("alias"), "product_id"),
-        "facts": insert_absent(facts, admitted.select(*columns), ["event_id"], [F.col("observed_at")]),
+        "facts": new,
         "rejected": staged.where("reject_reason is not null").groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n")),
     }
 

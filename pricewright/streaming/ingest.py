@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.rows import absent, first_per_key, product_keys
 from ..plans.accounting import load_events
-from ..plans.standardize import RAW_KEYS, held_names, product_names, raw_events, staged_rows
+from ..plans.standardize import RAW_KEYS, first_order, held_names, product_names, raw_events, staged_rows
 from ..sources.listings import PAYLOADS, captured_rows
 
 
@@ -56,10 +56,11 @@ def ingest_listings(spark: SparkSession, folder: str, pattern: str, target: str,
         before = lambda name, schema: session.read.parquet(f"{target}/{name}").where(F.col("batch") != number) if number else session.createDataFrame([], schema)
         batch = batch.persist()
         try:
+            captured = [c for c in batch.columns if c not in ("raw_hash", "raw_payload", "observed_at", "arrived_at")]
             events = batch.withColumn("bucket", F.pmod(F.xxhash64("run_id", "source_name"), F.lit(BUCKETS)).cast("int"))
             touched = [r[0] for r in events.select("bucket").distinct().collect()]  # BUCKETS at most
             known = before("staging", "run_id long, source_name string, raw_hash string, bucket int").where(F.col("bucket").isin(touched)).select(*RAW_KEYS)
-            fresh = absent(first_per_key(events, RAW_KEYS, [F.col("observed_at"), F.col("raw_payload")]), known, RAW_KEYS)
+            fresh = absent(first_per_key(events, RAW_KEYS, first_order(events, captured)), known, RAW_KEYS)
             held, seen = of("staged"), Observation()
             made = staged_rows(fresh, held_names(batch)).observe(seen, F.count(F.lit(1)).alias("staged"), F.count_if(F.col("reject_reason").isNull()).alias("facts"))
             made.write.mode("overwrite").parquet(held)

@@ -180,3 +180,35 @@ def test_the_latest_rows_are_those_of_the_whole_history(spark, tmp_path):
 def test_a_catalog_does_not_read_the_order_lines_again(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "l_shipdate" not in plan
+
+
+def load_rows(spark, listed):
+    columns = "run_id long, line_number int, source_name string, product_id string, sku string, product_name string, category_name string, category_slug string, unit string, unit_amount double, shown_price_tl double, regular_price_tl double, scraped_at timestamp_ntz"
+    return spark.createDataFrame([(run, n, source, i, i, name, "Sebze", "sebze", "PIECE", 1.0, price, None, None if day is None else dt.datetime(2024, 1, day)) for run, n, source, i, name, price, day in listed], columns)
+
+
+def loaded(spark, rows):
+    products = spark.createDataFrame([], "product_id long, name string, category string")
+    facts = spark.createDataFrame([], "event_id string, run_id long, source_name string, source_product_id string, product_id long, standardized_product_name string, price double, observed_at timestamp_ntz")
+    return standardize.load(rows, standardize.raw_events(rows).limit(0), products.limit(0), facts.limit(0), F.lit(dt.datetime(2024, 2, 1)))
+
+
+def test_a_load_keeps_the_first_of_equal_rows_and_sends_no_payload(spark):
+    rows = load_rows(spark, [(1, 10, "a", "1", "Domates Kg", 20.0, 3), (1, 9, "a", "1", "Domates Kg", 20.0, 3), (1, 2, "a", "1", "Domates Kg", 20.0, 4), (2, 1, "a", "2", "Elma", None, 3), (2, 2, "b", "3", "Elma Kg", 5.0, None)])
+    got = loaded(spark, rows)
+    staged = {(r.run_id, r.source_name, r.source_product_id): r for r in got["staging"].collect()}
+    assert sorted(staged) == [(1, "a", "1"), (2, "a", "2"), (2, "b", "3")] and staged[1, "a", "1"].line_number == 9
+    assert '"line_number":9' in staged[1, "a", "1"].raw_payload and staged[2, "b", "3"].observed_at == dt.datetime(2024, 2, 1)
+    raw = {(r.run_id, r.raw_hash, r.raw_payload) for r in standardize.raw_events(rows).collect()}
+    assert {(r.run_id, r.raw_hash, r.raw_payload) for r in got["raw"].collect()} < raw
+    # payloads are made when they are asked for: neither they nor hashes lie on disk, and facts need no exchange
+    files = {f for f in got["staging"].inputFiles() if "/load-" in f}
+    assert files and not {"raw_payload", "raw_hash", "event_id"} & set(spark.read.parquet(*files).columns)
+    assert "Exchange hashpartitioning" not in got["facts"]._jdf.queryExecution().executedPlan().toString()
+    assert loaded(spark, rows.limit(0))["facts"].count() == 0
+
+
+def test_events_of_rows_without_a_run_enter_the_facts_once(spark):
+    rows = load_rows(spark, [(None, 1, "1|a", "1", "Elma Kg", 2.0, 3), (1, 1, "a", "1", "Elma Kg", 2.0, 4), (1, 1, "b", "1", "Elma Kg", 2.0, 4)])
+    facts = loaded(spark, rows)["facts"].collect()
+    assert sorted((r.run_id is None, r.source_name) for r in facts) == [(False, "b"), (True, "1|a")]
